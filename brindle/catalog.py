@@ -1,0 +1,11 @@
+"""Every query of the engine's own operators by name, with its checking SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
