@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from brindle.llm import decontaminate, exact_dedup, language_id, packing, token_counts, toxicity
+from brindle.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_language_id": language_id.op4_language_id,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_near_dedup": near_dedup.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
     }

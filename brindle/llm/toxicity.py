@@ -1,15 +1,17 @@
 """Toxic passages by maximum-scoring segment search.
 
 Learning.  From a bounded sample of labelled documents (at most ``max_per_class`` a class, chosen by a hash of
-doc_id), words are counted by class.  The log-odds of a word between toxic and clean text is smoothed by a
-Dirichlet prior whose mass follows the word's overall frequency; words whose log-odds are not ``z`` standard
-deviations from 0 weigh nothing.  A token's score is its log-odds less ``drift``, so clean text sinks.
+doc_id), words and their beginnings of 4 to 8 letters are counted by class, so that compounds of a toxic stem
+count together.  The log-odds of each between toxic and clean text is smoothed by a Dirichlet prior whose mass
+follows its overall frequency; what is not ``z`` standard deviations from 0 weighs nothing.  A token has the
+log-odds of its word, or else of its longest weighted beginning, less ``drift``, so clean text sinks.
 
 Search.  One scan from left to right finds all maximal scoring segments of a document in linear time: runs of
 rising score are kept on a stack and joined when a later run ends above and starts no lower.
 
 Calibration.  Segment scores of random text follow an extreme-value law, P(S >= x) ~ K n exp(-lambda x);
-lambda solves sum p exp(lambda s) = 1 over the clean token scores.  A segment is significant when its expected
+lambda solves sum p exp(lambda s) = 1 over the token scores of the sample's clean documents, and K follows from
+the mean of their best segments.  A segment is significant when its expected
 number in a clean text of that length is at most ``level``.  The document's normalised best score, the number of
 significant segments and their summed excess go through a logistic curve fitted to the sample, weighted back to
 the class sizes.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from brindle.llm.common import read_table, ship, slices, text_or_empty
+from brindle.llm.common import read_table, ship, slices, stage, text_or_empty
 from brindle.llm.language_id import remainder
 
 PASSAGES = ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType()), StructField("excess", DoubleType())]))
@@ -46,9 +48,43 @@ def words(text: str) -> list[bytes]:
     return low.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+BEGINNINGS = (8, 7, 6, 5, 4)
+
+
+def expand(counts: Counter) -> Counter:
+    """Counts of words (with an end mark) and of their beginnings, from counts of words."""
+    out: Counter = Counter()
+    for w, n in counts.items():
+        t = w.decode("utf-8", "replace")
+        out[t + "$"] += n
+        for k in BEGINNINGS:
+            if len(t) >= k:
+                out[t[:k]] += n
+    return out
+
+
+class Scores(dict):
+    """The weight of each word met so far, None where it has none; emptied beyond ``limit`` words."""
+
+    def __init__(self, weights: dict[str, float], limit: int = 400_000):
+        super().__init__()
+        self.weights, self.limit = weights, limit
+
+    def __missing__(self, word: bytes) -> float | None:
+        t = word.decode("utf-8", "replace")
+        found = self.weights.get(t + "$")
+        for k in BEGINNINGS:
+            if found is None and len(t) >= k:
+                found = self.weights.get(t[:k])
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = found
+        return found
+
+
 @dataclass
 class Model:
-    weights: dict[bytes, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
     drift: float = 0.5
     rate: float = 1.0  # lambda
     scale: float = 0.1  # K
@@ -82,21 +118,33 @@ def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int,
     return [(a, b, hi - lo) for a, b, lo, hi in stack]
 
 
-def features(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]], tuple[float, float, float]]:
-    """Number of tokens, significant segments with their excess, and the document's three statistics."""
-    tokens = words(text)
-    found = list(map(model.weights.get, tokens))
+def positions(text: str, known: Scores) -> tuple[int, list[int], list[float]]:
+    """Number of tokens, and place and weight of those that have one."""
+    found = [*map(known.__getitem__, words(text))]
     at = [i for i, w in enumerate(found) if w is not None]
+    return len(found), at, [found[i] for i in at]
+
+
+def best_raw(text: str, model: Model, known: Scores) -> float | None:
+    """lambda * S - ln n of the best segment, None without one."""
+    n, at, weight = positions(text, known)
+    best = max((s for _, _, s in segments(at, [w - model.drift for w in weight], model.drift)), default=0.0)
+    return model.rate * best - math.log(n) if best > 0 else None
+
+
+def features(text: str, model: Model, known: Scores) -> tuple[int, list[tuple[int, int, float]], tuple[float, float, float]]:
+    """Number of tokens, significant segments with their excess, and the document's three statistics."""
+    n, at, weight = positions(text, known)
     if not at:
-        return len(tokens), [], (0.0, 0.0, 0.0)
-    base = math.log(model.scale * max(len(tokens), 1) + 1e-12)
+        return n, [], (0.0, 0.0, 0.0)
+    base = math.log(model.scale * n)
     best, out = 0.0, []
-    for a, b, s in segments(at, [found[i] - model.drift for i in at], model.drift):
+    for a, b, s in segments(at, [w - model.drift for w in weight], model.drift):
         excess = model.rate * s - base
         best = max(best, excess)
         if excess >= -math.log(model.level):
             out.append((a, b, excess))
-    return len(tokens), out, (best, math.log1p(len(out)), math.log1p(sum(e for _, _, e in out)))
+    return n, out, (best, math.log1p(len(out)), math.log1p(sum(e for _, _, e in out)))
 
 
 def probability(x: tuple[float, float, float], model: Model) -> float:
@@ -110,27 +158,53 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by: tuple[Counter, Counter] = Counter(), Counter()
 
     def out():
-        for kind, c in enumerate(by):
+        for kind, plain in enumerate(by):
+            c = expand(plain)
             keys = list(c)
             for i in range(0, len(keys), 100_000):
                 part = keys[i : i + 100_000]
                 n = pa.array([c[k] for k in part], pa.int64())
                 zero = pa.array(np.zeros(len(part), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), n if kind else zero, zero if kind else n], names=["word", "toxic", "clean"])
-            c.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), n if kind else zero, zero if kind else n], names=["word", "toxic", "clean"])
+            plain.clear()
 
     for batch in slices(batches, 1):
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by[toxic].update(words(text))
-        if len(by[0]) + len(by[1]) > 1_000_000:
+        if len(by[0]) + len(by[1]) > 300_000:
             yield from out()
     yield from out()
 
 
+def _levels(model: Model):
+    """Counts of clean token scores, in hundredths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, by = Scores(model.weights), Counter()
+        for batch in slices(batches, 1):
+            for text in batch.column(1).to_pylist():
+                n, at, weight = positions(text, known)
+                by.update(round(100 * (w - model.drift)) for w in weight)
+                by[round(-100 * model.drift)] += n - len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(list(by.values()), pa.int64())], names=["level", "n"])
+
+    return run
+
+
+def _bests(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Scores(model.weights)
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([best_raw(t, model, known) for t in batch.column(1).to_pylist()], pa.float64())], names=["best"])
+
+    return run
+
+
 def _featurer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Scores(model.weights)
         for batch in slices(batches, 1):
-            rows = [(int(t), *features(x, model)[2]) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(int(t), *features(x, model, known)[2]) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["toxic", "best", "number", "excess"])
 
@@ -180,9 +254,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 20_000, max_w
     share = {k: min(1.0, 0.97 * max_per_class / n) if n > max_per_class else 1.0 for k, n in sizes.items()}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, share.get(1, 0) * (1 << 20)).otherwise(share.get(0, 0) * (1 << 20))
     chosen = one.filter("toxic IN (0, 1)").filter(drawn).limit(2 * max_per_class)
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    counts = sample.mapInArrow(_count, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    sample = stage(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-sample")
+    counts = sample.mapInArrow(_count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = stage(counts, "toxicity-counts")
+    total = counts.filter("endswith(word, '$')").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     n_t, n_c = total["t"] or 0, total["c"] or 0
     if not n_t or not n_c:
         return Model()
@@ -191,12 +266,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 20_000, max_w
     odds = F.log((F.col("t") + a) / (n_t + mass - F.col("t") - a)) - F.log((F.col("c") + a) / (n_c + mass - F.col("c") - a))
     scored = counts.select("word", "t", "c", odds.alias("w"), (odds / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))).alias("z")).filter(F.abs("z") >= z)
     top = scored.orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
-    model = Model({bytes(r["word"]): r["w"] for r in top}, drift, level=level)
-    score = np.array([r["w"] - drift for r in top] + [-drift])
-    clean = np.array([r["c"] + mass * (r["t"] + r["c"]) / (n_t + n_c) for r in top], float)
-    rest = max(0.0, n_c + mass - clean.sum())
-    clean = np.append(clean, rest) / (clean.sum() + rest)
-    model.rate = _rate(score, clean)
+    model = Model({r["word"]: r["w"] for r in top}, drift, level=level)
+    clean = sample.filter("toxic = 0")
+    levels = clean.mapInArrow(_levels(model), "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    share_of = np.array([r["n"] for r in levels], float)
+    model.rate = _rate(np.array([r["level"] for r in levels]) / 100, share_of / max(1.0, share_of.sum()))
+    mean = clean.mapInArrow(_bests(model), "best double").agg(F.avg("best")).first()[0]
+    if mean is not None:
+        model.scale = math.exp(max(-7.0, min(7.0, mean - 0.5772156649)))  # the mean of a Gumbel law is ln K + Euler's constant
     rows = sample.mapInArrow(_featurer(model), "toxic int, best double, number double, excess double").limit(4 * max_per_class).collect()
     x = np.array([[r["best"], r["number"], r["excess"]] for r in rows], float).reshape(-1, 3)
     y = np.array([r["toxic"] for r in rows], float)
@@ -208,8 +285,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 20_000, max_w
 def _judge(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        known = Scores(m.weights)
         for batch in slices(batches, 1):
-            rows = [features(t, m) for t in batch.column(1).to_pylist()]
+            rows = [features(t, m, known) for t in batch.column(1).to_pylist()]
             found = [[{"first": a, "last": b, "excess": e} for a, b, e in r[1]] for r in rows]
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("excess", pa.float64())]))
             rest = [batch.column(i) for i in range(2, batch.num_columns)]
