@@ -166,9 +166,7 @@ class Rolling:
 
     def windows(self, width: int) -> np.ndarray:
         """Of every window of ``width`` values, in order."""
-        n = len(self.sums) - width
-        if n <= 0:
-            return np.zeros(0, _U)
+        n = max(0, len(self.sums) - width)
         return (self.sums[width:] - self.sums[:n]) * self.inverse[:n]
 
 
