@@ -156,7 +156,7 @@ def learn(rows: DataFrame, dimension: int = DIMENSION, max_languages: int = 1000
     return out
 
 
-def _judge(prototypes: dict[str, np.ndarray], dimension: int):
+def _judge(prototypes: dict[str, np.ndarray], dimension: int, keep_text: bool):
     names = list(prototypes)
     table = np.array([prototypes[x] for x in names], np.float32).reshape(len(names), dimension)
 
@@ -173,20 +173,18 @@ def _judge(prototypes: dict[str, np.ndarray], dimension: int):
                 score = np.where(has, np.clip(near[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
             else:
                 langs, score = ["und"] * len(has), np.zeros(len(has))
-            rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest, pa.array(langs, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if keep_text else []), pa.array(langs, pa.string()), pa.array(score)], names=["row", *(["text"] if keep_text else []), "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, the columns of ``carry``, lang_pred and score (and the text) of every row."""
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep_text: bool = False) -> DataFrame:
+    """row (a struct of every column but text), lang_pred and score of every row, and the text, empty for null."""
     ship(docs.sparkSession)
     dimension = len(next(iter(prototypes.values()))) if prototypes else DIMENSION
-    given = docs.select("doc_id", text_or_empty().alias("__text"), *[F.col(c) for c in carry or []])
-    schema = StructType(list(given.schema.fields)).add("lang_pred", "string").add("score", "double")
-    out = given.mapInArrow(_judge(prototypes, dimension), schema)
-    return out if keep_text else out.drop("__text")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text_or_empty().alias("text"))
+    schema = StructType([f for f in given.schema.fields if keep_text or f.name != "text"]).add("lang_pred", "string").add("score", "double")
+    return given.mapInArrow(_judge(prototypes, dimension, keep_text), schema)
 
 
 def remainder(n: int) -> Column:
@@ -198,5 +196,5 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(remainder(5) == 0, F.lit(False))
     prototypes = learn(docs.filter(remainder(5) != 0))
-    found = identify(docs.select("doc_id", "text", held.alias("held_out")), prototypes, ["held_out"])
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    found = identify(docs.select("doc_id", "text", held.alias("held_out")), prototypes)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")

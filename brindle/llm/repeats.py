@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import partitions, row_key, ship, slices, string_buffers, text_or_empty
 
 _U = np.uint64
-HASH_BITS, CHUNK = 39, 1 << 22
+HASH_BITS, CHUNK = 39, 1 << 20
 LAST = (1 << 63) - 1  # a null doc_id comes after every other
 
 
@@ -206,7 +206,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXTS = "h long, doc_id long, rk long, start long, count long, context binary"
 
 
-def _contexts(scheme: Callable[[], Scheme], limit: int = 400_000):
+def _contexts(scheme: Callable[[], Scheme], limit: int = 150_000):
     names, kinds = ["h", "doc_id", "rk", "start", "count", "context"], [pa.int64()] * 5 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +390,9 @@ def remove_repeats(docs: DataFrame, scheme: Callable[[], Scheme], keep_text: boo
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
+    buckets = 4 * n
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), row_key().alias("rk"), text_or_empty().alias("text"))
-    probes = given.mapInArrow(_probe(scheme, n), _PROBES).repartition(n, "bucket")
+    probes = given.mapInArrow(_probe(scheme, buckets), _PROBES).repartition(buckets, "bucket")
     flags = probes.mapInArrow(_answer, "doc_id long, rk long, codes binary").groupBy("doc_id", "rk").agg(F.collect_list("codes").alias("extra"))
     contexts = given.join(flags, ["doc_id", "rk"], "left").select("doc_id", "rk", "text", "extra").mapInArrow(_contexts(scheme), _CONTEXTS)
     ranges = contexts.repartition(n, "h").mapInArrow(_decide(scheme), "doc_id long, rk long, ranges binary").groupBy("doc_id", "rk").agg(F.collect_list("ranges").alias("extra"))

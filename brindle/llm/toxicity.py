@@ -290,18 +290,17 @@ def _judge(model):
             rows = [features(t, m, known) for t in batch.column(1).to_pylist()]
             found = [[{"first": a, "last": b, "excess": e} for a, b, e in r[1]] for r in rows]
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("excess", pa.float64())]))
-            rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.array([probability(r[2], m) for r in rows], pa.float64()), pa.array(found, kind)], names=[batch.schema.names[0], *batch.schema.names[2:], "score", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([probability(r[2], m) for r in rows], pa.float64()), pa.array(found, kind)], names=["row", "score", "passages"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns of ``carry``, score, and passages: significant segments as word ranges with their excess."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """row (a struct of every column but text), score, and passages: significant segments as word ranges with their excess."""
     spark = docs.sparkSession
     ship(spark)
-    given = docs.select("doc_id", text_or_empty().alias("__text"), *[F.col(c) for c in carry or []])
-    schema = StructType(list(given.drop("__text").schema.fields)).add("score", "double").add("passages", PASSAGES)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text_or_empty().alias("text"))
+    schema = StructType([given.schema["row"]]).add("score", "double").add("passages", PASSAGES)
     return given.mapInArrow(_judge(spark.sparkContext.broadcast(model)), schema)
 
 
@@ -309,5 +308,5 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
     model = learn(docs, labels.select("doc_id", "toxic").filter(remainder(3) != 1))
     held = F.coalesce(remainder(3) == 1, F.lit(False))
-    scored = score(docs.select("doc_id", "text", held.alias("held_out")), model, ["held_out"])
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return scored.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
