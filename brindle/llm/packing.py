@@ -50,6 +50,29 @@ class ByteLevelEncoder:
         self.whole = Tokenizer.from_file(tokenizer_path(name))
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known = Known()
+        vocab = self.whole.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with the byte of a space
+        self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of pre-tokens.  Those that begin with a space and go on with ink are encoded many at a
+        time, one after another: each space starts a pre-token there, and its token shows where."""
+        joined = [len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words]
+        many = [w for w, j in zip(words, joined, strict=True) if j]
+        texts = ["".join(many[i : i + 500]) for i in range(0, len(many), 500)]
+        ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        size = np.diff(np.append(np.flatnonzero(self.leads[ids]), len(ids)))
+        alone = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast([w for w, j in zip(words, joined, strict=True) if not j], add_special_tokens=False)]
+        if len(size) != len(many):
+            raise ValueError("a pre-token that begins with a space was split")
+        mask = np.array(joined, bool)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[mask], sizes[~mask] = size, [len(a) for a in alone]
+        order = np.argsort(np.concatenate((np.flatnonzero(mask), np.flatnonzero(~mask))), kind="stable")
+        pool = np.concatenate([ids, *alone])
+        at = np.concatenate(([0], np.cumsum(np.concatenate((sizes[mask], sizes[~mask])))[:-1])).astype(np.int64)
+        return sizes, ragged(pool, at[order], sizes)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n + 1 bounds."""
@@ -64,8 +87,7 @@ class ByteLevelEncoder:
 
             def fill(new: np.ndarray):
                 words = [points[starts[i] : ends[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in first[new]]
-                ids = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
-                return np.array([len(x) for x in ids], np.int32), np.array([x for row in ids for x in row], np.uint32)
+                return self.encode_words(words)
 
             row = self.known.rows(keys, fill)[back]
             size = self.known.size[row]
