@@ -1,4 +1,139 @@
+"""Queries of documents and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
 from brindle.catalog.book import Book
+from brindle.functions import text
+from brindle.operators import chat
+from brindle.sources import blocks, sinks
 
 book = Book()
 QUERIES = book.queries
+
+
+@book("content_paragraphs", """SELECT conv_id, turn, p.i AS ord, p.p AS paragraph FROM (SELECT conv_id, turn, unnest(list_transform(list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x, i: {'i': cast(i - 1 AS INTEGER), 'p': x})) AS p FROM conversations)""")
+def _(t):
+    c = t.raw("conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return c.select("conv_id", "turn", F.posexplode(text.paragraphs(F.col("text"))).alias("ord", "paragraph"))
+
+
+@book("content_html_markdown")
+def _(t):
+    parsed = blocks.parse_html(t.raw("pages").select("page_id", "html"))
+    return parsed.select("page_id", F.size("blocks").alias("n_blocks"), blocks.markdown(F.col("blocks")).alias("markdown"))
+
+
+@book("content_text_markdown", "SELECT conv_id, turn, text AS markdown FROM conversations WHERE NOT regexp_matches(text, '^\\s*$') AND text = trim(text) AND NOT contains(text, chr(10) || chr(10))")
+def _(t):
+    c = t.raw("conversations").filter("text = trim(text) AND NOT contains(text, '\n\n') AND NOT text RLIKE '^\\\\s*$'")
+    return c.select("conv_id", "turn", blocks.markdown(blocks.text_blocks(F.col("text"))).alias("markdown"))
+
+
+@book("content_search", "SELECT message_id, created_at FROM messages WHERE NOT hidden AND contains(lower(content), 'the')")
+def _(t):
+    return chat.search(t.messages(), "  THE ").select("message_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+@book("content_snippets", """WITH h AS (SELECT message_id, content, instr(lower(content), 'on') AS p, length(content) AS n FROM messages WHERE NOT hidden AND contains(lower(content), 'on'))
+SELECT message_id, CASE WHEN greatest(p - 20, 1) > 1 THEN '…' ELSE '' END || substr(content, greatest(p - 20, 1), least(p + 21, n) - greatest(p - 20, 1) + 1) || CASE WHEN least(p + 21, n) < n THEN '…' ELSE '' END AS snippet FROM h""")
+def _(t):
+    return chat.search(t.messages(), "on", 20).select("message_id", "snippet")
+
+
+@book("content_context", """WITH v AS (SELECT message_id, content, lag(message_id) OVER w AS b, lead(message_id) OVER w AS a FROM messages WHERE NOT hidden WINDOW w AS (PARTITION BY session_id ORDER BY turn))
+SELECT message_id, coalesce(b, '') AS before, coalesce(a, '') AS after FROM v WHERE contains(lower(content), 'er')""")
+def _(t):
+    m = t.messages()
+    return chat.context(m, chat.search(m, "er")).select("message_id", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+
+
+@book("content_message_chain", "SELECT s.message_id AS start_id, m.message_id, cast(s.turn - m.turn AS INTEGER) AS distance FROM messages s JOIN messages m ON s.session_id = m.session_id AND m.turn <= s.turn WHERE s.turn = 5")
+def _(t):
+    m = t.messages()
+    return chat.chain(m, m.filter("turn = 5"), levels=6)
+
+
+@book("content_siblings", "SELECT message_id, cast(row_number() OVER (PARTITION BY session_id, p ORDER BY created_at, message_id) - 1 AS INTEGER) AS variant, count(*) OVER (PARTITION BY session_id, p) AS n_variants FROM (SELECT *, turn // 3 AS p FROM messages)")
+def _(t):
+    return chat.siblings(t.messages().withColumn("parent_id", F.expr("turn div 3"))).select("message_id", "variant", "n_variants")
+
+
+@book("content_activate", "SELECT message_id, CASE WHEN turn % 2 = 0 THEN true WHEN turn % 3 = 0 THEN false ELSE turn % 5 = 0 END AS is_active FROM messages")
+def _(t):
+    m = t.messages().withColumn("is_active", F.col("turn") % 5 == 0)
+    return chat.activate(m, m.filter("turn % 2 = 0"), m.filter("turn % 3 = 0")).select("message_id", "is_active")
+
+
+@book("content_latest", "SELECT session_id, max(turn) AS turn FROM messages GROUP BY session_id")
+def _(t):
+    return chat.latest(t.messages(), ["session_id"]).select("session_id", "turn")
+
+
+@book("content_recent", "SELECT session_id, turn FROM (SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS r FROM messages) WHERE r <= 3")
+def _(t):
+    return chat.recent(t.messages(), 3).select("session_id", "turn")
+
+
+@book("content_range", "SELECT message_id FROM messages WHERE (created_at > TIMESTAMP '2024-01-01 02:00:00' OR created_at = TIMESTAMP '2024-01-01 02:00:00' AND message_id > '12-0') AND (created_at < TIMESTAMP '2024-01-01 09:00:00' OR created_at = TIMESTAMP '2024-01-01 09:00:00' AND message_id <= '54-0')")
+def _(t):
+    at = lambda x: F.lit(x).cast("timestamp")
+    return chat.after_base(t.messages(), (at("2024-01-01 02:00:00"), F.lit("12-0")), (at("2024-01-01 09:00:00"), F.lit("54-0"))).select("message_id")
+
+
+@book("content_export", """SELECT session_id, count(*) AS n_messages, string_agg('**' || upper(substr(role, 1, 1)) || substr(role, 2) || '**' || chr(10) || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS markdown FROM messages WHERE NOT hidden GROUP BY session_id""")
+def _(t):
+    return sinks.conversations(t.messages()).select("session_id", "n_messages", "markdown")
+
+
+@book("content_export_json")
+def _(t):
+    return sinks.conversations(t.messages(), include_hidden=True).select("session_id", "json")
+
+
+@book("content_quota", """SELECT 'u' || user_id AS user_id, CASE event_type WHEN 'click' THEN 'total' ELSE 'tier' END AS bucket, cast(sum(cast(round(value * 100) AS BIGINT)) AS BIGINT) AS spent_credits, count(*) AS calls, cast(sum(CASE WHEN event_type = 'click' THEN event_id % 100 ELSE 0 END) AS BIGINT) AS tokens FROM events GROUP BY ALL""")
+def _(t):
+    d = t.events().select(
+        F.lit("t").alias("tenant_id"), F.concat(F.lit("u"), "user_id").alias("user_id"), F.lit("day").alias("period_type"), F.lit("2024-01-01").alias("period_start"), F.when(F.col("event_type") == "click", "total").otherwise("tier").alias("bucket"),
+        F.round(F.col("value") * 100).cast("long").alias("spent_credits"), F.lit(0).alias("reserved_credits"), (F.col("event_id") % 100).alias("tokens"),
+    )
+    return chat.quota_usage(d).select("user_id", "bucket", "spent_credits", "calls", "tokens")
+
+
+def attachments(t):
+    p = t.raw("part")
+    return p.select(F.col("p_partkey").alias("attachment_id"), F.col("p_size").cast("long").alias("size_bytes"), F.when(F.col("p_partkey") % 5 == 0, "failed").otherwise("ready").alias("status"), F.when(F.col("p_partkey") % 7 == 0, F.lit("2024-01-01")).alias("deleted_at"))
+
+
+@book("content_attachments", "SELECT l_orderkey AS message_id, l_partkey AS attachment_id FROM lineitem WHERE l_orderkey < 3000 AND l_partkey % 7 <> 0")
+def _(t):
+    links = t.raw("lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_partkey").alias("attachment_id"))
+    messages = t.raw("orders").filter("o_orderkey < 3000").select(F.col("o_orderkey").alias("message_id"))
+    return chat.attach(messages, links, attachments(t)).select("message_id", "attachment_id")
+
+
+@book("content_unreferenced", "SELECT p_partkey AS attachment_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 3000)")
+def _(t):
+    links = t.raw("lineitem").filter("l_orderkey < 3000").select(F.col("l_partkey").alias("attachment_id"))
+    return chat.unreferenced(attachments(t), links).select("attachment_id")
+
+
+@book("content_storage_used", "SELECT cast(coalesce(sum(p_size), 0) AS BIGINT) AS used_bytes FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
+def _(t):
+    return chat.storage_used(attachments(t))
+
+
+@book("content_message_counts", "SELECT session_id, count(*) AS n FROM messages WHERE session_id % 3 = 0 GROUP BY session_id")
+def _(t):
+    return t.messages().filter("session_id % 3 = 0").groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@book("content_text_functions", """SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), ':[0-9]+$', ''), '^www\\.', '')) AS host,
+CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/octet-stream' END AS media, CASE WHEN page_id % 2 = 0 THEN substr(replace(url, '.', '_'), 1, 15) || '.html' ELSE substr(replace(url, '.', '_'), 1, 20) END AS cut FROM pages WHERE length(url) > 25""")
+def _(t):
+    end = F.when(F.col("page_id") % 2 == 0, ".html").otherwise("")
+    plain = F.regexp_replace("url", r"\.", "_")
+    p = t.raw("pages").filter("length(url) > 25").withColumn("name", F.concat(plain, end))
+    cut = text.truncate_name(F.col("name"), 20)
+    return p.select("page_id", text.alias(F.regexp_extract("url", "^https?://([^/]+)", 1)).alias("host"), text.media_by_name(F.col("name")).alias("media"), cut.alias("cut"))

@@ -1,4 +1,155 @@
+"""Queries of event logs; each is the batch twin of what runs on a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
 from brindle.catalog.book import Book
+from brindle.functions.ids import partition_of
+from brindle.functions.text import backoff
+from brindle.streaming import log
 
 book = Book()
 QUERIES = book.queries
+_EVENTS = "e AS (SELECT event_id, 'top' || (event_id % 2) AS topic, cast(user_id % 8 AS INTEGER) AS partition, 't' || user_id AS tenant_id, event_type AS type_id, ts AS occurred_at FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY event_id) - 1 AS off FROM e)"
+
+
+def events(t):
+    return t.events().select("event_id", F.concat(F.lit("top"), (F.col("event_id") % 2).cast("string")).alias("topic"), (F.col("user_id") % 8).cast("int").alias("partition"), F.concat(F.lit("t"), "user_id").alias("tenant_id"), F.col("event_type").alias("type_id"), F.col("ts").alias("occurred_at"), "user_id")
+
+
+def logged(t):
+    return log.assign_offsets(events(t), ["event_id"])
+
+
+@book("stream_offsets", f"WITH {_EVENTS} SELECT event_id, off + CASE WHEN topic = 'top1' THEN 100 ELSE 0 END AS \"offset\" FROM l")
+def _(t):
+    base = events(t).filter("topic = 'top1'").select("topic", "partition").distinct().withColumn("next_offset", F.lit(100).cast("long"))
+    return log.assign_offsets(events(t), ["event_id"], base).select("event_id", "offset")
+
+
+@book("stream_sequence", f"WITH {_EVENTS} SELECT event_id, row_number() OVER (PARTITION BY partition ORDER BY event_id) + 10 * partition AS sequence FROM e")
+def _(t):
+    last = t.spark.range(1, 8).select(F.col("id").cast("int").alias("partition"), (F.col("id") * 10).alias("last_seq"))
+    return log.sequence(events(t), last, ["event_id"]).select("event_id", "sequence")
+
+
+@book("stream_monotonic", """WITH p AS (SELECT event_id, user_id AS producer_id, (event_id * 7919) % 10007 AS sequence FROM events), m AS (SELECT event_id, sequence, max(sequence) OVER (PARTITION BY producer_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p)
+SELECT event_id, CASE WHEN sequence <= seen THEN 'duplicate' ELSE 'accepted' END AS outcome FROM m""")
+def _(t):
+    p = t.events().select("event_id", F.col("user_id").alias("producer_id"), (F.col("event_id") * 7919 % 10007).alias("sequence"))
+    return log.monotonic(p, ["producer_id"], "event_id").select("event_id", "outcome")
+
+
+@book("stream_seek_exact", f"WITH {_EVENTS} SELECT event_id FROM l WHERE off > 500")
+def _(t):
+    return log.seek_exact(logged(t), 500).select("event_id")
+
+
+@book("stream_seek_time", f"WITH {_EVENTS}, f AS (SELECT topic, partition, min(off) AS first FROM l WHERE occurred_at >= TIMESTAMP '2024-01-20' GROUP BY ALL) SELECT event_id FROM l JOIN f USING (topic, partition) WHERE off >= first")
+def _(t):
+    return log.seek_time(logged(t), F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
+
+
+@book("stream_frontier", f"WITH {_EVENTS} SELECT topic, partition, max(off) AS position, count(*) FILTER (WHERE type_id = 'click') AS matched FROM l GROUP BY ALL")
+def _(t):
+    return log.frontier(logged(t), F.col("type_id") == "click")
+
+
+@book("stream_resume", f"WITH {_EVENTS} SELECT event_id FROM l WHERE topic = 'top0' AND off > 300 OR topic = 'top1'")
+def _(t):
+    done = logged(t).filter("topic = 'top0'").select("topic", "partition").distinct().withColumn("offset", F.lit(300).cast("long"))
+    return log.resume(logged(t), done).select("event_id")
+
+
+@book("stream_interest", f"WITH {_EVENTS} SELECT event_id FROM e WHERE topic = 'top1' AND (starts_with(type_id, 'p') OR type_id = 'view') AND tenant_id IN ('t1', 't2', 't3')")
+def _(t):
+    tenants = t.spark.createDataFrame([("t1",), ("t2",), ("t3",)], "tenant_id string")
+    return log.interest(events(t), "top1", ["p*", "view"], tenants).select("event_id")
+
+
+@book("stream_rebalance", """WITH m AS (SELECT s_suppkey AS member_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier WHERE s_suppkey < 9)
+SELECT member_id, cast(p AS INTEGER) AS partition FROM m, generate_series(0, 31) g(p) WHERE p BETWEEN i * (32 // 9) + least(i, 32 % 9) AND i * (32 // 9) + least(i, 32 % 9) + 32 // 9 + CASE WHEN i < 32 % 9 THEN 1 ELSE 0 END - 1""")
+def _(t):
+    members = t.raw("supplier").filter("s_suppkey < 9").select(F.col("s_suppkey").alias("member_id"), F.lit(0).alias("created_at"))
+    return log.rebalance(members, 32)
+
+
+@book("stream_micro_batches", f"WITH {_EVENTS} SELECT topic, partition, off // 100 AS batch, count(*) AS n FROM l GROUP BY ALL")
+def _(t):
+    return log.micro_batches(logged(t), 100).groupBy("topic", "partition", "batch").agg(F.count("*").alias("n"))
+
+
+def attempts(t):
+    """Up to four attempts of an event; what happens follows from its number."""
+    e = t.events().select("event_id", F.explode(F.sequence(F.lit(1), (F.col("event_id") % 4 + 1).cast("int"))).alias("attempt"))
+    last = F.col("attempt") == F.col("event_id") % 4 + 1
+    result = F.when(last & (F.col("event_id") % 7 == 0), "reject").when(last & (F.col("event_id") % 3 != 0), "success").otherwise("retry")
+    return e.withColumns({"result": result, "error": F.when(result != "success", F.concat(F.lit("e"), "attempt"))})
+
+
+_DEAD = """d AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN event_id % 4 + 1 WHEN event_id % 3 <> 0 THEN event_id % 4 ELSE event_id % 4 + 1 END AS failures, 'e' || (event_id % 4 + 1) AS error
+ FROM events WHERE event_id % 7 = 0 OR event_id % 3 = 0 AND event_id % 4 + 1 >= 3)"""
+
+
+@book("stream_dead_letters", f"WITH {_DEAD} SELECT event_id, failures, error, 'pending' AS state FROM d")
+def _(t):
+    return log.dead_letters(attempts(t), 3)
+
+
+@book("stream_dead_letter_states", f"""WITH {_DEAD} SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'discarded' WHEN 2 THEN 'pending' WHEN 3 THEN 'reprocessing' ELSE 'pending' END AS state FROM d""")
+def _(t):
+    dead = log.dead_letters(attempts(t), 3)
+    plans = {0: ["replay", "resolve", "discard"], 1: ["resolve", "discard", "replay"], 2: ["replay", "reject"], 3: ["replay", "discard"]}
+    rows = t.spark.createDataFrame([(k, i, c) for k, cs in plans.items() for i, c in enumerate(cs)], "k long, seq int, command string")
+    commands = dead.select("event_id", (F.col("event_id") % 5).alias("k")).join(F.broadcast(rows), "k").drop("k")
+    return log.fold_dead_letters(dead, commands).select("event_id", "state")
+
+
+@book("stream_vacuum", f"WITH {_EVENTS}, s AS (SELECT event_id, partition, row_number() OVER (PARTITION BY partition ORDER BY event_id) AS q FROM e) SELECT event_id FROM s WHERE NOT (partition < 4 AND q <= 1000)")
+def _(t):
+    last = t.spark.range(0, 8).select(F.col("id").cast("int").alias("partition"), F.lit(0).cast("long").alias("last_seq"))
+    done = t.spark.range(0, 4).select(F.col("id").cast("int").alias("partition"), F.lit(1000).cast("long").alias("processed_seq"))
+    return log.vacuum(log.sequence(events(t), last, ["event_id"]), done).select("event_id")
+
+
+@book("stream_missing_bodies", "SELECT event_id FROM events WHERE event_id % 11 = 3")
+def _(t):
+    out = t.events().select("event_id", F.col("event_id").alias("body_id"))
+    bodies = t.events().filter("event_id % 11 <> 3").select(F.col("event_id").alias("body_id"), "props")
+    return log.join_bodies(out, bodies)[1].select("event_id")
+
+
+@book("stream_due_queue", "SELECT event_id AS id FROM events WHERE event_id % 2 = 0 AND ts <= TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 200")
+def _(t):
+    q = t.events().select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "queued").otherwise("done").alias("state"), F.col("ts").alias("due_at"))
+    return log.due_queue(q, F.lit("2024-01-10 00:00:00").cast("timestamp"), 200).select("id")
+
+
+@book("stream_watch_diff", "SELECT event_id AS key, CASE WHEN event_id % 5 = 0 THEN 'removed' WHEN event_id % 5 = 1 THEN 'added' ELSE 'changed' END AS change FROM events WHERE event_id % 5 < 2 OR event_id % 5 = 2 AND event_id % 3 = 0")
+def _(t):
+    e = t.events().select(F.col("event_id").alias("key"), "value")
+    before = e.filter("key % 5 <> 1")
+    after = e.filter("key % 5 <> 0").withColumn("value", F.when((F.col("key") % 5 == 2) & (F.col("key") % 3 == 0), F.col("value") + 1).otherwise(F.col("value")))
+    return log.snapshot_diff(before, after)
+
+
+@book("stream_partition_of_key")
+def _(t):
+    return t.events().select("event_id", partition_of(F.concat(F.lit("t"), "user_id"), 16).alias("partition"))
+
+
+@book("stream_token_bucket")
+def _(t):
+    return log.token_bucket(t.events().select("event_id", "user_id", "ts"), "user_id", "ts", 1 / 7200, 3.0).select("event_id", "admitted")
+
+
+@book("stream_backoff", "SELECT event_id, cast(least(100 * pow(2, greatest(event_id % 12 - 1, 0)), 30000) AS BIGINT) AS wait_ms FROM events")
+def _(t):
+    return t.events().select("event_id", backoff(F.col("event_id") % 12, 100, 30000).alias("wait_ms"))
+
+
+@book("stream_stats", "SELECT event_type, cast(round(avg(cast(round(value * 100) AS BIGINT)), 3) AS DOUBLE) AS avg_minor, count(*) AS n FROM events GROUP BY event_type")
+def _(t):
+    m = F.round(F.col("value") * 100).cast("long")
+    return t.events().groupBy("event_type").agg(F.round(F.avg(m), 3).alias("avg_minor"), F.count("*").alias("n"))

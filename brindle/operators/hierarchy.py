@@ -29,13 +29,13 @@ def closure(tree: DataFrame, max_depth: int = MAX_DEPTH, levels: int | None = No
     fixes the number of steps where the depth is known, which keeps the plan lazy.
     """
     nodes = tree.select("id", "parent_id", "self_managed")
-    up = nodes.select(F.col("id").alias("__id"), F.col("parent_id").alias("__next"), F.col("self_managed").alias("__own"))
+    there = nodes.select(F.col("id").alias("parent_id"))
+    up = nodes.join(there, "parent_id", "left_semi").select(F.col("id").alias("__id"), F.col("parent_id").alias("__next"), F.col("self_managed").alias("__own"))
     level = nodes.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("barrier"), F.lit(0).alias("depth"))
     parts = [level]
     for step in range(1, (levels if levels is not None else max_depth) + 1):
-        level = level.join(up, F.col("ancestor_id") == F.col("__id")).filter("__next IS NOT NULL").select(
-            F.col("__next").alias("ancestor_id"), "descendant_id", F.when(F.col("__own"), 1).otherwise(F.col("barrier")).alias("barrier"), F.lit(step).alias("depth"),
-        ).join(up.select(F.col("__id").alias("ancestor_id")), "ancestor_id", "left_semi")
+        level = level.join(up, F.col("ancestor_id") == F.col("__id")).select(
+            F.col("__next").alias("ancestor_id"), "descendant_id", F.when(F.col("__own"), 1).otherwise(F.col("barrier")).alias("barrier"), F.lit(step).alias("depth"))
         level = _cut(level, step)
         if levels is None and level.isEmpty():
             break
@@ -101,7 +101,7 @@ def integrity(tree: DataFrame, stored: DataFrame, levels: int, depth: str | None
     child = tree.join(ids, F.col("parent_id") == F.col("__pid"), "left")
     orphan = child.filter("parent_id IS NOT NULL AND __pid IS NULL").select(F.lit("orphan").alias("category"), "id", F.col("parent_id").alias("other_id"))
     broken = child.filter("__pstatus = 3 AND status <> 3").select(F.lit("broken_parent").alias("category"), "id", F.col("parent_id").alias("other_id"))
-    want = closure(tree, levels=levels)
+    want = closure(tree, levels=levels).persist()  # used several times below; a lost block is worked out again
     ends = child.filter("parent_id IS NULL OR __pid IS NULL").select(F.col("id").alias("ancestor_id"))
     reach = want.join(ends, "ancestor_id", "left_semi").select(F.col("descendant_id").alias("id"))
     cycle = tree.join(reach, "id", "left_anti").select(F.lit("cycle").alias("category"), "id", none.alias("other_id"))
@@ -134,7 +134,7 @@ def fault_counts(faults: DataFrame) -> DataFrame:
 def repair(tree: DataFrame, stored: DataFrame, levels: int) -> DataFrame:
     """(action, ancestor_id, descendant_id, barrier, descendant_status) that make the stored closure right; nodes on
     cycles and nodes below an orphan are left alone."""
-    want = closure(tree, levels=levels)
+    want = closure(tree, levels=levels).persist()
     roots = tree.filter("parent_id IS NULL").select(F.col("id").alias("ancestor_id"))
     sound = want.join(roots, "ancestor_id", "left_semi").select("descendant_id").distinct()
     st = tree.select(F.col("id").alias("descendant_id"), F.col("status").alias("__ws"))

@@ -81,7 +81,7 @@ def rebalance(members: DataFrame, partitions: int) -> DataFrame:
     start = F.col("__i") * base + F.least(F.col("__i"), more)
     size = base + F.when(F.col("__i") < more, 1).otherwise(0)
     spans = ranked.withColumns({"__a": start, "__b": start + size}).filter("__b > __a")
-    return spans.select("member_id", F.explode(F.sequence(F.col("__a"), F.col("__b") - 1)).cast("int").alias("partition"))
+    return spans.select("member_id", F.explode(F.sequence(F.col("__a"), F.col("__b") - 1)).alias("partition")).withColumn("partition", F.col("partition").cast("int"))
 
 
 def micro_batches(log: DataFrame, max_events: int) -> DataFrame:
