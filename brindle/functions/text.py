@@ -28,7 +28,7 @@ def snippet(text: Column, term: Column, radius: int = 60) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Parts between blank lines, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
 def type_matches(type_id: Column, pattern: str) -> Column:

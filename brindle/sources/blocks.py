@@ -214,7 +214,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     parsed = rows.filter(F.col("ending").isin("html", "htm", *_BINARY)).select("path", "media_type", "ending", "content").mapInPandas(run, schema)
     none = F.lit(None).cast("string").alias("error")
     name = F.element_at(F.split("path", "/"), -1)
-    plain = rows.filter(F.col("ending").isin("txt", "log", "md")).select("path", "media_type", text_blocks(F.decode("content", F.lit("UTF-8"))).cast(BLOCKS).alias("blocks"), none)
+    plain = rows.filter(F.col("ending").isin("txt", "log", "md")).select("path", "media_type", text_blocks(F.decode("content", "UTF-8")).cast(BLOCKS).alias("blocks"), none)
     image = rows.filter(F.col("ending").isin(*IMAGES)).select(
         "path", "media_type", F.array(F.struct(F.lit(0).alias("ord"), F.lit("image").alias("kind"), F.lit(0).alias("level"), data_uri(F.col("media_type"), F.col("content")).alias("text"))).cast(BLOCKS).alias("blocks"), none)
     other = rows.filter(~F.col("ending").isin("html", "htm", "txt", "log", "md", *_BINARY, *IMAGES)).select("path", "media_type", _stub(name, "unsupported").cast(BLOCKS).alias("blocks"), none)
