@@ -1,21 +1,23 @@
 """Windows that recur across documents, for both substring operators.
 
 A *scheme* says what a window is and assigns every window of a text to one anchor inside it, chosen by content,
-so that equal windows have equal anchors.  The work is done in four passes:
+so that equal windows have equal anchors.  Whole copies of a text are set aside first (all their windows stand in
+the least of them), by their SHA-256.  The rest takes four passes:
 
-1. ``_probe``: every input partition lists its anchors as 40-bit codes by document.  Codes that it sees in two
-   documents are known to recur and go to the reducers once, whatever their number of copies; the rest are asked
-   about, a few bytes each.
-2. ``_answer``: reducers, dealt by code, name for every document the codes that occur in another document too.
+1. ``_probe``: every partition lists its anchors as 32-bit codes by document, dealt by the rest of their hash.
+   Codes that it sees in two documents are known to recur and go to the reducers once, whatever their number of
+   copies; the others are asked about.
+2. ``_answer``: reducers, dealt by code, tell for every document which of its codes occur in another one too.
 3. ``_contexts``: each document, joined with its recurring codes, gives the bytes around each such anchor.  Of
    equal contexts in one partition only the least document's go on; the others' windows are decided here.
    ``_decide``: reducers, dealt by code, compare the contexts of an anchor byte by byte and find, for each window,
    the least document that has it.
-4. The scheme's ``finish`` removes what is covered, again joined with the document by its key.
+4. ``_finish`` removes what is covered, again joined with the document by its key.
 
 Codes only select candidates (a false match costs time, nothing else); what is removed rests on compared bytes.
 No pass sends a hot anchor's copies to one task: after the map side there is at most one row per partition and
-distinct context.  The text is shuffled once, and Spark reuses that exchange for the last pass.
+distinct context.  Answers and decisions travel as one block per pair of partitions and are gathered to one row a
+document.  The text is shuffled once, by document key, and Spark reuses that exchange in passes 1, 3 and 4.
 """
 
 from __future__ import annotations
@@ -24,16 +26,18 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import partitions, row_key, ship, slices, string_buffers, text_or_empty
+from brindle.llm.common import partitions, ship, slices, string_buffers, text_or_empty
 
 _U = np.uint64
-HASH_BITS, CHUNK = 39, 1 << 20
+CHUNK = 1 << 20
 LAST = (1 << 63) - 1  # a null doc_id comes after every other
+_REST = 31
 
 
 @dataclass
@@ -41,31 +45,32 @@ class Scheme:
     """What the passes need to know.
 
     ``probe(raw, offsets)``: (text number, hash, may be indexed) of every anchor.
-    ``runs(raw, offsets, codes)``: for the anchors whose hash is in ``codes``, (text number, hash, first window,
+    ``runs(raw, offsets, keys, key_of)``: for the anchors whose key is in ``keys``, (text number, key, first window,
     number of windows, begin, end) where begin and end bound the bytes of those windows in ``flat(raw, offsets)``.
-    ``windows(context)``: the bytes of each window of a context.
-    ``finish(data, ranges)``: the result's columns for one text, from merged ranges (first window, last window).
+    ``windows(context)``: the bytes of each window of a context; ``count(data)``: the number of windows of a text.
+    ``finish(data, ranges)``: the result's columns for one text and what stays, from ranges (first, last window).
     """
 
     probe: Callable
     runs: Callable
     flat: Callable
     windows: Callable
+    count: Callable
     finish: Callable
     columns: str
     digit: int
 
 
-def anchor_runs(least: np.ndarray, valid: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of valid windows with one anchor: first window, last window, and the anchor's packed value."""
+def anchor_runs(anchor: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of valid windows with one anchor: first window, last window, and the anchor's position."""
     at = np.flatnonzero(valid)
     if not len(at):
         return at, at, np.zeros(0, _U)
-    own = least[at]
+    own = anchor[at]
     cut = np.append(True, (own[1:] != own[:-1]) | (np.diff(at) != 1))
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(at)) - 1
-    return at[first], at[last], own[first] >> _U(shift)
+    return at[first], at[last], own[first]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,58 +90,61 @@ def _groups(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge, [*edge[1:], len(x)], strict=True))
 
 
-def _five(codes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+def key_of(buckets: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The key of a 64-bit hash: its bucket and 31 more bits."""
+    return lambda value: (((value >> _U(32)) % _U(buckets)) << _U(_REST)) | (value & _U((1 << _REST) - 1))
 
 
-def _wide(blob) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel().astype(_U)
+def _planes(x: np.ndarray) -> bytes:
+    """Small whole numbers by byte plane, so that the zero bytes lie together and compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 _ASK, _KNOWN, _SEEN = 0, 1, 2
 _PROBES = "bucket int, kind int, docs binary, counts binary, codes binary"
 
 
-def _flush(docs: np.ndarray, doc: np.ndarray, hashes: np.ndarray, index: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Rows of one chunk; ``docs`` holds (doc_id, rk) of the chunk's texts."""
-    key = np.sort((hashes << _U(25)) | (doc.astype(_U) << _U(1)) | index.astype(_U))
-    if not len(key):
+def _flush(docs: np.ndarray, doc: np.ndarray, keys: np.ndarray, index: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Rows of one chunk of at most 2**15 texts; ``docs`` holds the texts' row keys.
+
+    A code is the 31 bits of a key outside of its bucket, and whether the anchor may be indexed.
+    """
+    packed = np.sort((keys << _U(16)) | (doc.astype(_U) << _U(1)) | index.astype(_U))
+    if not len(packed):
         return
-    key = key[np.append((key[1:] >> _U(1)) != (key[:-1] >> _U(1)), True)]  # the last of a text's equal hashes has the index bit
-    value = key >> _U(25)
+    packed = packed[np.append((packed[1:] >> _U(1)) != (packed[:-1] >> _U(1)), True)]  # the last of a text's equal keys has the index bit
+    value = packed >> _U(16)
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    size = np.diff(np.append(start, len(key)))
-    indexed = np.maximum.reduceat(key & _U(1), start) > 0
+    size = np.diff(np.append(start, len(packed)))
+    indexed = np.maximum.reduceat(packed & _U(1), start) > 0
     known = np.repeat((size > 1) & indexed, size)
-    code = (value << _U(1)) | (key & _U(1))
-    who = ((key >> _U(1)) & _U((1 << 24) - 1)).astype(np.int64)
-    bucket = ((value * _U(buckets)) >> _U(HASH_BITS)).astype(np.int64)
-    seen = start[(size > 1) & indexed]
+    code = (((value & _U((1 << _REST) - 1)) << _U(1)) | (packed & _U(1))).astype("<u4")
+    who = ((packed >> _U(1)) & _U((1 << 15) - 1)).astype(np.int64)
+    bucket = (value >> _U(_REST)).astype(np.int64)
     for kind, mask in ((_ASK, ~known), (_KNOWN, known)):
-        place = bucket[mask] if kind == _ASK else who[mask] % buckets
-        order = np.lexsort((who[mask], place))
-        place, by, codes = place[order], who[mask][order], _five(code[mask][order])
+        order = np.argsort((bucket[mask] << 15) | who[mask], kind="stable")
+        place, by, codes = bucket[mask][order], who[mask][order], code[mask][order]
         for a, b in _groups(place):
             turn = np.flatnonzero(np.append(True, by[a + 1 : b] != by[a : b - 1]))
-            counts = np.diff(np.append(turn, b - a)).astype("<u4")
-            yield int(place[a]), kind, docs[by[a:b][turn]].tobytes(), counts.tobytes(), codes[a:b].tobytes()
-    place = bucket[seen]
-    codes = _five((value[seen] << _U(1)) | _U(1))
+            yield int(place[a]), kind, docs[by[a:b][turn]].tobytes(), _planes(np.diff(np.append(turn, b - a))), codes[a:b].tobytes()
+    seen = start[(size > 1) & indexed]
+    place, codes = bucket[seen], code[seen] | np.uint32(1)
     for a, b in _groups(place):
         yield int(place[a]), _SEEN, b"", b"", codes[a:b].tobytes()
 
 
-def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
 def _probe(scheme: Callable[[], Scheme], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scheme()
+        s, key = scheme(), key_of(buckets)
         names, kinds = ["bucket", "kind", "docs", "counts", "codes"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         held: list[tuple] = []
         total = texts = 0
@@ -145,121 +153,137 @@ def _probe(scheme: Callable[[], Scheme], buckets: int):
             docs = np.concatenate([h[0] for h in held])
             step = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
             doc = np.concatenate([h[1] + d for h, d in zip(held, step, strict=True)])
-            rows = list(_flush(docs, doc, np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]), buckets))
-            return _rows(rows, names, kinds)
-
-        for batch in slices(batches, 2):
-            doc, hashes, index = s.probe(*string_buffers(batch.column(2)))
-            ids = np.column_stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
-            held.append((ids, doc, hashes, index))
-            total, texts = total + len(doc), texts + len(ids)
-            if total >= CHUNK or texts >= 1 << 22:
-                yield out()
-                held, total, texts = [], 0, 0
+            return _rows(list(_flush(docs, doc, np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]), buckets)), names, kinds)
+
+        for big in slices(batches, 2):
+            for i in range(0, big.num_rows, 1 << 13):
+                batch = big.slice(i, 1 << 13)
+                doc, hashes, index = s.probe(*string_buffers(batch.column(2)))
+                held.append((np.asarray(batch.column(1)), doc, key(hashes), index))
+                total, texts = total + len(doc), texts + batch.num_rows
+                if total >= CHUNK or texts >= 3 << 13:
+                    yield out()
+                    held, total, texts = [], 0, 0
         if held:
             yield out()
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, kinds = ["doc_id", "rk", "codes"], [pa.int64(), pa.int64(), pa.binary()]
-    asked_docs, asked_counts, asked_codes, seen = [], [], [], []
-    for batch in batches:
-        done = []
-        for kind, docs, counts, codes in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
-            if kind == _SEEN:
-                seen.append(_wide(codes))
-                continue
-            who, n = np.frombuffer(docs, np.int64).reshape(-1, 2), np.frombuffer(counts, "<u4").astype(np.int64)
-            if kind == _KNOWN:
-                upto = np.concatenate(([0], np.cumsum(n))) * 5
-                done.extend((int(a), int(b), codes[i:j]) for (a, b), i, j in zip(who, upto[:-1], upto[1:], strict=True))
-            else:
-                asked_docs.append(who)
-                asked_counts.append(n)
-                asked_codes.append(_wide(codes))
-        if done:
-            yield _rows(done, names, kinds)
-    if not asked_codes:
-        return
-    docs, counts = np.concatenate(asked_docs), np.concatenate(asked_counts)
-    codes = np.concatenate(asked_codes)
-    doc = np.repeat(np.arange(len(docs)), counts)
-    del asked_docs, asked_counts, asked_codes
-    extra = np.concatenate(seen) if seen else np.zeros(0, _U)
-    every = np.concatenate((codes, extra, extra))  # a code seen in two documents elsewhere counts twice
-    order = np.argsort(every)
-    value = every[order] >> _U(1)
-    start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    size = np.diff(np.append(start, len(value)))
-    indexed = np.maximum.reduceat(every[order] & _U(1), start) > 0
-    mark = np.zeros(len(every), bool)
-    mark[order] = np.repeat((size > 1) & indexed, size)
-    at = np.flatnonzero(mark[: len(codes)])
-    doc, packed = doc[at], _five(codes[at])
-    rows = [(int(docs[doc[a], 0]), int(docs[doc[a], 1]), packed[a:b].tobytes()) for a, b in _groups(doc)]
-    for i in range(0, len(rows), 50_000):
-        yield _rows(rows[i : i + 50_000], names, kinds)
+_BLOCKS = "place int, bucket int, docs binary, counts binary, data binary"
+_BLOCK_NAMES, _BLOCK_KINDS = ["place", "bucket", "docs", "counts", "data"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
-_CONTEXTS = "h long, doc_id long, rk long, start long, count long, context binary"
+def _blocks(rk: np.ndarray, data: np.ndarray, bucket: int, places: int) -> Iterator[tuple]:
+    """Blocks of (row key, record) pairs, one for each of ``places`` groups of rows."""
+    place = rk.view(_U) % _U(places)
+    order = np.lexsort((rk, place))
+    place, rk, data = place[order], rk[order], data[order]
+    for a, b in _groups(place):
+        turn = np.flatnonzero(np.append(True, rk[a + 1 : b] != rk[a : b - 1]))
+        yield int(place[a]), bucket, rk[a:b][turn].tobytes(), _planes(np.diff(np.append(turn, b - a))), data[a:b].tobytes()
+
+
+def _answer(places: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            for bucket, kind, docs, counts, codes in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                held = by.setdefault(bucket, [[], [], [], [], []])
+                codes = np.frombuffer(codes, "<u4")
+                if kind == _SEEN:
+                    held[4].append(codes)
+                    continue
+                rk = np.repeat(np.frombuffer(docs, np.int64), _unplanes(counts))
+                held[0 if kind == _ASK else 2].append(rk)
+                held[1 if kind == _ASK else 3].append(codes)
+        for bucket in sorted(by):
+            asked, codes, known, known_codes, seen = [np.concatenate(x) if x else np.zeros(0, np.int64 if i in (0, 2) else "<u4") for i, x in enumerate(by.pop(bucket))]
+            every = np.concatenate((codes, seen, seen))  # a code seen in two documents elsewhere counts twice
+            if len(every):
+                order = np.argsort(every)
+                value = every[order] >> 1
+                start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+                size = np.diff(np.append(start, len(value)))
+                indexed = np.maximum.reduceat(every[order] & 1, start) > 0
+                mark = np.zeros(len(every), bool)
+                mark[order] = np.repeat((size > 1) & indexed, size)
+                known = np.concatenate((known, asked[mark[: len(codes)]]))
+                known_codes = np.concatenate((known_codes, codes[mark[: len(codes)]]))
+            if len(known):
+                yield _rows(list(_blocks(known, known_codes, bucket, places)), _BLOCK_NAMES, _BLOCK_KINDS)
+
+    return run
 
 
-def _contexts(scheme: Callable[[], Scheme], limit: int = 150_000):
-    names, kinds = ["h", "doc_id", "rk", "start", "count", "context"], [pa.int64()] * 5 + [pa.binary()]
+def _gather(width: int, with_bucket: bool):
+    """One row a document from blocks: its records of ``width`` 32-bit numbers, or keys made of bucket and code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scheme()
-        least: dict[tuple[int, bytes], tuple[int, list[tuple[int, int]]]] = {}
-        decided: list[tuple] = []
+        rks, data = [], []
+        for batch in batches:
+            for bucket, docs, counts, blob in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
+                rks.append(np.repeat(np.frombuffer(docs, np.int64), _unplanes(counts)))
+                record = np.frombuffer(blob, "<u4").reshape(-1, width)
+                data.append((_U(bucket) << _U(_REST) | (record[:, 0] >> 1).astype(_U)) if with_bucket else record)
+        if not rks:
+            return
+        rk, data = np.concatenate(rks), np.concatenate(data)
+        order = np.argsort(rk, kind="stable")
+        rk, data = rk[order], data[order]
+        groups = _groups(rk)
+        for i in range(0, len(groups), 10_000):
+            part = groups[i : i + 10_000]
+            yield _rows([(int(rk[a]), data[a:b].tobytes()) for a, b in part], ["rk", "extra"], [pa.int64(), pa.binary()])
 
-        def decide(doc: int, rk: int, start: int, count: int) -> None:
-            last = decided[-1] if decided else None
-            if last and last[1] == doc and last[2] == rk and last[3] + last[4] == start:
-                decided[-1] = (last[0], doc, rk, last[3], last[4] + count, None)
-            else:
-                decided.append((rk, doc, rk, start, count, None))
+    return run
 
-        def out():
-            nonlocal least, decided
-            rows, n = [], 0
-            for (h, context), (doc, places) in least.items():
-                for rk, start in places:
-                    rows.append((h, doc, rk, start, 0, context))
-                n += len(places)
-                if len(rows) >= 50_000:
-                    yield _rows(rows, names, kinds)
-                    rows = []
-            yield _rows(rows, names, kinds)
-            for i in range(0, len(decided), 100_000):
-                yield _rows(decided[i : i + 100_000], names, kinds)
-            least, decided = {}, []
-
-        for batch in slices(batches, 2):
-            flags = batch.column(3)
-            batch = batch.filter(flags.is_valid())
-            if not batch.num_rows:
-                continue
-            codes = np.unique(np.concatenate([_wide(x) for row in batch.column(3).to_pylist() for x in row]) >> _U(1))
-            raw, offsets = string_buffers(batch.column(2))
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            data = s.flat(raw, offsets)
-            for text, h, start, count, begin, end in zip(*[x.tolist() for x in s.runs(raw, offsets, codes)], strict=True):
-                doc, rk, context = ids[text], keys[text], data[begin:end]
-                have = least.get((h, context))
-                if have is None or doc < have[0]:
-                    if have is not None:
-                        for other, place in have[1]:
-                            decided.append((other, have[0], other, place, count, None))
-                    least[h, context] = (doc, [(rk, start)])
-                elif doc == have[0]:
-                    have[1].append((rk, start))
-                else:
-                    decide(doc, rk, start, count)
-            if len(least) + len(decided) >= limit:
-                yield from out()
-        yield from out()
+
+_CONTEXTS = "h long, doc_id long, rk long, start long, count long, context binary"
+
+
+def _contexts(scheme: Callable[[], Scheme], buckets: int, limit: int = 150_000):
+    names = ["h", "doc_id", "rk", "start", "count", "context"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, key = scheme(), key_of(buckets)
+        held: list[tuple] = []
+        contexts: list[bytes] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal held, contexts
+            h, doc, rk, start, count = (np.concatenate([x[i] for x in held]) for i in range(5))
+            number, distinct = pd.factorize(np.array(contexts, object))
+            least = np.full(len(distinct), LAST, np.int64)
+            np.minimum.at(least, number, doc)
+            done = doc > least[number]
+            text = pa.array(contexts, pa.binary())
+            on = pa.array(~done)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[~done]) for x in (h, doc, rk, start, count)], text.filter(on)], names=names)
+            # Runs of windows decided here, joined where one goes on where the other ends.
+            order = np.lexsort((start[done], rk[done], doc[done]))
+            h, doc, rk, start, count = (x[done][order] for x in (rk, doc, rk, start, count))
+            if len(h):
+                new = np.append(True, (rk[1:] != rk[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1]))
+                first = np.flatnonzero(new)
+                total = np.add.reduceat(count, first)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (h[first], doc[first], rk[first], start[first], total)], pa.nulls(len(first), pa.binary())], names=names)
+            held, contexts = [], []
+
+        for big in slices(batches, 2):
+            flagged = big.filter(big.column(3).is_valid())
+            for i in range(0, flagged.num_rows, 1 << 13):
+                batch = flagged.slice(i, 1 << 13)
+                keys = np.unique(np.frombuffer(b"".join(batch.column(3).to_pylist()), _U))
+                raw, offsets = string_buffers(batch.column(2))
+                data = s.flat(raw, offsets)
+                text, h, start, count, begin, end = s.runs(raw, offsets, keys, key)
+                held.append((h, np.asarray(batch.column(0))[text], np.asarray(batch.column(1))[text], start, count))
+                contexts.extend([data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+                if len(contexts) >= limit:
+                    yield from out()
+        if held:
+            yield from out()
 
     return run
 
@@ -298,70 +322,72 @@ def least_documents(contexts: list[tuple[bytes, int]], windows: Callable[[bytes]
     return out
 
 
-def _decide(scheme: Callable[[], Scheme]):
-    names, kinds = ["doc_id", "rk", "ranges"], [pa.int64(), pa.int64(), pa.binary()]
-
+def _decide(scheme: Callable[[], Scheme], places: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scheme()
         held, decided = [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
             ready = batch.column(5).is_null()
             done = batch.filter(ready)
-            decided.append(np.column_stack([np.asarray(done.column(i)) for i in (1, 2, 3, 4)]).reshape(-1, 4))
-            held.append(batch.filter(pc.invert(ready)))
-        found: list[tuple[int, int, int, int]] = []
+            if done.num_rows:
+                decided.append(np.column_stack([np.asarray(done.column(i)) for i in (1, 2, 3, 4)]))
+            if done.num_rows < batch.num_rows:
+                held.append(batch.filter(pc.invert(ready)))
         if held:
             rows = pa.Table.from_batches(held)
-            hashes, ids, keys, starts = (np.asarray(rows.column(i).to_numpy()) for i in range(4))
-            contexts = rows.column(5).combine_chunks()
-            order = np.argsort(hashes, kind="stable")
-            docs_sorted = ids[order]
-            for a, b in _groups(hashes[order]):
-                if b - a < 2 or (docs_sorted[a:b] == docs_sorted[a]).all():
-                    continue
-                by: dict[bytes, list[int]] = {}
-                for i in order[a:b].tolist():
-                    by.setdefault(contexts[i].as_py(), []).append(i)
-                least = [(c, min(int(ids[i]) for i in own)) for c, own in by.items()]
-                if len(least) == 1:
-                    (c, first), own = least[0], next(iter(by.values()))
-                    n = len(s.windows(c))
-                    found.extend((int(ids[i]), int(keys[i]), int(starts[i]), n) for i in own if ids[i] > first)
-                    continue
-                for firsts, own in zip(least_documents(least, s.windows, s.digit), by.values(), strict=True):
-                    for i in own:
-                        doc, at = int(ids[i]), 0
-                        while at < len(firsts):
-                            if firsts[at] < doc:
-                                to = at
-                                while to < len(firsts) and firsts[to] < doc:
-                                    to += 1
-                                found.append((doc, int(keys[i]), int(starts[i]) + at, to - at))
-                                at = to
-                            else:
-                                at += 1
-        if found:
-            decided.append(np.array(found, np.int64))
+            h, doc, rk, start, count = (rows.column(i).to_numpy() for i in range(5))
+            number, distinct = pd.factorize(np.array(rows.column(5).to_pylist(), object))
+            del held, rows
+            n = len(distinct)
+            least = np.full(n, LAST, np.int64)
+            np.minimum.at(least, number, doc)
+            anchor = np.zeros(n, np.int64)
+            anchor[number] = h
+            order = np.argsort(anchor, kind="stable")
+            mixed: list[np.ndarray] = []
+            for a, b in _groups(anchor[order]):
+                if b - a > 1 and (least[order[a:b]] != least[order[a]]).any():
+                    mixed.append(order[a:b])
+            later = doc > least[number]
+            decided.append(np.column_stack([doc, rk, start, count])[later])  # equal whole contexts
+            if mixed:
+                # The rows of each context that is not yet wholly decided: those of its least document.
+                by_number = np.argsort(number, kind="stable")
+                bounds = np.searchsorted(number[by_number], np.arange(n + 1))
+                found: list[tuple[int, int, int, int]] = []
+                for group in mixed:
+                    contexts = [(distinct[c], int(least[c])) for c in group.tolist()]
+                    for c, firsts in zip(group.tolist(), least_documents(contexts, s.windows, s.digit), strict=True):
+                        own = int(least[c])
+                        hit = np.array(firsts) < own
+                        if not hit.any():
+                            continue
+                        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+                        for i in by_number[bounds[c] : bounds[c + 1]].tolist():
+                            if doc[i] == own:
+                                found.extend((own, int(rk[i]), int(start[i]) + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True))
+                if found:
+                    decided.append(np.array(found, np.int64))
         every = np.concatenate(decided) if decided else np.zeros((0, 4), np.int64)
-        if not len(every):
-            return
-        every = every[np.lexsort((every[:, 1], every[:, 0]))]
-        edge = np.flatnonzero(np.append(True, (every[1:, 0] != every[:-1, 0]) | (every[1:, 1] != every[:-1, 1]))).tolist()
-        pairs = every[:, 2:].astype("<u4")
-        rows = [(int(every[a, 0]), int(every[a, 1]), pairs[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(every)], strict=True)]
-        for i in range(0, len(rows), 50_000):
-            yield _rows(rows[i : i + 50_000], names, kinds)
+        if len(every):
+            # A record: doc_id in two halves, then first window and number of windows.
+            record = np.empty((len(every), 4), "<u4")
+            record[:, :2] = np.ascontiguousarray(every[:, 0]).view("<u4").reshape(-1, 2)
+            record[:, 2:] = every[:, 2:]
+            yield _rows(list(_blocks(np.ascontiguousarray(every[:, 1]), record, 0, places)), _BLOCK_NAMES, _BLOCK_KINDS)
 
     return run
 
 
-def merged_ranges(blobs: list[bytes] | None) -> np.ndarray:
-    """Sorted disjoint ranges (first window, last window)."""
-    if not blobs:
+def merged_ranges(blob: bytes | None, doc: int) -> np.ndarray:
+    """Sorted disjoint ranges (first window, last window) of the document's records."""
+    if blob is None:
         return np.zeros((0, 2), np.int64)
-    pairs = np.concatenate([np.frombuffer(b, "<u4").reshape(-1, 2) for b in blobs]).astype(np.int64)
+    record = np.frombuffer(blob, "<u4").reshape(-1, 4)
+    mine = np.ascontiguousarray(record[:, :2]).view("<i8").ravel() == doc
+    pairs = record[mine, 2:].astype(np.int64)
+    if not len(pairs):
+        return pairs
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     end = np.maximum.accumulate(pairs[:, 0] + pairs[:, 1] - 1)
     cut = np.append(True, pairs[1:, 0] > end[:-1] + 1)
@@ -375,10 +401,12 @@ def _finish(scheme: Callable[[], Scheme], keep_text: bool):
         fields = [f.split() for f in s.columns.split(", ")]
         kinds = {"long": pa.int64(), "string": pa.string()}
         names = ["doc_id", *[f[0] for f in fields], *(["text"] if keep_text else [])]
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 1):
             rows = []
-            for doc, text, blobs in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                values, kept = s.finish(text.encode("utf-8", "surrogatepass"), merged_ranges(blobs))
+            for doc, text, blob, copy in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                n = s.count(data) if copy else 0
+                values, kept = s.finish(data, np.array([[0, n - 1]]) if n > 0 else merged_ranges(blob, doc))
                 rows.append((None if doc == LAST else doc, *values, *([kept.decode("utf-8", "ignore")] if keep_text else [])))
             yield _rows(rows, names, [pa.int64(), *[kinds[f[1]] for f in fields], *([pa.string()] if keep_text else [])])
 
@@ -390,11 +418,18 @@ def remove_repeats(docs: DataFrame, scheme: Callable[[], Scheme], keep_text: boo
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    buckets = 4 * n
-    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), row_key().alias("rk"), text_or_empty().alias("text"))
-    probes = given.mapInArrow(_probe(scheme, buckets), _PROBES).repartition(buckets, "bucket")
-    flags = probes.mapInArrow(_answer, "doc_id long, rk long, codes binary").groupBy("doc_id", "rk").agg(F.collect_list("codes").alias("extra"))
-    contexts = given.join(flags, ["doc_id", "rk"], "left").select("doc_id", "rk", "text", "extra").mapInArrow(_contexts(scheme), _CONTEXTS)
-    ranges = contexts.repartition(n, "h").mapInArrow(_decide(scheme), "doc_id long, rk long, ranges binary").groupBy("doc_id", "rk").agg(F.collect_list("ranges").alias("extra"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    rk = F.xxhash64(doc, text_or_empty())
+    given = docs.select(rk.alias("rk"), doc.alias("doc_id"), text_or_empty().alias("text"))
+    digests = docs.select(rk.alias("rk"), doc.alias("doc_id"), F.unhex(F.sha2(text_or_empty(), 256)).alias("digest"))
+    several = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
+    copies = digests.join(several, "digest").filter("doc_id > first").select("rk").distinct().withColumn("copy", F.lit(True))
+    # Every use of ``given`` keeps the same three columns, so that Spark shuffles it once.
+    alone = given.join(copies, "rk", "left").filter("copy IS NULL").select("doc_id", "rk", "text")
+    blocks = alone.mapInArrow(_probe(scheme, n), _PROBES).repartition(n, "bucket").mapInArrow(_answer(n), _BLOCKS)
+    flags = blocks.repartition(n, "place").mapInArrow(_gather(1, True), "rk long, extra binary")
+    contexts = given.join(flags, "rk", "left").select("doc_id", "rk", "text", "extra").mapInArrow(_contexts(scheme, n), _CONTEXTS)
+    decided = contexts.repartition(n, "h").mapInArrow(_decide(scheme, n), _BLOCKS)
+    ranges = decided.repartition(n, "place").mapInArrow(_gather(4, False), "rk long, extra binary")
     schema = f"doc_id long, {scheme().columns}" + (", text string" if keep_text else "")
-    return given.join(ranges, ["doc_id", "rk"], "left").select("doc_id", "rk", "text", "extra").mapInArrow(_finish(scheme, keep_text), schema)
+    return given.join(ranges, "rk", "left").join(copies, "rk", "left").select("doc_id", "text", "extra", "copy").mapInArrow(_finish(scheme, keep_text), schema)

@@ -20,10 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from brindle.llm.common import BASES, Rolling, mix64, read_table, word_spans
-from brindle.llm.repeats import HASH_BITS, Scheme, anchor_runs, remove_repeats, sliding_min
+from brindle.llm.repeats import Scheme, anchor_runs, remove_repeats, sliding_min
 
 BLOCK = 7
 WIDTH = 2 * BLOCK - 1
+PIECE = 1 << 24
 _U = np.uint64
 
 
@@ -38,7 +39,7 @@ def _blocks(first, hashes):
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = max(0, len(hashes) - BLOCK + 1)
     at = np.arange(n)
-    return mix64(Rolling(hashes, BASES[1]).spans(at, at + BLOCK)) >> _U(64 - HASH_BITS), of
+    return mix64(Rolling(hashes, BASES[1]).spans(at, at + BLOCK)), of
 
 
 def _probe(raw, offsets):
@@ -52,7 +53,7 @@ def _probe(raw, offsets):
     return text, value[keep], (at - first[text]) % BLOCK == 0
 
 
-def _runs(raw, offsets, codes):
+def _runs(raw, offsets, keys, key_of):
     starts, ends, first, hashes = _words(raw, offsets)
     value, of = _blocks(first, hashes)
     # Bounds of the words in the text that _flat gives: words joined by one space, texts by one space.
@@ -62,14 +63,21 @@ def _runs(raw, offsets, codes):
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none, none, none
-    at = np.arange(len(value))
-    packed = np.where(np.isin(value, codes), (value << _U(25)) | (at.astype(_U) & _U((1 << 25) - 1)), _U(2**64 - 1))
-    least = sliding_min(packed, WIDTH - BLOCK + 1)
-    place = np.arange(n)
-    valid = (place + WIDTH <= first[of[:n] + 1]) & (least != _U(2**64 - 1))
-    low, high, h = anchor_runs(least, valid, 25)
+    key = key_of(value)
+    none_here = _U(2**64 - 1)
+    hit = np.isin(key, keys)
+    found = []
+    for cut in range(0, n, PIECE):  # a place in a piece fits into 25 bits
+        part = slice(cut, cut + PIECE + WIDTH - BLOCK)
+        here = value[part]
+        packed = np.where(hit[part], (here >> _U(25) << _U(25)) | np.arange(len(here), dtype=_U), none_here)
+        least = sliding_min(packed, WIDTH - BLOCK + 1)[: n - cut]
+        place = np.arange(cut, cut + len(least))
+        low, high, anchor = anchor_runs(least & _U((1 << 25) - 1), (place + WIDTH <= first[of[place] + 1]) & (least != none_here))
+        found.append((low + cut, high + cut, key[part][anchor.astype(np.int64)].astype(np.int64)))
+    low, high, h = (np.concatenate(x) for x in zip(*found, strict=True))
     text = of[low]
-    return text, h.astype(np.int64), low - first[text], high - low + 1, begin[low], begin[high + WIDTH] - 1
+    return text, h, low - first[text], high - low + 1, begin[low], begin[high + WIDTH] - 1
 
 
 def _flat(raw, offsets) -> bytes:
@@ -96,7 +104,7 @@ def _finish(data: bytes, ranges: np.ndarray):
 
 
 def scheme() -> Scheme:
-    return Scheme(_probe, _runs, _flat, _windows, _finish, "n_words long, n_removed long, kept_sha256 string", 32)
+    return Scheme(_probe, _runs, _flat, _windows, lambda data: len(data.split()) - WIDTH + 1, _finish, "n_words long, n_removed long, kept_sha256 string", 32)
 
 
 def substring_dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:

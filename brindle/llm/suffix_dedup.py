@@ -1,7 +1,7 @@
 """Repeated byte strings by a depth-limited radix sort of suffixes.
 
 Of every suffix only the first ``width`` bytes matter.  Suffixes are ordered by most-significant-digit passes:
-the leading digit is the 18-byte string inside the window whose hash is least (any digit may lead, since only
+the leading digit is the 24-byte string inside the window whose hash is least (any digit may lead, since only
 equality of whole windows is asked), it deals the suffixes over the cluster, and parts that hold one document are
 dropped there.  Within a part the next passes take 25 bytes each until the threshold depth is reached; the parts
 left are exactly the windows that repeat.  ``repeats`` has the passes.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from brindle.llm.common import Rolling, mix64, read_table
 from brindle.llm.repeats import Scheme, anchor_runs, remove_repeats, sliding_min
 
-WIDTH, GRAM, BLOCK = 50, 18, 1 << 24
+WIDTH, GRAM, BLOCK = 50, 24, 1 << 24
 _U = np.uint64
 
 
@@ -32,13 +32,13 @@ def minimizers(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         piece = raw[low : low + BLOCK + WIDTH - 1]
         if len(piece) < WIDTH:
             break
-        grams = mix64(Rolling(piece).windows(GRAM))
-        grams = (grams >> _U(25) << _U(25)) | np.arange(len(grams), dtype=_U)
+        hashes = mix64(Rolling(piece).windows(GRAM))
+        grams = (hashes >> _U(25) << _U(25)) | np.arange(len(hashes), dtype=_U)
         least = sliding_min(grams, WIDTH - GRAM + 1)
         place = low + np.arange(len(least))
         ends = np.repeat(offsets[1:], np.diff(offsets))[low : low + len(least)]
-        first, last, value = anchor_runs(least, place + WIDTH <= ends, 25)
-        parts.append((first + low, last + low, value))
+        first, last, at = anchor_runs(least & _U((1 << 25) - 1), place + WIDTH <= ends)
+        parts.append((first + low, last + low, hashes[at.astype(np.int64)]))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, _U)
@@ -50,12 +50,13 @@ def _probe(raw, offsets):
     return np.searchsorted(offsets, first, side="right") - 1, value, np.ones(len(first), bool)
 
 
-def _runs(raw, offsets, codes):
+def _runs(raw, offsets, keys, key_of):
     first, last, value = minimizers(raw, offsets)
-    keep = np.isin(value, codes)
-    first, last, value = first[keep], last[keep], value[keep]
+    key = key_of(value)
+    keep = np.isin(key, keys)
+    first, last, key = first[keep], last[keep], key[keep]
     text = np.searchsorted(offsets, first, side="right") - 1
-    return text, value.astype(np.int64), first - offsets[text], last - first + 1, first, last + WIDTH
+    return text, key.astype(np.int64), first - offsets[text], last - first + 1, first, last + WIDTH
 
 
 def _finish(data: bytes, ranges: np.ndarray):
@@ -76,7 +77,7 @@ def scheme() -> Scheme:
     return Scheme(
         _probe, _runs, lambda raw, offsets: raw.tobytes(),
         lambda context: [context[i : i + WIDTH] for i in range(len(context) - WIDTH + 1)],
-        _finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", 25,
+        lambda data: len(data) - WIDTH + 1, _finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", 25,
     )
 
 
