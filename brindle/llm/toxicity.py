@@ -242,7 +242,7 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05)
     return tuple(float(v) for v in b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 20_000, max_words: int = 50_000, z: float = 3.0, drift: float = 0.5, prior: float = 0.02, level: float = 0.01) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 20_000, max_words: int = 50_000, z: float = 2.5, drift: float = 0.5, prior: float = 0.05, level: float = 0.01) -> Model:
     """The model from labelled documents; the driver holds at most ``max_words`` weights and 2 * ``max_per_class`` rows."""
     spark = docs.sparkSession
     ship(spark)
