@@ -1,15 +1,17 @@
 """Repeated and nearly repeated lines by a segment-partition edit join, in SQL operations throughout.
 
 Lines are what stands between line feeds.  A line of at least ``min_chars`` characters goes when an equal line, or
-one at most ``max_edits`` insertions, deletions and substitutions away, stands earlier in the corpus (smaller
-doc_id, then earlier in its document); shorter lines always stay.  Lines are judged on the input, so a removed
-line still counts as earlier for others.  What stays of a document keeps its order and line feeds.
+one a single insertion, deletion or substitution away, stands earlier in the corpus (smaller doc_id, then earlier in
+its document); shorter lines always stay.  Lines are judged on the input, so a removed line still counts as earlier
+for others.  What stays of a document keeps its order and line feeds.
 
 Equal lines are found by their SHA-256, folded on the map side, so a line that stands in every document is one row
-per partition.  For the rest, each distinct line is split into max_edits + 1 segments; two lines within max_edits
-agree in one of them, shifted by at most max_edits.  Segments are index rows keyed by (length, segment number,
-segment); each line probes the keys of its own and of smaller lengths, only at the shifts that can still succeed.
-Candidates are verified by a bit-parallel edit distance on a band of 2 * max_edits + 1 diagonals in one integer.
+per partition.  For the rest, each distinct line is split into two segments, one more than the threshold: of two
+lines an edit apart, one segment agrees, at the shift that their lengths give.  Segments are index rows keyed by
+length, number and content; a line probes the keys of its own length and of the next smaller one.  A segment that
+many lines share is not joined as it is: its lines also have to agree on all but a quarter, a sixteenth and so on of
+the rest (``candidates``), which loses no pair and bounds every group by the alphabet.  Candidates are verified by a
+bit-parallel edit distance on a band of three diagonals held in one integer.
 
 Null text counts as empty: one empty line.  A null doc_id comes after all others.  Rows equal in doc_id and text
 are one document and get the same result.  Texts are read whole; other columns are ignored.
@@ -22,31 +24,66 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import read_table, row_key, stage, text_or_empty
 
+EDITS = 1
+HOT = 32
 BROADCAST_LINES = 1_000_000
 LAST = (1 << 63) - 1
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i (from 0) of a line of that length; the later ones are longer by one."""
-    base, rest = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - rest))
-    return F.lit(1) + F.lit(i) * base + longer, base + F.when(F.lit(i) >= F.lit(parts) - rest, 1).otherwise(0)
+def interval_key(line: Column, parts: int, e: Column, less: int | Column) -> Column:
+    """The key of a line without its interval ``e`` of ``parts``, cut as a line ``less`` characters shorter is cut.
+
+    Two lines of lengths n and n + less that agree before and after interval e of the shorter one have one key.
+    """
+    n = F.char_length(line)
+    less = less if isinstance(less, Column) else F.lit(less)
+    low, high = (F.floor((n - less).cast("long") * k / parts).cast("int") for k in (e, e + 1))
+    return F.xxhash64(F.lit(parts), n - less, e, F.substr(line, F.lit(1), low), F.substr(line, high + less + 1))
+
+
+def segment_keys(line: Column) -> tuple[Column, Column]:
+    """Keys of the two halves of a line as an index entry, and of both at its own length and one less as a probe."""
+    half = [F.lit(0), F.lit(1)]
+    return F.array(*[interval_key(line, 2, e, 0) for e in half]), F.array(*[interval_key(line, 2, e, less) for e in half for less in (0, 1)])
 
 
-def segment_keys(line: Column, max_edits: int) -> tuple[Column, Column]:
-    """Arrays of index keys and of probe keys of a line."""
-    n, parts = F.char_length(line), max_edits + 1
-    index, probe = [], []
-    for i in range(parts):
-        at, size = _segment(n, i, parts)
-        index.append(F.xxhash64(n, F.lit(i), F.substring(line, at, size)))
-        for less in range(max_edits + 1):
-            low, width = _segment(n - less, i, parts)
-            # A shift d fits when the i segments before can take |d| edits and the rest the others.
-            for shift in range(-max_edits, max_edits + 1):
-                if abs(shift) <= i and abs(shift - less) <= max_edits - i:
-                    probe.append(F.xxhash64(n - less, F.lit(i), F.substring(line, low + shift, width)))
-    return F.array(*index), F.array(*probe)
+def candidates(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs of line ids (a < b) that agree outside of some interval.
+
+    Keys that more than ``HOT`` index lines share are not joined: their lines, and only theirs, are asked again with
+    the interval cut in four, down to single characters, where a key cannot have more lines than there are
+    characters.  Lines that agree outside an interval agree outside one of its quarters, so no pair is lost.
+    """
+    index = distinct.select("lid", F.posexplode("index").alias("e", "key"), F.lit(0).alias("less"), F.lit(True).alias("held"))
+    probe = distinct.select("lid", F.posexplode("probe").alias("p", "key")).select("lid", F.floor(F.col("p") / 2).cast("int").alias("e"), "key", F.pmod("p", F.lit(2)).alias("less"), F.lit(False).alias("held"))
+    keys, parts, found, texts = index.unionByName(probe), 2, [], None
+    while True:
+        hot = stage(keys.filter("held").groupBy("key").count().filter(F.col("count") > HOT).select("key"), "line-hot")
+        n_hot = hot.count()
+        few = n_hot <= BROADCAST_LINES
+        again = n_hot > 0 and parts <= (distinct.agg(F.max("n")).first()[0] or 0)
+        cold = keys.join(F.broadcast(hot) if few else hot, "key", "left_anti") if again else keys
+        a, b = cold.filter("held").select("key", F.col("lid").alias("a")), cold.filter("NOT held").select("key", F.col("lid").alias("b"))
+        found.append(stage(a.join(b, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs"))
+        if not again:
+            break
+        warm = stage(keys.join(F.broadcast(hot) if few else hot, "key", "left_semi").select("lid", "e", "less", "held").distinct(), "line-warm")
+        if texts is None:
+            texts = _texts(lines, warm.select("lid").distinct())
+        parts *= 4
+        cut = warm.join(texts, "lid").withColumn("e", F.explode(F.sequence(F.col("e") * 4, F.col("e") * 4 + 3)))
+        keys = stage(cut.select("lid", "e", interval_key(F.col("line"), parts, F.col("e"), F.col("less")).alias("key"), "less", "held"), "line-keys")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return stage(out.distinct(), "line-candidates") if len(found) > 1 else out
+
+
+def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(lid, line) of the given line ids; the ids are broadcast only while they are few."""
+    wanted = stage(ids, "line-wanted")
+    few = wanted.count() <= BROADCAST_LINES
+    return stage(lines.select(F.xxhash64("line").alias("lid"), "line").join(F.broadcast(wanted) if few else wanted, "lid", "left_semi").distinct(), "line-texts")
 
 
 def edit_distance(a: str, b: str, max_edits: int) -> str:
@@ -74,31 +111,27 @@ def edit_distance(a: str, b: str, max_edits: int) -> str:
         c -> c.d)), 1)"""
 
 
-def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 20) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """One row per row of ``docs``: row (a struct of every column but text), n_lines, n_removed and text, what stays."""
-    if max_edits < 1 or max_edits > 15 or min_chars <= 2 * max_edits:
-        raise ValueError("max_edits must be 1 to 15 and min_chars over twice that")
+    if min_chars <= 2 * EDITS:
+        raise ValueError("min_chars must be over 2")
     given = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"), row_key().alias("__rk"),
         F.split(text_or_empty(), "\n").alias("__lines"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"),
     )
     lines = given.select("__doc", "__rk", F.posexplode("__lines").alias("no", "line")).filter(F.char_length("line") >= min_chars)
-    index, probe = segment_keys(F.col("line"), max_edits)
+    index, probe = segment_keys(F.col("line"))
     where = F.struct(F.col("__doc").alias("doc"), F.col("__rk").alias("rk"), "no")
     distinct = stage(
-        lines.select(where.alias("at"), F.unhex(F.sha2("line", 256)).alias("digest"), F.xxhash64("line").alias("lid"), index.alias("index"), probe.alias("probe"))
+        lines.select(where.alias("at"), F.unhex(F.sha2("line", 256)).alias("digest"), F.xxhash64("line").alias("lid"), F.char_length("line").alias("n"), index.alias("index"), probe.alias("probe"))
         .groupBy("digest")
-        .agg(F.min("at").alias("at"), F.any_value("lid").alias("lid"), F.any_value("index").alias("index"), F.any_value("probe").alias("probe")),
+        .agg(F.min("at").alias("at"), *[F.any_value(c).alias(c) for c in ("lid", "n", "index", "probe")]),
         "line-distinct",
     )
-    held = distinct.select(F.explode("index").alias("key"), F.col("lid").alias("a"))
-    asked = distinct.select(F.explode(F.array_distinct("probe")).alias("key"), F.col("lid").alias("b"))
-    pairs = stage(held.join(asked, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "line-wanted")
-    few = wanted.count() <= BROADCAST_LINES
-    known = stage(lines.select(F.xxhash64("line").alias("lid"), "line").join(F.broadcast(wanted) if few else wanted, "lid", "left_semi").distinct(), "line-texts")
+    pairs = candidates(distinct, lines)
+    known = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
     both = pairs.join(known.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    near = both.filter(F.abs(F.char_length("x") - F.char_length("y")) <= max_edits).filter(f"({edit_distance('x', 'y', max_edits)}) <= {max_edits}")
+    near = both.filter(F.abs(F.char_length("x") - F.char_length("y")) <= EDITS).filter(f"({edit_distance('x', 'y', EDITS)}) <= {EDITS}")
     links = near.select(F.unhex(F.sha2("x", 256)).alias("x"), F.unhex(F.sha2("y", 256)).alias("y"))
     place = distinct.select("digest", "at")
     later = (
