@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Session settings of Arrow batches where the user has none: rows, and bytes, of a batch.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m"))
+ROWS_A_FILE = 50_000
 _STAGED: list[tuple[SparkSession, str]] = []
 _LOCAL: dict[str, str] = {}
 
@@ -45,10 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here, and every later
-    use reads files that survive the loss of any executor."""
+    use reads files that survive the loss of any executor.
+
+    ``rows`` is a known bound of the number of narrow rows; a small table then takes few tasks and files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark).rstrip('/')}/brindle/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append((spark, path))
@@ -66,8 +74,12 @@ def release() -> None:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers import it and keep
-    module-level caches between tasks even where the repository is not installed."""
+    module-level caches between tasks even where the repository is not installed; and keep the batches that
+    go to workers small, since whole texts are in them (a value that the user set stays)."""
     sc = spark.sparkContext
+    for key, value in BATCHES:
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     if getattr(sc, "_brindle_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -93,7 +105,7 @@ def row_key(name: str = "text") -> Column:
     return F.xxhash64(text_or_empty(name))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of a slice stays near ``limit`` bytes; one longer text is a slice alone."""
     for batch in batches:
         n = batch.num_rows

@@ -61,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     sums = (F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
     before = tuple(e.agg(*sums).first())
     while before[0]:
-        e = stage(_small(_large(e)), "stars")
+        e = stage(_small(_large(e)), "stars", 2 * before[0])
         after = tuple(e.agg(*sums).first())
         if after == before:
             break

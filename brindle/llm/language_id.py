@@ -56,10 +56,10 @@ def letter_vector(point: int, dimension: int) -> np.ndarray:
 
 def gram_vectors(codes: np.ndarray, dimension: int, limit: int = 20_000) -> np.ndarray:
     """The vectors of trigrams given as 3 x 21 bits; those met before come from a bounded cache."""
-    keys, held = _GRAMS.get(dimension, (np.zeros(0, np.int64), np.zeros((0, dimension), np.float32)))
+    keys, held = _GRAMS.get(dimension, (np.zeros(0, np.int64), np.zeros((0, dimension), np.int8)))
     new = np.setdiff1d(codes, keys, assume_unique=True)
     if len(new):
-        made = np.empty((len(new), dimension), np.float32)
+        made = np.empty((len(new), dimension), np.int8)
         for i, code in enumerate(new.tolist()):
             a, b, c = code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
             made[i] = np.roll(letter_vector(a, dimension), 2) * np.roll(letter_vector(b, dimension), 1) * letter_vector(c, dimension)
@@ -70,7 +70,7 @@ def gram_vectors(codes: np.ndarray, dimension: int, limit: int = 20_000) -> np.n
         keys, held = np.insert(keys, at, new), np.insert(held, at, made, axis=0)
         if len(keys) <= limit:
             _GRAMS[dimension] = keys, held
-    return held if len(keys) == len(codes) else held[np.searchsorted(keys, codes)]
+    return held[np.searchsorted(keys, codes)].astype(np.float32)
 
 
 def trigram_counts(texts: list[str], owner: list[int] | None = None, owners: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def _dense(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return used, place[values]
 
 
-def bundle(codes: np.ndarray, counts: np.ndarray, dimension: int, block: int = 8192) -> np.ndarray:
+def bundle(codes: np.ndarray, counts: np.ndarray, dimension: int, block: int = 4096) -> np.ndarray:
     out = np.zeros((counts.shape[0], dimension), np.float32)
     for i in range(0, len(codes), block):
         out += counts[:, i : i + block].astype(np.float32) @ gram_vectors(codes[i : i + block], dimension)
@@ -131,7 +131,7 @@ def _learner(dimension: int):
             codes, counts, _ = trigram_counts(batch.column(1).to_pylist(), [at[x] for x in langs], len(names))
             made = np.zeros((len(names), dimension))
             for i in range(0, len(codes), 8192):
-                made += counts[:, i : i + 8192].astype(np.float64) @ gram_vectors(codes[i : i + 8192], dimension).astype(np.float64)
+                made += counts[:, i : i + 8192].astype(np.float32) @ gram_vectors(codes[i : i + 8192], dimension)
             for name, row in zip(names, made, strict=True):
                 sums[name] = sums.get(name, 0) + row
         for name, row in sums.items():

@@ -56,32 +56,32 @@ def candidates(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """
     index = distinct.select("lid", F.posexplode("index").alias("e", "key"), F.lit(0).alias("less"), F.lit(True).alias("held"))
     probe = distinct.select("lid", F.posexplode("probe").alias("p", "key")).select("lid", F.floor(F.col("p") / 2).cast("int").alias("e"), "key", F.pmod("p", F.lit(2)).alias("less"), F.lit(False).alias("held"))
-    keys, parts, found, texts = index.unionByName(probe), 2, [], None
+    keys, parts, found, texts, n_lines = index.unionByName(probe), 2, [], None, distinct.count()
     while True:
-        hot = stage(keys.filter("held").groupBy("key").count().filter(F.col("count") > HOT).select("key"), "line-hot")
+        hot = stage(keys.filter("held").groupBy("key").count().filter(F.col("count") > HOT).select("key"), "line-hot", 2 * n_lines // HOT)
         n_hot = hot.count()
         few = n_hot <= BROADCAST_LINES
         again = n_hot > 0 and parts <= (distinct.agg(F.max("n")).first()[0] or 0)
         cold = keys.join(F.broadcast(hot) if few else hot, "key", "left_anti") if again else keys
         a, b = cold.filter("held").select("key", F.col("lid").alias("a")), cold.filter("NOT held").select("key", F.col("lid").alias("b"))
-        found.append(stage(a.join(b, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs"))
+        found.append(stage(a.join(b, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs", n_lines))
         if not again:
             break
-        warm = stage(keys.join(F.broadcast(hot) if few else hot, "key", "left_semi").select("lid", "e", "less", "held").distinct(), "line-warm")
+        warm = stage(keys.join(F.broadcast(hot) if few else hot, "key", "left_semi").select("lid", "e", "less", "held").distinct(), "line-warm", 6 * n_lines)
         if texts is None:
-            texts = _texts(lines, warm.select("lid").distinct())
+            texts = _texts(lines, warm.select("lid").distinct(), n_lines)
         parts *= 4
         cut = warm.join(texts, "lid").withColumn("e", F.explode(F.sequence(F.col("e") * 4, F.col("e") * 4 + 3)))
-        keys = stage(cut.select("lid", "e", interval_key(F.col("line"), parts, F.col("e"), F.col("less")).alias("key"), "less", "held"), "line-keys")
+        keys = stage(cut.select("lid", "e", interval_key(F.col("line"), parts, F.col("e"), F.col("less")).alias("key"), "less", "held"), "line-keys", 24 * n_lines)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return stage(out.distinct(), "line-candidates") if len(found) > 1 else out
+    return stage(out.distinct(), "line-candidates", n_lines) if len(found) > 1 else out
 
 
-def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(lines: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
     """(lid, line) of the given line ids; the ids are broadcast only while they are few."""
-    wanted = stage(ids, "line-wanted")
+    wanted = stage(ids, "line-wanted", bound)
     few = wanted.count() <= BROADCAST_LINES
     return stage(lines.select(F.xxhash64("line").alias("lid"), "line").join(F.broadcast(wanted) if few else wanted, "lid", "left_semi").distinct(), "line-texts")
 
@@ -129,7 +129,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20) -> DataFrame:
         "line-distinct",
     )
     pairs = candidates(distinct, lines)
-    known = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
+    known = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), 2 * pairs.count())
     both = pairs.join(known.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     near = both.filter(F.abs(F.char_length("x") - F.char_length("y")) <= EDITS).filter(f"({edit_distance('x', 'y', EDITS)}) <= {EDITS}")
     links = near.select(F.unhex(F.sha2("x", 256)).alias("x"), F.unhex(F.sha2("y", 256)).alias("y"))

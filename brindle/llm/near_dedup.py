@@ -193,7 +193,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     ship(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = stage(given.mapInArrow(_describe(width), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"), "near-rows")
-    classes = stage(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "near-classes")
+    classes = stage(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "near-classes", 4 * rows.count())
     cut = F.array(*[F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(TREES)])
     orders = classes.select(F.posexplode(cut).alias("tree", "key"), "rep")
     n = partitions(spark)
@@ -203,8 +203,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     edge = walked.filter("b IS NULL").select("tree", "key", F.col("a").alias("rep")).repartition(1).sortWithinPartitions("tree", "key", "rep")
     found = walked.filter("b IS NOT NULL").select("a", "b").unionByName(edge.mapInArrow(_walk(False), "a long, b long, tree int, key binary").select("a", "b"))
-    pairs = stage(found.distinct(), "near-pairs")
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
+    pairs = stage(found.distinct(), "near-pairs", walked.count())
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted", 2 * pairs.count())
     few = wanted.count() <= BROADCAST_IDS
     sets = stage(given.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, set binary"), "near-sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))

@@ -113,7 +113,7 @@ def _packer(name: str, end_id: int, max_len: int, with_ids: bool):
         if name not in _ENCODERS:
             _ENCODERS[name] = ByteLevelEncoder(name)
         encode, number = _ENCODERS[name], TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 1, 4 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             ids, bounds = encode(batch.column(1).to_pylist())
             rows, tokens = [], []
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

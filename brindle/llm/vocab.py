@@ -76,7 +76,7 @@ def byte_level_starts(points: np.ndarray, limits: np.ndarray) -> np.ndarray:
 class Known:
     """Sorted 64-bit hashes of pre-tokens with a ragged row of values each; it is emptied beyond ``limit`` entries."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 2_000_000):
         self.limit = limit
         self.clear()
 
