@@ -7,12 +7,13 @@ of the text.  Two rows that agree in both are the same document to every operato
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -93,6 +94,48 @@ def ship(spark: SparkSession) -> None:
     sc._brindle_shipped = True
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cached(name: str, clear: Callable[[], None]) -> None:
+    """Register how to empty what an operator keeps in a worker between tasks."""
+    _CACHES[name] = clear
+
+
+def trim() -> None:
+    """Hand freed memory back: workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB are mapped, and unmapped when freed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def worker(name: str, keep: bool = False):
+    """Marks the function of an operator's tasks: what operators hold in the worker goes when the task ends, or, with
+    ``keep``, when a task of another operator starts."""
+
+    def mark(run):
+        def task(batches):
+            for other, clear in _CACHES.items():
+                if other != name:
+                    clear()
+            trim()
+            try:
+                yield from run(batches)
+            finally:
+                if not keep:
+                    for clear in _CACHES.values():
+                        clear()
+                trim()
+
+        return task
+
+    return mark
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -143,6 +186,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+cached("powers", lambda: _POWERS.clear())
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 

@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import read_table, row_key, ship, stage, text_or_empty
+from brindle.llm.common import cached, read_table, row_key, ship, stage, text_or_empty, worker
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _BUILT: dict = {}
+cached("decontaminate", _BUILT.clear)
 
 SCHEMA = "doc_id long, rk long, n_words long, hits array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
@@ -92,6 +93,7 @@ def scan(text: str, automaton) -> tuple[int, list[tuple[int, int]], list[tuple[i
 
 
 def _scanner(key: str, items, width: int):
+    @worker("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, items.value, width)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brindle.llm.common import read_table, ship, slices, text_or_empty
+from brindle.llm.common import cached, read_table, ship, slices, text_or_empty, worker
 
 DIMENSION = 1024
 _LOWER: list[np.ndarray] = []
@@ -32,6 +32,14 @@ _LETTERS: dict[tuple[int, int], np.ndarray] = {}
 _GRAMS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _clear() -> None:
+    for held in (_LOWER, _LETTERS, _GRAMS):
+        held.clear()
+
+
+cached("language_id", _clear)
+
+
 def letters(points: np.ndarray) -> np.ndarray:
     """Lower-case letters as they are, a blank for all else; a table that grows as blocks are met."""
     if not _LOWER:
@@ -115,13 +123,14 @@ def bundle(codes: np.ndarray, counts: np.ndarray, dimension: int, block: int = 4
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1, limit):
         for i in range(0, batch.num_rows, 512):
             yield batch.slice(i, 512)
 
 
 def _learner(dimension: int):
+    @worker("language_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in _groups(batches):
@@ -160,6 +169,7 @@ def _judge(prototypes: dict[str, np.ndarray], dimension: int, keep_text: bool):
     names = list(prototypes)
     table = np.array([prototypes[x] for x in names], np.float32).reshape(len(names), dimension)
 
+    @worker("language_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
             codes, counts, has = trigram_counts(batch.column(1).to_pylist())

@@ -25,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import read_table, ship, slices, text_or_empty
+from brindle.llm.common import cached, read_table, ship, slices, text_or_empty, worker
 from brindle.llm.vocab import Known, byte_level_starts, ragged, token_keys
 
 _ENCODERS: dict[str, ByteLevelEncoder] = {}
+cached("packing", _ENCODERS.clear)
 
 
 def tokenizer_path(name: str) -> str:
@@ -109,11 +110,12 @@ def binary_pieces(n: int, max_len: int) -> list[int]:
 
 
 def _packer(name: str, end_id: int, max_len: int, with_ids: bool):
+    @worker("packing", keep=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ENCODERS:
             _ENCODERS[name] = ByteLevelEncoder(name)
         encode, number = _ENCODERS[name], TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1):
             ids, bounds = encode(batch.column(1).to_pylist())
             rows, tokens = [], []
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import partitions, ship, slices, string_buffers, text_or_empty
+from brindle.llm.common import partitions, ship, slices, string_buffers, text_or_empty, worker
 
 _U = np.uint64
 CHUNK = 1 << 20
@@ -143,6 +143,7 @@ def _flush(docs: np.ndarray, doc: np.ndarray, keys: np.ndarray, index: np.ndarra
 
 
 def _probe(scheme: Callable[[], Scheme], buckets: int):
+    @worker("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, key = scheme(), key_of(buckets)
         names, kinds = ["bucket", "kind", "docs", "counts", "codes"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -185,6 +186,7 @@ def _blocks(rk: np.ndarray, data: np.ndarray, bucket: int, places: int) -> Itera
 
 
 def _answer(places: int):
+    @worker("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
@@ -219,6 +221,7 @@ def _answer(places: int):
 def _gather(width: int, with_bucket: bool):
     """One row a document from blocks: its records of ``width`` 32-bit numbers, or keys made of bucket and code."""
 
+    @worker("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rks, data = [], []
         for batch in batches:
@@ -245,6 +248,7 @@ _CONTEXTS = "h long, doc_id long, rk long, start long, count long, context binar
 def _contexts(scheme: Callable[[], Scheme], buckets: int, limit: int = 150_000):
     names = ["h", "doc_id", "rk", "start", "count", "context"]
 
+    @worker("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, key = scheme(), key_of(buckets)
         held: list[tuple] = []
@@ -323,6 +327,7 @@ def least_documents(contexts: list[tuple[bytes, int]], windows: Callable[[bytes]
 
 
 def _decide(scheme: Callable[[], Scheme], places: int):
+    @worker("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scheme()
         held, decided = [], []
@@ -396,6 +401,7 @@ def merged_ranges(blob: bytes | None, doc: int) -> np.ndarray:
 
 
 def _finish(scheme: Callable[[], Scheme], keep_text: bool):
+    @worker("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scheme()
         fields = [f.split() for f in s.columns.split(", ")]

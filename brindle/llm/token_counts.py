@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import read_table, ship, text_or_empty
+from brindle.llm.common import cached, read_table, ship, text_or_empty, worker
 from brindle.llm.packing import tokenizer_path
 
 _COUNTERS: dict[str, WordCounter] = {}
+cached("token_counts", _COUNTERS.clear)
 
 
 def byte_letters() -> list[str]:
@@ -123,6 +124,7 @@ class WordCounter:
 
 
 def _counter(name: str):
+    @worker("token_counts", keep=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _COUNTERS:
             _COUNTERS[name] = WordCounter(name)

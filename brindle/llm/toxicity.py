@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from brindle.llm.common import read_table, ship, slices, stage, text_or_empty
+from brindle.llm.common import read_table, ship, slices, stage, text_or_empty, worker
 from brindle.llm.language_id import remainder
 
 PASSAGES = ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType()), StructField("excess", DoubleType())]))
@@ -179,6 +179,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _levels(model: Model):
     """Counts of clean token scores, in hundredths."""
 
+    @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, by = Scores(model.weights), Counter()
         for batch in slices(batches, 1):
@@ -192,6 +193,7 @@ def _levels(model: Model):
 
 
 def _bests(model: Model):
+    @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(model.weights)
         for batch in slices(batches, 1):
@@ -201,6 +203,7 @@ def _bests(model: Model):
 
 
 def _featurer(model: Model):
+    @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(model.weights)
         for batch in slices(batches, 1):
@@ -283,6 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 20_000, max_w
 
 
 def _judge(model):
+    @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         known = Scores(m.weights)

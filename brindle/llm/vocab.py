@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-from brindle.llm.common import Rolling, mix64
+from brindle.llm.common import Rolling, cached, mix64
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 _CLASS: list[np.ndarray] = []
+cached("vocab", _CLASS.clear)
 
 
 def _class(cp: int) -> int:
