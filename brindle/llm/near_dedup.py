@@ -10,6 +10,9 @@ candidates of each other; in a larger one the depth grows until the part is that
 meets its ``NEAR`` next neighbours, those with the longest common prefix.  So a region of m classes gives at most
 m * SMALL / 2 + m * NEAR candidates, whatever its size.  The orders are range-partitioned, so a region that holds a
 third of the table is spread over tasks; rows at the partitions' borders are joined up in a second, small pass.
+Most of a large region is one component by then.  Its other members are held, as queries, against all of it, in
+tiles of ``TILE`` by ``TILE`` sets, and each tile gives one link per pair of a query and a component, so no pair that
+shares a region goes unseen and no group meets in one task.
 A pair at similarity 0.8 shares the least prefix of some order with probability 1 - (1 - 0.8**3)**16 > 0.99998.
 
 Every candidate is confirmed on the full sets, 100 * intersection >= 100 * threshold * union in whole numbers,
@@ -28,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BASES, Rolling, lower_ascii, mix64, partitions, read_table, ship, slices, stage, string_buffers, text_or_empty, word_spans
+from brindle.llm.common import BASES, Rolling, lower_ascii, mix64, partitions, read_table, ship, slices, stage, string_buffers, text_or_empty, word_spans, worker
 from brindle.llm.components import components
 
-TREES, DEPTH, LEAST, SMALL, NEAR = 16, 6, 3, 16, 2
+TREES, DEPTH, LEAST, SMALL, NEAR, TILE = 16, 6, 3, 16, 2, 2000
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -80,6 +83,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _describe(width: int):
+    @worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             values, bounds = shingles(*string_buffers(batch.column(1)), width)
@@ -110,6 +114,7 @@ def _unpack48(blob: bytes) -> np.ndarray:
 
 
 def _sets(width: int):
+    @worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             values, bounds = shingles(*string_buffers(batch.column(1)), width)
@@ -146,7 +151,15 @@ def neighbours(tree: np.ndarray, keys: np.ndarray, rep: np.ndarray) -> tuple[np.
     return np.minimum(a, b)[apart], np.maximum(a, b)[apart]
 
 
+def _in_large(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Rows of regions that are large, or that may go on in another partition."""
+    same = (tree[1:] == tree[:-1]) & (keys[1:, :LEAST] == keys[:-1, :LEAST]).all(axis=1)
+    number = np.concatenate(([0], np.cumsum(~same)))
+    return np.flatnonzero((np.bincount(number)[number] > SMALL) | (number == 0) | (number == number[-1]))
+
+
 def _walk(borders: bool):
+    @worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.asarray(b.column(0)), b"".join(b.column(1).to_pylist()), np.asarray(b.column(2))) for b in batches if b.num_rows]
         if not held:
@@ -164,13 +177,18 @@ def _walk(borders: bool):
             yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["a", "b", "tree", "key"])
         if borders:
             n = len(rep)
-            at = sorted({*range(min(SMALL, n)), *range(max(0, n - SMALL), n)})
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.nulls(len(at), pa.int64()), pa.array(tree[at], pa.int32()), pa.array([keys[i].tobytes() for i in at], pa.binary())], names=["a", "b", "tree", "key"])
+            edge = sorted({*range(min(SMALL, n)), *range(max(0, n - SMALL), n)})
+            for at, depth in ((edge, DEPTH), (_in_large(tree, keys), LEAST)):
+                for i in range(0, len(at), 1 << 16):
+                    part = at[i : i + (1 << 16)]
+                    prefix = pa.array([keys[j, :depth].tobytes() for j in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[part]), pa.nulls(len(part), pa.int64()), pa.array(tree[part], pa.int32()), prefix], names=["a", "b", "tree", "key"])
 
     return run
 
 
 def _confirm(percent: int):
+    @worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -187,6 +205,65 @@ def _confirm(percent: int):
     return run
 
 
+def _sweep(percent: int):
+    """Links of the queries of a tile to the components of its targets, the least target of each component."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        targets = [r for r in rows if not r[2]]
+        sets = [_unpack48(r[3]) for r in targets]
+        if not targets:
+            return
+        size = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(sets)), size)[order]
+        rep, component = np.array([r[0] for r in targets]), np.array([r[1] for r in targets])
+        for q, own, _, blob in (r for r in rows if r[2]):
+            x = _unpack48(blob)
+            low, high = np.searchsorted(values, x), np.searchsorted(values, x, side="right")
+            hits = [owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
+            shared = np.bincount(np.concatenate(hits), minlength=len(sets)) if hits else np.zeros(len(sets), np.int64)
+            near = np.flatnonzero((100 * shared >= percent * (len(x) + size - shared)) & (component != own))
+            best: dict[int, int] = {}
+            for i in near.tolist():
+                best[component[i]] = min(best.get(component[i], rep[i]), rep[i])
+            for t in best.values():
+                yield min(q, int(t)), max(q, int(t))
+
+    @worker("near_dedup")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        held, current = [], None
+        for batch in batches:
+            for r in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
+                if r[:4] != current:
+                    found.extend(links(held))
+                    held, current = [], r[:4]
+                held.append(r[4:])
+        found.extend(links(held))
+        part = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"])
+
+    return run
+
+
+def _fetch_sets(given: DataFrame, ids: DataFrame, width: int, bound: int) -> DataFrame:
+    """(doc_id, set) of the given documents; their ids are broadcast only while they are few."""
+    wanted = stage(ids, "near-wanted", bound)
+    few = wanted.count() <= BROADCAST_IDS
+    return stage(given.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, set binary"), "near-sets")
+
+
+def _left_over(members: DataFrame, group: DataFrame) -> DataFrame:
+    """Members of large regions that are not one component, with their component, the region's size, the number of
+    its members outside of its largest component, and whether the member is one of those."""
+    big = members.groupBy("tree", "key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL)
+    labelled = members.join(big, ["tree", "key"]).join(group, F.col("rep") == F.col("node"), "left").select("tree", "key", "n", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = labelled.groupBy("tree", "key", "component").agg(F.count("*").alias("k"))
+    tops = sizes.groupBy("tree", "key").agg(F.max(F.struct("k", "component")).alias("t"), F.count("*").alias("c")).filter("c > 1").select("tree", "key", "t.k", F.col("t.component").alias("top"))
+    return labelled.join(tops, ["tree", "key"]).select("tree", "key", "n", (F.col("n") - F.col("k")).alias("m"), "rep", "component", (F.col("component") != F.col("top")).alias("query"))
+
+
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -201,15 +278,26 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         orders.repartitionByRange(n, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").mapInArrow(_walk(True), "a long, b long, tree int, key binary"),
         "near-walk",
     )
-    edge = walked.filter("b IS NULL").select("tree", "key", F.col("a").alias("rep")).repartition(1).sortWithinPartitions("tree", "key", "rep")
+    single = walked.filter("b IS NULL").select("tree", "key", F.col("a").alias("rep"))
+    edge = single.filter(F.octet_length("key") == 4 * DEPTH).repartition(1).sortWithinPartitions("tree", "key", "rep")
     found = walked.filter("b IS NOT NULL").select("a", "b").unionByName(edge.mapInArrow(_walk(False), "a long, b long, tree int, key binary").select("a", "b"))
     pairs = stage(found.distinct(), "near-pairs", walked.count())
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted", 2 * pairs.count())
-    few = wanted.count() <= BROADCAST_IDS
-    sets = stage(given.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, set binary"), "near-sets")
+    sets = _fetch_sets(given, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width, 2 * pairs.count())
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    linked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "u long, v long")
+    linked = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "u long, v long"), "near-links", pairs.count())
     group = components(linked)
+    members = single.filter(F.octet_length("key") == 4 * LEAST)
+    rest = stage(_left_over(members, group), "near-rest", walked.count())
+    if not rest.isEmpty():
+        held = _fetch_sets(given, rest.select(F.col("rep").alias("doc_id")).distinct(), width, rest.count()).select(F.col("doc_id").alias("rep"), "set")
+        tiles, blocks = F.ceil(F.col("n") / TILE).cast("int"), F.ceil(F.col("m") / TILE).cast("int")
+        place = lambda count: F.pmod(F.xxhash64("rep"), count).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+        targets = rest.select("tree", "key", place(tiles).alias("tile"), every(blocks).alias("block"), "rep", "component", F.lit(False).alias("query"))
+        queries = rest.filter("query").select("tree", "key", every(tiles).alias("tile"), place(blocks).alias("block"), "rep", "component", F.lit(True).alias("query"))
+        at = ["tree", "key", "tile", "block"]
+        tiled = targets.unionByName(queries).join(held, "rep").repartition(n, *at).sortWithinPartitions(*at).select(*at, "rep", "component", "query", "set")
+        group = components(linked.unionByName(tiled.mapInArrow(_sweep(percent), "u long, v long")))
     named = classes.select("c1", "c2", "rep").join(group, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     some = rows.select("doc_id", "n_shingles", "c1", "c2").filter("n_shingles > 0").join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     none = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

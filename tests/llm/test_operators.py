@@ -148,6 +148,27 @@ def test_near_dedup_in_one_large_region(spark, monkeypatch):
             t[k] = f"z{rng.integers(50)}"
         rows.append((i, " ".join(t)))
     monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "TILE", 20)
+    got = lists(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute_near(rows, 2, 80)
+
+
+def test_near_dedup_finds_the_only_link_in_a_large_region(spark):
+    """A hundred texts close to one another, and some that are close enough to just one of them."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(100):
+        t = list(base)
+        for k in rng.choice(100, 3, replace=False):
+            t[k] = f"z{rng.integers(10**6)}"
+        rows.append((i, t))
+    for i in range(100, 112):
+        t = list(rows[i - 100][1])
+        for k in rng.choice(np.arange(0, 100, 2), 5, replace=False):
+            t[k] = f"y{rng.integers(10**6)}"
+        rows.append((i, t))
+    rows = [(i, " ".join(t)) for i, t in rows]
     got = lists(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2), "doc_id", "n_shingles", "component_id", "kept")
     assert got == brute_near(rows, 2, 80)
 
