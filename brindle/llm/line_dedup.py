@@ -1,8 +1,8 @@
 """Repeated and nearly repeated lines by a segment-partition edit join, in SQL operations throughout.
 
 Lines are what stands between line feeds.  A line of at least ``min_chars`` characters goes when an equal line, or
-one a single insertion, deletion or substitution away, stands earlier in the corpus (smaller doc_id, then earlier in
-its document); shorter lines always stay.  Lines are judged on the input, so a removed line still counts as earlier
+one at most ``max_edits`` insertions, deletions and substitutions away, stands earlier in the corpus (smaller doc_id,
+then earlier in its document); shorter lines always stay.  Lines are judged on the input, so a removed line still counts as earlier
 for others.  What stays of a document keeps its order and line feeds.
 
 Equal lines are found by their SHA-256, folded on the map side, so a line that stands in every document is one row
@@ -11,7 +11,12 @@ lines an edit apart, one segment agrees, at the shift that their lengths give.
 length, number and content; a line probes the keys of its own length and of the next smaller one.  A segment that
 many lines share is not joined as it is: its lines also have to agree on all but a quarter, a sixteenth and so on of
 the rest (``candidates``), which loses no pair and bounds every group by the alphabet.  Candidates are verified by a
-bit-parallel edit distance on a band of three diagonals held in one integer.
+bit-parallel edit distance on a band of 2 * max_edits + 1 diagonals held in one integer.
+
+That is for one edit.  With more, each line is split into max_edits + 1 segments, of which one agrees with at most i
+edits before segment i; a line probes its own and smaller lengths at the shifts that leaves (``far_candidates``).  The
+lines of a hot segment also have to agree on a segment of the longest part that is left, ``ROUNDS`` times over; what is
+hot then is joined as it is, so that no pair is lost, but lines that many near copies share can make many pairs.
 
 Null text counts as empty: one empty line.  A null doc_id comes after all others.  Rows equal in doc_id and text
 are one document and get the same result.  Texts are read whole; other columns are ignored.
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import read_table, row_key, stage, text_or_empty
 
-EDITS = 1
 HOT = 32
+ROUNDS = 2
 BROADCAST_LINES = 1_000_000
 LAST = (1 << 63) - 1
 
@@ -79,6 +84,66 @@ def candidates(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     return stage(out.distinct(), "line-candidates", n_lines) if len(found) > 1 else out
 
 
+def far_keys(line: Column, max_edits: int) -> tuple[Column, Column]:
+    """Keys of the segments of a line as an index entry, and as a probe of its own and of smaller lengths."""
+    t, n, index, probe = max_edits, F.char_length(line), [], []
+    for less in range(t + 1):
+        m = (n - less).cast("long")
+        for i in range(t + 1):
+            low, high = (F.floor(m * k / (t + 1)).cast("int") for k in (i, i + 1))
+            # A shift fits when the segments before can take it and the rest the others.
+            for shift in range(-i, i + 1):
+                if abs(less - shift) <= t - i:
+                    probe.append(F.xxhash64(m, F.lit(i), F.substring(line, low + shift + 1, high - low)))
+            if not less:
+                index.append(F.xxhash64(m, F.lit(i), F.substring(line, low + 1, high - low)))
+    return F.array(*index), F.array(*probe)
+
+
+def _narrow(rows: DataFrame, max_edits: int) -> DataFrame:
+    """Rows (lid, line, held, key, free) with one more segment in their keys.
+
+    ``free`` are the parts of the index line that need not agree, from lo to hi, and the shifts sl and sr of the probe
+    at their ends.  The longest part is cut in max_edits + 1; one of these agrees, as in ``far_keys``.
+    """
+    t = max_edits
+    longest = F.array_max(F.transform("free", lambda x: F.struct((x["hi"] - x["lo"]).alias("w"), (-x["lo"]).alias("o"), x["lo"].alias("lo"), x["hi"].alias("hi"), x["sl"].alias("sl"), x["sr"].alias("sr"))))
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i in range(t + 1) for d in range(-i, i + 1)])
+    cut = rows.withColumn("g", longest).withColumn("c", F.explode(cuts)).filter("NOT held OR c.d = 0")
+    cut = cut.withColumns({"rest": F.expr("filter(free, x -> x.lo <> g.lo OR x.hi <> g.hi)"), "s": F.expr("g.sl + c.d"), "a": F.expr(f"g.lo + cast(g.w * c.i div {t + 1} as int)"), "b": F.expr(f"g.lo + cast(g.w * (c.i + 1) div {t + 1} as int)")})
+    fits = f"abs(g.sr - s) <= {t} - c.i AND a + s >= g.lo + g.sl AND b + s <= g.hi + g.sr AND aggregate(rest, abs(c.d) + abs(g.sr - s), (n, x) -> n + abs(x.sr - x.sl)) <= {t}"
+    return cut.filter(fits).select(
+        "lid", "line", "held", F.expr("xxhash64(key, c.i, substring(line, a + s + 1, b - a))").alias("key"),
+        F.expr("concat(rest, array(named_struct('lo', g.lo, 'hi', a, 'sl', g.sl, 'sr', s), named_struct('lo', b, 'hi', g.hi, 'sl', s, 'sr', g.sr)))").alias("free"),
+    )
+
+
+def far_candidates(distinct: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """Pairs of line ids (a < b) that agree in a segment, and where over ``HOT`` lines share it in more of them."""
+    n_lines, found, rows = distinct.count(), [], None
+    keys = distinct.select("lid", F.explode("index").alias("key"), F.lit(True).alias("held")).unionByName(distinct.select("lid", F.explode(F.array_distinct("probe")).alias("key"), F.lit(False).alias("held")))
+    for left in range(ROUNDS, -1, -1):
+        hot = stage(keys.filter("held").groupBy("key").count().filter(F.col("count") > HOT).select("key"), "line-hot", (max_edits + 1) * n_lines // HOT)
+        n_hot = hot.count()
+        again, shared = left > 0 and n_hot > 0, F.broadcast(hot) if n_hot <= BROADCAST_LINES else hot
+        cold = keys.join(shared, "key", "left_anti") if again else keys
+        a, b = cold.filter("held").select("key", F.col("lid").alias("a")), cold.filter("NOT held").select("key", F.col("lid").alias("b"))
+        found.append(stage(a.join(b, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs"))
+        if not again:
+            break
+        if rows is None:
+            texts = _texts(lines, keys.join(shared, "key", "left_semi").select("lid").distinct(), n_lines)
+            less = F.explode(F.array(*[F.struct(F.lit(k).alias("less"), F.lit(h).alias("held")) for k, h in [(0, True), *((k, False) for k in range(max_edits + 1))]]))
+            whole = texts.withColumn("c", less).select("lid", "line", "c.held", F.expr("char_length(line) - c.less").cast("long").alias("key"), F.expr("array(named_struct('lo', 0, 'hi', char_length(line) - c.less, 'sl', 0, 'sr', c.less))").alias("free"))
+            rows = _narrow(whole, max_edits)
+        rows = stage(_narrow(rows.join(shared, "key", "left_semi"), max_edits), "line-narrow")
+        keys = rows.select("lid", "key", "held").distinct()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return stage(out.distinct(), "line-candidates") if len(found) > 1 else out
+
+
 def _texts(lines: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
     """(lid, line) of the given line ids; the ids are broadcast only while they are few."""
     wanted = stage(ids, "line-wanted", bound)
@@ -111,16 +176,16 @@ def edit_distance(a: str, b: str, max_edits: int) -> str:
         c -> c.d)), 1)"""
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 20) -> DataFrame:
     """One row per row of ``docs``: row (a struct of every column but text), n_lines, n_removed and text, what stays."""
-    if min_chars <= 2 * EDITS:
-        raise ValueError("min_chars must be over 2")
+    if max_edits < 1 or max_edits > 15 or min_chars <= 2 * max_edits:
+        raise ValueError("max_edits must be 1 to 15 and min_chars over twice that")
     given = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"), row_key().alias("__rk"),
         F.split(text_or_empty(), "\n").alias("__lines"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"),
     )
     lines = given.select("__doc", "__rk", F.posexplode("__lines").alias("no", "line")).filter(F.char_length("line") >= min_chars)
-    index, probe = segment_keys(F.col("line"))
+    index, probe = segment_keys(F.col("line")) if max_edits == 1 else far_keys(F.col("line"), max_edits)
     where = F.struct(F.col("__doc").alias("doc"), F.col("__rk").alias("rk"), "no")
     distinct = stage(
         lines.select(where.alias("at"), F.unhex(F.sha2("line", 256)).alias("digest"), F.xxhash64("line").alias("lid"), F.char_length("line").alias("n"), index.alias("index"), probe.alias("probe"))
@@ -128,10 +193,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20) -> DataFrame:
         .agg(F.min("at").alias("at"), *[F.any_value(c).alias(c) for c in ("lid", "n", "index", "probe")]),
         "line-distinct",
     )
-    pairs = candidates(distinct, lines)
+    pairs = candidates(distinct, lines) if max_edits == 1 else far_candidates(distinct, lines, max_edits)
     known = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), 2 * pairs.count())
     both = pairs.join(known.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    near = both.filter(F.abs(F.char_length("x") - F.char_length("y")) <= EDITS).filter(f"({edit_distance('x', 'y', EDITS)}) <= {EDITS}")
+    near = both.filter(F.abs(F.char_length("x") - F.char_length("y")) <= max_edits).filter(f"({edit_distance('x', 'y', max_edits)}) <= {max_edits}")
     links = near.select(F.unhex(F.sha2("x", 256)).alias("x"), F.unhex(F.sha2("y", 256)).alias("y"))
     place = distinct.select("digest", "at")
     later = (
@@ -160,6 +225,12 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_line_dedup_far(spark, sf_dir: str) -> DataFrame:
+    """Lines up to two edits away; the SQL of ``op10_line_dedup`` is written for one."""
+    done = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), max_edits=2)
+    return done.select("row.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 ORACLE = """
 WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 e AS (SELECT r, no, l[no] AS line FROM (SELECT r, l, unnest(generate_series(1, len(l))) AS no FROM t)),

@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op10_line_dedup_far": line_dedup.op10_line_dedup_far,
     }
 
 
