@@ -113,12 +113,26 @@ def _(t):
     return chat.attach(messages, links, attachments(t)).select("message_id", "attachment_id")
 
 
+@book("content_attachments_whole", "SELECT l_orderkey AS message_id, l_partkey AS attachment_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 <> 0")
+def _(t):
+    links = t.raw("lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_partkey").alias("attachment_id"))
+    return chat.attach(t.raw("orders").select(F.col("o_orderkey").alias("message_id")), links, attachments(t)).select("message_id", "attachment_id")
+
+
 @book("content_unreferenced", "SELECT p_partkey AS attachment_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 3000)")
 def _(t):
     links = t.raw("lineitem").filter("l_orderkey < 3000").select(F.col("l_partkey").alias("attachment_id"))
     return chat.unreferenced(attachments(t), links).select("attachment_id")
 
 
+@book("content_unreferenced_whole", "SELECT a AS attachment_id FROM (SELECT p_partkey AS a FROM part UNION ALL SELECT -p_partkey FROM part WHERE p_partkey % 11 = 0) WHERE a NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
+def _(t):
+    # Every eleventh attachment has a second upload, under its negative id, that no message took.
+    a = attachments(t)
+    links = t.raw("lineitem").select(F.col("l_partkey").alias("attachment_id"))
+    return chat.unreferenced(a.unionByName(a.filter("attachment_id % 11 = 0").withColumn("attachment_id", -F.col("attachment_id"))), links).select("attachment_id")
+
+
 @book("content_storage_used", "SELECT cast(coalesce(sum(p_size), 0) AS BIGINT) AS used_bytes FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
 def _(t):
     return chat.storage_used(attachments(t))
@@ -129,6 +143,11 @@ def _(t):
     return t.messages().filter("session_id % 3 = 0").groupBy("session_id").agg(F.count("*").alias("n"))
 
 
+@book("content_message_counts_whole", "SELECT session_id, count(*) AS n FROM messages GROUP BY session_id")
+def _(t):
+    return t.messages().groupBy("session_id").agg(F.count("*").alias("n"))
+
+
 @book("content_text_functions", """SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), ':[0-9]+$', ''), '^www\\.', '')) AS host,
 CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/octet-stream' END AS media, CASE WHEN page_id % 2 = 0 THEN substr(replace(url, '.', '_'), 1, 15) || '.html' ELSE substr(replace(url, '.', '_'), 1, 20) END AS cut FROM pages WHERE length(url) > 25""")
 def _(t):

@@ -16,3 +16,12 @@ def test_every_id(spark, name):
     table, key, column = LEDGER[name]
     want = spark.read.parquet(f"{DATA}/{table}.parquet").selectExpr(f"{key} AS k").distinct()
     assert want.exceptAll(catalog.queries()[name](spark, DATA).selectExpr(f"{column} AS k").distinct()).count() == 0
+
+
+def test_all_links_messages_and_sessions(spark):
+    q, raw = catalog.queries(), lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
+    linked = raw("lineitem").selectExpr("l_partkey AS attachment_id").distinct()
+    alone = q["content_unreferenced_whole"](spark, DATA)
+    assert alone.count() > 0 and alone.join(linked, "attachment_id").count() == 0
+    assert q["content_attachments_whole"](spark, DATA).count() == raw("lineitem").filter("l_partkey % 7 <> 0").count()
+    assert q["content_message_counts_whole"](spark, DATA).count() == raw("conversations").select("conv_id").distinct().count()
