@@ -45,6 +45,12 @@ def _(t):
     return h.ancestors(h.closure(tree, levels=LEVELS), tree, tree.filter("startswith(id, 'c1')").select("id"), respect_barriers=False)
 
 
+@book("tree_ancestors_all_whole", "SELECT descendant_id AS start_id, ancestor_id AS id, depth FROM closure WHERE depth > 0")
+def _(t):
+    tree = t.tenants()
+    return h.ancestors(h.closure(tree, levels=LEVELS), tree, tree.select("id"), respect_barriers=False)
+
+
 @book("tree_descendants", "SELECT c.descendant_id AS id, c.depth FROM closure c JOIN tenants t ON c.descendant_id = t.id WHERE c.ancestor_id = 'root' AND c.depth > 0 AND c.barrier = 0")
 def _(t):
     return h.descendants(t.tenants(), "root", levels=LEVELS).select("id", "depth")

@@ -75,6 +75,12 @@ def _(t):
     return log.rebalance(members, 32)
 
 
+@book("stream_rebalance_whole", """WITH m AS (SELECT s_suppkey AS member_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
+SELECT member_id, cast(p AS INTEGER) AS partition FROM m, generate_series(0, 2500) g(p) WHERE p BETWEEN i * (2501 // n) + least(i, 2501 % n) AND i * (2501 // n) + least(i, 2501 % n) + 2501 // n + CASE WHEN i < 2501 % n THEN 1 ELSE 0 END - 1""")
+def _(t):
+    return log.rebalance(t.raw("supplier").select(F.col("s_suppkey").alias("member_id"), F.lit(0).alias("created_at")), 2501)
+
+
 @book("stream_micro_batches", f"WITH {_EVENTS} SELECT topic, partition, off // 100 AS batch, count(*) AS n FROM l GROUP BY ALL")
 def _(t):
     return log.micro_batches(logged(t), 100).groupBy("topic", "partition", "batch").agg(F.count("*").alias("n"))

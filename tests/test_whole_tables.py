@@ -25,3 +25,12 @@ def test_all_links_messages_and_sessions(spark):
     assert alone.count() > 0 and alone.join(linked, "attachment_id").count() == 0
     assert q["content_attachments_whole"](spark, DATA).count() == raw("lineitem").filter("l_partkey % 7 <> 0").count()
     assert q["content_message_counts_whole"](spark, DATA).count() == raw("conversations").select("conv_id").distinct().count()
+
+
+def test_all_rows_ordered_projected_walked_and_dealt(spark):
+    q, n = catalog.queries(), lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").count()
+    places = sorted(r.place for r in q["order_nulls_whole"](spark, DATA).select("place").collect())
+    assert places == list(range(len(places))) and len(places) >= n("events")
+    assert q["select_projection_whole"](spark, DATA).count() == n("orders")
+    assert q["tree_ancestors_all_whole"](spark, DATA).select("start_id").distinct().count() == n("customer") + n("nation") + n("region")
+    assert q["stream_rebalance_whole"](spark, DATA).select("member_id").distinct().count() == n("supplier")
