@@ -10,6 +10,8 @@ The benchmark is collected to the driver only up to ``block_bytes`` at a time (i
 a larger benchmark is scanned in blocks, one automaton each, whose hits are merged by document.
 
 Null or empty texts have no words, hit nothing and count 0 items; items without words have no window.
+Items whose item_id is null hit like any other; together they are one item, null and last in ``items``, which
+counts once in n_items and adds nothing to items_sha256.
 Repeated rows are scanned each on its own; a repeated item_id counts once a document.  An empty benchmark
 leaves every document clean.  Other columns are ignored.
 """
@@ -35,14 +37,19 @@ cached("decontaminate", _BUILT.clear)
 SCHEMA = "doc_id long, rk long, n_words long, hits array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
 
+def _place(item: str | None) -> tuple[bool, str]:
+    """Sort key of an item, null last."""
+    return item is None, item or ""
+
+
 def normal(text: str) -> str:
     """The words of ``text``, one byte of their UTF-8 as one character, with a space before and after each."""
     words = text.encode("utf-8", "surrogatepass").translate(_KEEP).split()
     return (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
 
 
-def patterns(items: list[tuple[str, str]], width: int) -> dict[str, set[str]]:
-    out: dict[str, set[str]] = {}
+def patterns(items: list[tuple[str | None, str]], width: int) -> dict[str, set[str | None]]:
+    out: dict[str, set[str | None]] = {}
     for item, text in items:
         words = normal(text).split()
         for i in range(max(1, len(words) - width + 1) if words else 0):
@@ -50,14 +57,14 @@ def patterns(items: list[tuple[str, str]], width: int) -> dict[str, set[str]]:
     return out
 
 
-def _automaton(key: str, items: list[tuple[str, str]], width: int):
+def _automaton(key: str, items: list[tuple[str | None, str]], width: int):
     import ahocorasick
 
     if key not in _BUILT:
         _BUILT.clear()
         made = ahocorasick.Automaton()
         for p, ids in patterns(items, width).items():
-            made.add_word(p, (p.count(" ") - 1, len(p), tuple(sorted(ids))))
+            made.add_word(p, (p.count(" ") - 1, len(p), tuple(sorted(ids, key=_place))))
         if len(made):
             made.make_automaton()
         _BUILT[key] = made
@@ -89,7 +96,7 @@ def scan(text: str, automaton) -> tuple[int, list[tuple[int, int]], list[tuple[i
     runs = merged([(int(e) - words, int(e) - 1) for e, (_, (words, _, _)) in zip(ends, found, strict=True)])
     at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     spans = [(at[a][0], at[b][1]) for a, b in runs]
-    return n_words, runs, spans, sorted({i for _, (_, _, ids) in found for i in ids})
+    return n_words, runs, spans, sorted({i for _, (_, _, ids) in found for i in ids}, key=_place)
 
 
 def _scanner(key: str, items, width: int):
@@ -113,13 +120,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     spark = docs.sparkSession
     ship(spark)
     given = docs.select("doc_id", row_key().alias("rk"), text_or_empty().alias("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_or_empty().alias("text")).filter("item IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_or_empty().alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     parts = []
     for b in range(blocks):
-        held = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = sorted((r["item"], r["text"]) for r in held.collect())
+        held = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        rows = sorted(((r["item"], r["text"]) for r in held.collect()), key=lambda r: (_place(r[0]), r[1]))
         key = hashlib.sha256(repr((width, rows)).encode()).hexdigest()
         parts.append(given.mapInArrow(_scanner(key, spark.sparkContext.broadcast(rows), width), SCHEMA))
     if blocks == 1:
