@@ -156,15 +156,7 @@ def _(t):
     return ledger.aging(t.invoices().filter("NOT settled"), F.lit("1998-12-01").cast("date"), [30, 60, 90], ["payer_id"])
 
 
-@book("ledger_straight_line", f"""WITH s AS (SELECT invoice_id, open_minor AS total, 1 + invoice_id % 14 AS months, date_trunc('month', due_date) AS d, {_even('open_minor', '(1 + invoice_id % 14)')} AS share FROM invoices WHERE invoice_id < 4000)
-SELECT invoice_id, cast(i AS INTEGER) AS segment, strftime(d + to_months(cast(i - 1 AS INTEGER)), '%Y%m') AS period_id, cast(CASE WHEN i < months THEN share ELSE total - share * (months - 1) END AS BIGINT) AS amount_minor
-FROM s, generate_series(1, 14) g(i) WHERE i <= months""")
-def _(t):
-    s = t.invoices().filter("invoice_id < 4000").select("invoice_id", F.col("open_minor").alias("total_minor"), (F.col("invoice_id") % 14 + 1).alias("months"), periods.period_of(F.col("due_date")).alias("start_period"))
-    return ledger.straight_line(s).select("invoice_id", "segment", "period_id", "amount_minor")
-
-
-@book("ledger_straight_line_whole", f"""WITH s AS (SELECT invoice_id, open_minor AS total, 1 + invoice_id % 14 AS months, date_trunc('month', due_date) AS d, {_even('open_minor', '(1 + invoice_id % 14)')} AS share FROM invoices)
+@book("ledger_straight_line", f"""WITH s AS (SELECT invoice_id, open_minor AS total, 1 + invoice_id % 14 AS months, date_trunc('month', due_date) AS d, {_even('open_minor', '(1 + invoice_id % 14)')} AS share FROM invoices)
 SELECT invoice_id, cast(i AS INTEGER) AS segment, strftime(d + to_months(cast(i - 1 AS INTEGER)), '%Y%m') AS period_id, cast(CASE WHEN i < months THEN share ELSE total - share * (months - 1) END AS BIGINT) AS amount_minor
 FROM s, generate_series(1, 14) g(i) WHERE i <= months""")
 def _(t):
@@ -181,18 +173,7 @@ def _(t):
 _RATES = "(SELECT 't' AS tenant_id, 'EUR' AS base, 'USD' AS quote, p AS provider, f AS fallback_order, 1000000 + 1000 * d + f * 7 AS rate_micro, TIMESTAMP '1996-01-01' + to_days(cast(d * 10 + f AS INTEGER)) AS as_of FROM (VALUES ('ecb', 1), ('ecb', 0), ('bank', 0)) v(p, f), generate_series(0, 220) g(d) WHERE NOT (p = 'ecb' AND d % 3 = 0))"
 
 
-@book("ledger_pick_rate", f"""WITH r AS {_RATES}, q AS (SELECT entry_id AS id, posted_at AS asked FROM journal_entries WHERE entry_id < 3000),
-j AS (SELECT id, provider, rate_micro, row_number() OVER (PARTITION BY id ORDER BY CASE provider WHEN 'ecb' THEN 1 ELSE 3 END, fallback_order, provider, as_of DESC) AS n FROM q JOIN r ON as_of <= asked AND asked - as_of <= INTERVAL 12 DAY)
-SELECT q.id, j.provider, cast(j.rate_micro AS BIGINT) AS rate_micro FROM q LEFT JOIN j ON q.id = j.id AND j.n = 1""")
-def _(t):
-    days = t.spark.range(0, 221).crossJoin(F.broadcast(t.spark.createDataFrame([("ecb", 1), ("ecb", 0), ("bank", 0)], "provider string, fallback_order int"))).filter("NOT (provider = 'ecb' AND id % 3 = 0)")
-    rates = days.select(F.lit("t").alias("tenant_id"), F.lit("EUR").alias("base"), F.lit("USD").alias("quote"), "provider", "fallback_order", (F.col("id") * 1000 + 1_000_000 + F.col("fallback_order") * 7).alias("rate_micro"),
-                        F.expr("timestamp'1996-01-01 00:00:00' + make_dt_interval(cast(id * 10 + fallback_order as int))").alias("as_of"))
-    asked = t.journal_entries().filter("entry_id < 3000").select(F.col("entry_id").alias("id"), F.lit("t").alias("tenant_id"), F.lit("EUR").alias("base"), F.lit("USD").alias("quote"), F.col("posted_at").alias("at"))
-    return ledger.pick_rate(asked, rates, ["ecb", "other"], 12 * 86400).select("id", "provider", "rate_micro")
-
-
-@book("ledger_pick_rate_whole", f"""WITH r AS {_RATES}, q AS (SELECT entry_id AS id, posted_at AS asked FROM journal_entries),
+@book("ledger_pick_rate", f"""WITH r AS {_RATES}, q AS (SELECT entry_id AS id, posted_at AS asked FROM journal_entries),
 j AS (SELECT id, provider, rate_micro, row_number() OVER (PARTITION BY id ORDER BY CASE provider WHEN 'ecb' THEN 1 ELSE 3 END, fallback_order, provider, as_of DESC) AS n FROM q JOIN r ON as_of <= asked AND asked - as_of <= INTERVAL 12 DAY)
 SELECT q.id, j.provider, cast(j.rate_micro AS BIGINT) AS rate_micro FROM q LEFT JOIN j ON q.id = j.id AND j.n = 1""")
 def _(t):
@@ -208,14 +189,7 @@ def _(t):
     return t.invoices().select("invoice_id", money.translate(F.col("open_minor"), F.col("invoice_id") % 300001 + 900000).alias("functional_minor"))
 
 
-@book("ledger_translate_entry", "SELECT DISTINCT entry_id, cast(0 AS BIGINT) AS net FROM journal_lines WHERE entry_id < 2000")
-def _(t):
-    lines = t.journal_lines().filter("entry_id < 2000").withColumns({"rate_micro": F.col("entry_id") + 987_001, "line_no": F.monotonically_increasing_id()})
-    done = ledger.translate_entry(lines)
-    return done.groupBy("entry_id").agg(F.sum(money.signed(F.col("side"), F.col("functional_minor"))).alias("net"))
-
-
-@book("ledger_translate_entry_whole", "SELECT DISTINCT entry_id, cast(0 AS BIGINT) AS net FROM journal_lines")
+@book("ledger_translate_entry", "SELECT DISTINCT entry_id, cast(0 AS BIGINT) AS net FROM journal_lines")
 def _(t):
     lines = t.journal_lines().withColumns({"rate_micro": F.col("entry_id") + 987_001, "line_no": F.monotonically_increasing_id()})
     done = ledger.translate_entry(lines)
@@ -268,12 +242,7 @@ def _(t):
     return out.groupBy("kind", "side", "account_class").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("amount_minor"))
 
 
-@book("ledger_reverse", "SELECT entry_id, CASE side WHEN 'DR' THEN 'CR' ELSE 'DR' END AS side, amount_minor FROM journal_lines WHERE entry_id < 500")
-def _(t):
-    return ledger.reverse_lines(t.journal_lines().filter("entry_id < 500")).select("entry_id", "side", "amount_minor")
-
-
-@book("ledger_reverse_whole", "SELECT entry_id, CASE side WHEN 'DR' THEN 'CR' ELSE 'DR' END AS side, amount_minor FROM journal_lines")
+@book("ledger_reverse", "SELECT entry_id, CASE side WHEN 'DR' THEN 'CR' ELSE 'DR' END AS side, amount_minor FROM journal_lines")
 def _(t):
     return ledger.reverse_lines(t.journal_lines()).select("entry_id", "side", "amount_minor")
 
@@ -319,16 +288,6 @@ def _(t):
 
 
 @book("ledger_periods", """SELECT entry_id, strftime(date_trunc('month', posted_at) + INTERVAL 5 MONTH, '%Y%m') AS later, strftime(date_trunc('month', posted_at) - INTERVAL 1 MONTH, '%Y%m') AS earlier, cast(date_trunc('month', posted_at) AS DATE) AS first_day, last_day(posted_at) AS last_day,
-cast((SELECT count(*) FROM generate_series(1, 40) g(i) WHERE i <= entry_id % 40 AND isodow(cast(posted_at AS DATE) + cast(i AS INTEGER)) < 6) AS INTEGER) AS workdays FROM journal_entries WHERE entry_id < 3000""")
-def _(t):
-    p, day = F.col("period_id"), F.col("posted_at").cast("date")
-    return t.journal_entries().filter("entry_id < 3000").select(
-        "entry_id", periods.period_add(p, 5).alias("later"), periods.period_add(p, -1).alias("earlier"), periods.period_start(p).alias("first_day"), periods.period_end(p).alias("last_day"),
-        periods.business_days(day, F.date_add(day, (F.col("entry_id") % 40).cast("int"))).alias("workdays"),
-    )
-
-
-@book("ledger_periods_whole", """SELECT entry_id, strftime(date_trunc('month', posted_at) + INTERVAL 5 MONTH, '%Y%m') AS later, strftime(date_trunc('month', posted_at) - INTERVAL 1 MONTH, '%Y%m') AS earlier, cast(date_trunc('month', posted_at) AS DATE) AS first_day, last_day(posted_at) AS last_day,
 cast((SELECT count(*) FROM generate_series(1, 40) g(i) WHERE i <= entry_id % 40 AND isodow(cast(posted_at AS DATE) + cast(i AS INTEGER)) < 6) AS INTEGER) AS workdays FROM journal_entries""")
 def _(t):
     p, day = F.col("period_id"), F.col("posted_at").cast("date")
@@ -355,13 +314,7 @@ def _(t):
     return not_listed(rows, rows.filter("v = 3").select("period_id", "v", "x").distinct(), ["period_id", "v", "x"]).select("entry_id")
 
 
-@book("ledger_audit_rows", "SELECT e.entry_id, l.side, l.amount_minor, CASE WHEN e.entry_id % 2 = 0 THEN '''=1+' || e.entry_id ELSE 'plain' END AS note FROM journal_entries e LEFT JOIN journal_lines l ON e.entry_id = l.entry_id WHERE e.entry_id % 50 = 3 OR e.entry_id % 50 = 4")
-def _(t):
-    e = t.journal_entries().filter("entry_id % 50 IN (3, 4)").select("entry_id", F.when(F.col("entry_id") % 2 == 0, F.concat(F.lit("=1+"), "entry_id")).otherwise("plain").alias("note"))
-    return sinks.audit_rows(e, t.journal_lines().select("entry_id", "side", "amount_minor"), e)
-
-
-@book("ledger_audit_rows_whole", "SELECT e.entry_id, l.side, l.amount_minor, CASE WHEN e.entry_id % 2 = 0 THEN '''=1+' || e.entry_id ELSE 'plain' END AS note FROM journal_entries e LEFT JOIN journal_lines l ON e.entry_id = l.entry_id")
+@book("ledger_audit_rows", "SELECT e.entry_id, l.side, l.amount_minor, CASE WHEN e.entry_id % 2 = 0 THEN '''=1+' || e.entry_id ELSE 'plain' END AS note FROM journal_entries e LEFT JOIN journal_lines l ON e.entry_id = l.entry_id")
 def _(t):
     e = t.journal_entries().select("entry_id", F.when(F.col("entry_id") % 2 == 0, F.concat(F.lit("=1+"), "entry_id")).otherwise("plain").alias("note"))
     return sinks.audit_rows(e, t.journal_lines().select("entry_id", "side", "amount_minor"), e)

@@ -68,14 +68,7 @@ def _(t):
     return log.interest(events(t), "top1", ["p*", "view"], tenants).select("event_id")
 
 
-@book("stream_rebalance", """WITH m AS (SELECT s_suppkey AS member_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier WHERE s_suppkey < 9)
-SELECT member_id, cast(p AS INTEGER) AS partition FROM m, generate_series(0, 31) g(p) WHERE p BETWEEN i * (32 // 9) + least(i, 32 % 9) AND i * (32 // 9) + least(i, 32 % 9) + 32 // 9 + CASE WHEN i < 32 % 9 THEN 1 ELSE 0 END - 1""")
-def _(t):
-    members = t.raw("supplier").filter("s_suppkey < 9").select(F.col("s_suppkey").alias("member_id"), F.lit(0).alias("created_at"))
-    return log.rebalance(members, 32)
-
-
-@book("stream_rebalance_whole", """WITH m AS (SELECT s_suppkey AS member_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
+@book("stream_rebalance", """WITH m AS (SELECT s_suppkey AS member_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
 SELECT member_id, cast(p AS INTEGER) AS partition FROM m, generate_series(0, 2500) g(p) WHERE p BETWEEN i * (2501 // n) + least(i, 2501 % n) AND i * (2501 // n) + least(i, 2501 % n) + 2501 // n + CASE WHEN i < 2501 % n THEN 1 ELSE 0 END - 1""")
 def _(t):
     return log.rebalance(t.raw("supplier").select(F.col("s_suppkey").alias("member_id"), F.lit(0).alias("created_at")), 2501)

@@ -1,8 +1,9 @@
 """Trees: closure, ancestors, descendants, integrity and repair.
 
 A tree is (id, parent_id, self_managed, status).  Walks go level by level as joins: each step joins the frontier
-with the table, so a step costs one pass over the edges and the number of steps is the depth, bounded by
-``max_depth``; a longer chain (or a cycle) is reported by ``integrity`` and cut here.
+with the table, so a step costs one pass over the edges and the number of steps is the depth.  Where the caller
+knows the depth (``levels``) the plan stays lazy; otherwise every level is written to the shared folder and the
+walk goes on as long as it finds something, to any depth.
 """
 
 from __future__ import annotations
@@ -12,33 +13,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64
+from brindle.operators.durable import durable
 
 
-def _cut(df: DataFrame, step: int, every: int = 8) -> DataFrame:
-    """Checkpoint long lineages where the session names a folder for it."""
-    if step % every == 0 and df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df
-
-
-def closure(tree: DataFrame, max_depth: int = MAX_DEPTH, levels: int | None = None) -> DataFrame:
+def closure(tree: DataFrame, levels: int | None = None) -> DataFrame:
     """(ancestor_id, descendant_id, barrier, depth), self rows included.
 
     barrier is 0 on self rows and 1 where the descendant or a tenant strictly between is self-managed.  ``levels``
-    fixes the number of steps where the depth is known, which keeps the plan lazy.
+    fixes the number of steps where the depth is known, which keeps the plan lazy.  Without it the walk ends by
+    itself, and a node on a cycle or below one has its self row alone.
     """
     nodes = tree.select("id", "parent_id", "self_managed")
     there = nodes.select(F.col("id").alias("parent_id"))
     up = nodes.join(there, "parent_id", "left_semi").select(F.col("id").alias("__id"), F.col("parent_id").alias("__next"), F.col("self_managed").alias("__own"))
     level = nodes.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("barrier"), F.lit(0).alias("depth"))
-    parts = [level]
-    for step in range(1, (levels if levels is not None else max_depth) + 1):
-        level = level.join(up, F.col("ancestor_id") == F.col("__id")).select(
-            F.col("__next").alias("ancestor_id"), "descendant_id", F.when(F.col("__own"), 1).otherwise(F.col("barrier")).alias("barrier"), F.lit(step).alias("depth"))
-        level = _cut(level, step)
-        if levels is None and level.isEmpty():
-            break
+    parts, before = [level], None
+    step = 0
+    while levels is None or step < levels:
+        step += 1
+        own = F.when(F.col("__own"), 1).otherwise(F.col("barrier")).alias("barrier")
+        level = level.join(up, F.col("ancestor_id") == F.col("__id")).select(F.col("__next").alias("ancestor_id"), "descendant_id", own, F.lit(step).alias("depth"))
+        if levels is None:
+            level = durable(level)
+            size = level.count()
+            if not size:
+                break
+            if size == before:
+                # Of the nodes that got this far none has ended; a node that ends has an ancestor that ended here.
+                endless = level.select("descendant_id").distinct()
+                parts = parts[:1] + [p.join(endless, "descendant_id", "left_anti") for p in parts[1:]]
+                break
+            before = size
         parts.append(level)
     return reduce(DataFrame.unionByName, parts).select("ancestor_id", "descendant_id", "barrier", "depth")
 
@@ -58,9 +63,10 @@ def ancestors(closed: DataFrame, tree: DataFrame, starts: DataFrame, respect_bar
     return kept.filter("__stop IS NULL OR depth <= __stop").select("start_id", "id", "depth")
 
 
-def descendants(tree: DataFrame, start: str, respect_barriers: bool = True, statuses: tuple = (), max_depth: int | None = None, levels: int = MAX_DEPTH) -> DataFrame:
+def descendants(tree: DataFrame, start: str, respect_barriers: bool = True, statuses: tuple = (), max_depth: int | None = None, levels: int | None = None) -> DataFrame:
     """(id, depth, path) below ``start`` in pre-order of ``path``.  A barrier child and all below it are left out, and
-    so is a subtree whose top has another status; the start itself is neither listed nor tested."""
+    so is a subtree whose top has another status; the start itself is neither listed nor tested.  Without ``levels``
+    the walk goes on until a level is empty."""
     kids = tree.select("id", "parent_id", "self_managed", "status")
     if respect_barriers:
         kids = kids.filter("NOT self_managed")
@@ -68,13 +74,18 @@ def descendants(tree: DataFrame, start: str, respect_barriers: bool = True, stat
         kids = kids.filter(F.col("status").isin(*statuses))
     kids = kids.select(F.col("id").alias("__id"), F.col("parent_id").alias("__parent"))
     level = tree.filter(F.col("id") == start).select("id", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    parts = []
-    for step in range(1, min(max_depth if max_depth is not None else levels, levels) + 1):
-        level = level.join(kids, F.col("id") == F.col("__parent")).filter(~F.array_contains("path", F.col("__id"))).select(
-            F.col("__id").alias("id"), F.lit(step).alias("depth"), F.concat("path", F.array("__id")).alias("path"))
-        level = _cut(level, step)
+    parts = [level.filter(F.lit(False))]
+    step, last = 0, min((x for x in (max_depth, levels) if x is not None), default=None)
+    while last is None or step < last:
+        step += 1
+        fresh = ~F.array_contains("path", F.col("__id"))
+        level = level.join(kids, F.col("id") == F.col("__parent")).filter(fresh).select(F.col("__id").alias("id"), F.lit(step).alias("depth"), F.concat("path", F.array("__id")).alias("path"))
+        if levels is None:
+            level = durable(level)
+            if level.isEmpty():
+                break
         parts.append(level)
-    return reduce(DataFrame.unionByName, parts).orderBy("path") if parts else level.filter(F.lit(False))
+    return reduce(DataFrame.unionByName, parts).orderBy("path")
 
 
 def is_ancestor(closed: DataFrame, pairs: DataFrame, respect_barriers: bool = True) -> DataFrame:
@@ -89,11 +100,11 @@ def is_ancestor(closed: DataFrame, pairs: DataFrame, respect_barriers: bool = Tr
 CATEGORIES = ("orphan", "broken_parent", "cycle", "depth", "root_count", "missing_self_row", "coverage_gap", "stale_edge", "barrier", "status")
 
 
-def integrity(tree: DataFrame, stored: DataFrame, levels: int, depth: str | None = None) -> DataFrame:
+def integrity(tree: DataFrame, stored: DataFrame, levels: int | None = None, depth: str | None = None) -> DataFrame:
     """(category, id, other_id) of every fault between a tree and its stored closure.
 
     orphan: a parent that does not exist.  broken_parent: a live node under a deleted one.  cycle: nodes from which no
-    walk of ``levels`` steps reaches a root or an orphan.  depth: a stored depth (column ``depth``) that is not the real one.
+    walk (of ``levels`` steps, where that is given) reaches a root or an orphan.  depth: a stored depth (column ``depth``) that is not the real one.
     root_count: a root, where there is more than one.  The rest compare the stored closure with the expected one.
     """
     none = F.lit(None).cast("string")
@@ -131,7 +142,7 @@ def fault_counts(faults: DataFrame) -> DataFrame:
     return names.join(faults.groupBy("category").count(), "category", "left").select("category", F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def repair(tree: DataFrame, stored: DataFrame, levels: int) -> DataFrame:
+def repair(tree: DataFrame, stored: DataFrame, levels: int | None = None) -> DataFrame:
     """(action, ancestor_id, descendant_id, barrier, descendant_status) that make the stored closure right; nodes on
     cycles and nodes below an orphan are left alone."""
     want = closure(tree, levels=levels).persist()

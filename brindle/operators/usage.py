@@ -71,7 +71,7 @@ def measure(op: str, value: str = "value") -> Column:
 
 
 def aggregate(records: DataFrame, spec: Spec, condition: Column | None = None) -> DataFrame:
-    """One row per group, at most ``max_buckets`` and one more, so that a caller can tell that there are too many.
+    """One row per group.  More than ``max_buckets`` groups are refused; that bounds what the driver holds here.
     Without dimensions there is one row even when nothing fits.  A null dimension is a group of its own."""
     if spec.op not in ALLOWED.get(spec.kind, ()):
         raise QueryError("operation_not_allowed", f"{spec.op} of {spec.kind}")
@@ -81,7 +81,11 @@ def aggregate(records: DataFrame, spec: Spec, condition: Column | None = None) -
     result = measure(spec.op).alias("result")
     if not spec.group_by:
         return rows.agg(result)
-    return rows.groupBy(*[_dimension(d) for d in spec.group_by]).agg(result).limit(spec.max_buckets + 1)
+    grouped = rows.groupBy(*[_dimension(d) for d in spec.group_by]).agg(result)
+    found = grouped.limit(spec.max_buckets + 1).collect()
+    if len(found) > spec.max_buckets:
+        raise QueryError("too_many_buckets", f"more than {spec.max_buckets}")
+    return records.sparkSession.createDataFrame(found, grouped.schema)
 
 
 def ingest(batch: DataFrame, stored: DataFrame | None = None, ordinal: str = "ordinal") -> DataFrame:

@@ -76,6 +76,27 @@ def test_integrity_finds_cycles_and_orphans(spark):
     assert {("orphan", "o"), ("cycle", "x"), ("cycle", "y")} <= got and not any(c == "cycle" and i in "abo" for c, i in got)
 
 
+def test_closure_has_no_depth_limit_and_ends_on_cycles(spark):
+    schema = "id string, parent_id string, self_managed boolean, status int"
+    line = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, False, 1) for i in range(12)], schema).coalesce(1)
+    assert hierarchy.closure(line).filter("descendant_id = 'n11'").count() == 12
+    rows = [("a", None, False, 1), ("b", "a", False, 1), ("c", "b", False, 1), ("x", "y", False, 1), ("y", "x", False, 1), ("z", "y", False, 1), ("w", "z", False, 1)]
+    tree = spark.createDataFrame(rows, schema).coalesce(1)
+    stored = hierarchy.closure(tree).withColumn("descendant_status", F.lit(1))
+    got = {(r.ancestor_id, r.descendant_id) for r in stored.collect()}
+    assert got == {(c, c) for c in "abcwxyz"} | {("a", "b"), ("b", "c"), ("a", "c")}
+    assert hierarchy.descendants(tree, "a").count() == 2
+    assert {r.id for r in hierarchy.integrity(tree, stored).filter("category = 'cycle'").collect()} == set("wxyz")
+
+
+def test_too_many_groups_are_refused(spark):
+    rows = spark.range(30).selectExpr("concat('t', id) AS tenant_id", "'g' AS gts_id", "'active' AS status", "id AS value", "cast(null AS string) AS corrects_id")
+    spec = lambda most: usage.Spec("g", "counter", "COUNT", ("tenant_id",), most)
+    assert usage.aggregate(rows, spec(30)).count() == 30
+    with pytest.raises(QueryError):
+        usage.aggregate(rows, spec(29))
+
+
 def test_scope_decisions(spark):
     assert admits_tenant(Scope.tenants("t1"), "t1") and not admits_tenant(Scope.tenants("t1"), "t2")
     df = spark.createDataFrame([("t1",), ("t2",)], "tenant_id string")

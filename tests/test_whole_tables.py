@@ -6,8 +6,8 @@ from brindle import catalog
 from tests.test_catalog import DATA, pytestmark  # noqa: F401
 
 LEDGER = {
-    "ledger_reverse_whole": ("lineitem", "l_orderkey", "entry_id"), "ledger_translate_entry_whole": ("lineitem", "l_orderkey", "entry_id"), "ledger_pick_rate_whole": ("orders", "o_orderkey", "id"),
-    "ledger_periods_whole": ("orders", "o_orderkey", "entry_id"), "ledger_straight_line_whole": ("orders", "o_orderkey", "invoice_id"), "ledger_audit_rows_whole": ("orders", "o_orderkey", "entry_id"),
+    "ledger_reverse": ("lineitem", "l_orderkey", "entry_id"), "ledger_translate_entry": ("lineitem", "l_orderkey", "entry_id"), "ledger_pick_rate": ("orders", "o_orderkey", "id"),
+    "ledger_periods": ("orders", "o_orderkey", "entry_id"), "ledger_straight_line": ("orders", "o_orderkey", "invoice_id"), "ledger_audit_rows": ("orders", "o_orderkey", "entry_id"),
 }
 
 
@@ -21,16 +21,16 @@ def test_every_id(spark, name):
 def test_all_links_messages_and_sessions(spark):
     q, raw = catalog.queries(), lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
     linked = raw("lineitem").selectExpr("l_partkey AS attachment_id").distinct()
-    alone = q["content_unreferenced_whole"](spark, DATA)
+    alone = q["content_unreferenced"](spark, DATA)
     assert alone.count() > 0 and alone.join(linked, "attachment_id").count() == 0
-    assert q["content_attachments_whole"](spark, DATA).count() == raw("lineitem").filter("l_partkey % 7 <> 0").count()
-    assert q["content_message_counts_whole"](spark, DATA).count() == raw("conversations").select("conv_id").distinct().count()
+    assert q["content_attachments"](spark, DATA).count() == raw("lineitem").filter("l_partkey % 7 <> 0").count()
+    assert q["content_message_counts"](spark, DATA).count() == raw("conversations").select("conv_id").distinct().count()
 
 
 def test_all_rows_ordered_projected_walked_and_dealt(spark):
     q, n = catalog.queries(), lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").count()
-    places = sorted(r.place for r in q["order_nulls_whole"](spark, DATA).select("place").collect())
+    places = sorted(r.place for r in q["order_nulls"](spark, DATA).select("place").collect())
     assert places == list(range(len(places))) and len(places) >= n("events")
-    assert q["select_projection_whole"](spark, DATA).count() == n("orders")
-    assert q["tree_ancestors_all_whole"](spark, DATA).select("start_id").distinct().count() == n("customer") + n("nation") + n("region")
-    assert q["stream_rebalance_whole"](spark, DATA).select("member_id").distinct().count() == n("supplier")
+    assert q["select_projection"](spark, DATA).count() == n("orders")
+    assert q["tree_ancestors_all"](spark, DATA).select("start_id").distinct().count() == n("customer") + n("nation") + n("region")
+    assert q["stream_rebalance"](spark, DATA).select("member_id").distinct().count() == n("supplier")
