@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from brindle.llm import line_dedup
-from tests.llm.test_operators import edits, line_rows
+from tests.llm.test_corpus_operators import edits, line_rows
 
 
 def brute(pairs, most, shortest=20):

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import brute_hits, brute_lines, brute_near
+from tests.llm.test_corpus_operators import brute_hits, brute_lines, brute_near
 
 
 @pytest.fixture(scope="module")
