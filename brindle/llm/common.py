@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import os
 import shutil
 import tempfile
@@ -61,16 +62,45 @@ def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/brindle/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.__dict__.get("_staged_path")
+        if path and (df.sparkSession, path) in _STAGED:
+            _STAGED.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
+
+
+def staged() -> int:
+    """A mark for ``release``."""
+    return len(_STAGED)
+
 
+def release(since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the tables of this process that were staged after the mark, all by default, except ``but``.  Call it
+    once the results that read them are written."""
+    keep = but.__dict__.get("_staged_path") if but is not None else None
+    for spark, path in _STAGED[since:]:
+        if path != keep:
+            _delete(spark, path)
+    _STAGED[since:] = [x for x in _STAGED[since:] if x[1] == keep]
 
-def release() -> None:
-    """Delete every staged table of this process. Call it once the results that read them are written."""
-    while _STAGED:
-        spark, path = _STAGED.pop()
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
 
 
 def ship(spark: SparkSession) -> None:
@@ -209,7 +239,10 @@ def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Polynomial hashes of any range of a sequence in constant time each, modulo 2**64."""
+    """Polynomial hashes of any range of a sequence in constant time each, modulo 2**64.
+
+    Different sequences can be made to collide, so these hashes only choose what is compared.
+    """
 
     def __init__(self, values: np.ndarray, base: int = BASES[0]):
         n = len(values)
@@ -250,6 +283,23 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def encoded(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct strings of ``raw`` cut at ``offsets``, byte for byte, and the number of each one's."""
+    data = np.ascontiguousarray(raw)
+    at = np.ascontiguousarray(offsets.astype(np.int64))
+    array = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+    return array.dictionary.to_pylist(), np.asarray(array.indices).astype(np.int64)
+
+
+def word_values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2b digest of each word; equal words are found byte for byte first."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    distinct, number = encoded(raw[~_SPACE[raw]], np.concatenate(([0], np.cumsum(ends - starts))))
+    made = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in distinct]), "<u8")
+    return made.astype(_U)[number]
+
+
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     out = raw.copy()
     out[(raw >= 65) & (raw <= 90)] += 32
