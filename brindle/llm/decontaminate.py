@@ -1,19 +1,21 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark text.
 
 A-Z are lower-cased and words are runs of digits, a-z and non-ASCII characters.  Every window of ``width``
-consecutive item words (the whole item where it has fewer) is a pattern ``" w1 ... wn "``; the document is
-written the same way, so that one pass over it finds all occurrences, overlapping ones included.  The
-position of a match in the normalised text is mapped to word numbers and, for the spans, to character
+consecutive item words (the whole item where it has fewer) is a pattern.  The automaton's letters are words: each
+word of the benchmark has a number, and a document is read once as the sequence of its words' numbers, so that one
+pass finds all occurrences, overlapping ones included.  Hits are word numbers; the spans map them to character
 offsets of the original text.
 
-The benchmark is collected to the driver only up to ``block_bytes`` at a time (its size is measured first);
-a larger benchmark is scanned in blocks, one automaton each, whose hits are merged by document.
+The automaton holds about ``block_windows`` windows, 0.6 to 0.8 KB each.  The benchmark is cut into pieces of at most
+a fifth of that (an item's pieces overlap by ``width`` - 1 words, so no window is lost) and the pieces are dealt over
+as many blocks as that takes.  A block is collected, broadcast, scanned and dropped before the next one is read; the
+runs of hits are merged by document.
 
 Null or empty texts have no words, hit nothing and count 0 items; items without words have no window.
 Items whose item_id is null hit like any other; together they are one item, null and last in ``items``, which
-counts once in n_items and adds nothing to items_sha256.
-Repeated rows are scanned each on its own; a repeated item_id counts once a document.  An empty benchmark
-leaves every document clean.  Other columns are ignored.
+counts once in n_items and adds nothing to items_sha256.  Repeated rows are scanned each on its own; a repeated
+item_id counts once a document.  There are no ties to break.  An empty benchmark leaves every document clean, an
+empty table gives an empty one.  Texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cached, read_table, row_key, ship, stage, text_or_empty, worker
+from brindle.llm.common import cached, drop, read_table, row_key, ship, stage, text_or_empty, worker
+from brindle.llm.skew import attach
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _BUILT: dict = {}
 cached("decontaminate", _BUILT.clear)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-SCHEMA = "doc_id long, rk long, n_words long, hits array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<string>"
+RUNS = "array<struct<first:long,last:long,start:long,end:long>>"
+SCHEMA = f"doc_id long, rk long, n_words long, runs {RUNS}, items array<string>"
+_RUN_KIND = pa.list_(pa.struct([(f, pa.int64()) for f in ("first", "last", "start", "end")]))
 
 
 def _place(item: str | None) -> tuple[bool, str]:
@@ -42,33 +49,43 @@ def _place(item: str | None) -> tuple[bool, str]:
     return item is None, item or ""
 
 
-def normal(text: str) -> str:
-    """The words of ``text``, one byte of their UTF-8 as one character, with a space before and after each."""
-    words = text.encode("utf-8", "surrogatepass").translate(_KEEP).split()
-    return (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
+def words(text: str) -> list[bytes]:
+    """The words of ``text`` as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_KEEP).split()
 
 
-def patterns(items: list[tuple[str | None, str]], width: int) -> dict[str, set[str | None]]:
-    out: dict[str, set[str | None]] = {}
-    for item, text in items:
-        words = normal(text).split()
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            out.setdefault(" " + " ".join(words[i : i + width]) + " ", set()).add(item)
-    return out
+class Patterns:
+    """The automaton of items given as (id, words joined by blanks)."""
+
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
+        import ahocorasick
 
+        self.letters: dict[bytes, str] = {}
+        windows: dict[str, set[str | None]] = {}
+        for item, joined in items:
+            text = "".join(self._letter(w) for w in words(joined))
+            for i in range(max(1, len(text) - width + 1) if text else 0):
+                windows.setdefault(text[i : i + width], set()).add(item)
+        self.found = ahocorasick.Automaton()
+        same: dict[frozenset, tuple] = {}
+        for w, ids in windows.items():
+            key = frozenset(ids)
+            self.found.add_word(w, (len(w), same.setdefault(key, tuple(sorted(ids, key=_place)))))
+        if windows:
+            self.found.make_automaton()
 
-def _automaton(key: str, items: list[tuple[str | None, str]], width: int):
-    import ahocorasick
+    def _letter(self, word: bytes) -> str:
+        if word not in self.letters:
+            n = len(self.letters) + 1
+            self.letters[word] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+        return self.letters[word]
 
-    if key not in _BUILT:
-        _BUILT.clear()
-        made = ahocorasick.Automaton()
-        for p, ids in patterns(items, width).items():
-            made.add_word(p, (p.count(" ") - 1, len(p), tuple(sorted(ids, key=_place))))
-        if len(made):
-            made.make_automaton()
-        _BUILT[key] = made
-    return _BUILT[key]
+    def hits(self, own: list[bytes]) -> list[tuple[int, tuple[int, tuple]]]:
+        """(last word, (number of words, items)) of every occurrence."""
+        if not len(self.found):
+            return []
+        letter = self.letters.get
+        return list(self.found.iter("".join([letter(w, "\0") for w in own])))
 
 
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -82,77 +99,90 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: str, automaton) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]], list[str]]:
-    """Number of words, merged hit ranges in words and in characters, and the items that occur."""
-    norm = normal(text)
-    if not norm:
-        return 0, [], [], []
-    n_words = norm.count(" ") - 1
-    found = list(automaton.iter(norm)) if len(automaton) else []
+def scan(text: str, patterns: Patterns) -> tuple[int, list[tuple[int, int, int, int]], list[str | None]]:
+    """Number of words, merged runs of hit words with their character offsets, and the items that occur."""
+    own = words(text)
+    found = patterns.hits(own)
     if not found:
-        return n_words, [], [], []
-    gaps = np.flatnonzero(np.frombuffer(norm.encode("latin-1"), np.uint8) == 32)
-    ends = np.searchsorted(gaps, [e for e, _ in found])
-    runs = merged([(int(e) - words, int(e) - 1) for e, (_, (words, _, _)) in zip(ends, found, strict=True)])
+        return len(own), [], []
+    runs = merged([(e - n + 1, e) for e, (n, _) in found])
     at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    spans = [(at[a][0], at[b][1]) for a, b in runs]
-    return n_words, runs, spans, sorted({i for _, (_, _, ids) in found for i in ids}, key=_place)
+    return len(own), [(a, b, at[a][0], at[b][1]) for a, b in runs], sorted({i for _, (_, ids) in found for i in ids}, key=_place)
 
 
 def _scanner(key: str, items, width: int):
     @worker("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, items.value, width)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = Patterns(items.value, width)
+        patterns = _BUILT[key]
         for batch in batches:
-            rows = [scan(t, automaton) for t in batch.column(2).to_pylist()]
-            hits = [[{"first": a, "last": b} for a, b in r[1]] for r in rows]
-            spans = [[{"start": a, "end": b} for a, b in r[2]] for r in rows]
-            columns = [batch.column(0), batch.column(1), [r[0] for r in rows], hits, spans, [r[3] for r in rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "rk", "n_words", "hits", "spans", "items"])
+            rows = [scan(t, patterns) for t in batch.column(2).to_pylist()]
+            runs = [[dict(zip(("first", "last", "start", "end"), x, strict=True)) for x in r[1]] for r in rows]
+            columns = [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array(runs, _RUN_KIND), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "n_words", "runs", "items"])
 
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def _pieces(benchmark: DataFrame, width: int, most: int) -> DataFrame:
+    """(item, text, windows): items as words joined by blanks, in pieces of at most ``most`` windows."""
+    own = F.filter(F.split(F.translate(text_or_empty(), UPPER, LOWER), SEPARATORS), lambda w: w != "")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), own.alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - width), F.lit(most))
+    cut = rows.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s") + 1, most + width - 1).alias("w"))
+    return cut.select("item", F.array_join("w", " ").alias("text"), F.greatest(F.lit(1), F.size("w") - width + 1).alias("windows"))
+
+
+def _scan_block(given: DataFrame, block: DataFrame, width: int) -> tuple[DataFrame, object]:
+    rows = sorted(((r["item"], r["text"]) for r in block.collect()), key=lambda r: (_place(r[0]), r[1]))
+    key = hashlib.sha256(repr((width, rows)).encode("utf-8", "surrogatepass")).hexdigest()
+    held = given.sparkSession.sparkContext.broadcast(rows)
+    return given.mapInArrow(_scanner(key, held, width), SCHEMA), held
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 250_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, rk, n_words, hits (word ranges), spans (character ranges of the
     original text, end exclusive) and items that occur."""
     spark = docs.sparkSession
     ship(spark)
-    given = docs.select("doc_id", row_key().alias("rk"), text_or_empty().alias("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_or_empty().alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
-    parts = []
-    for b in range(blocks):
-        held = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = sorted(((r["item"], r["text"]) for r in held.collect()), key=lambda r: (_place(r[0]), r[1]))
-        key = hashlib.sha256(repr((width, rows)).encode()).hexdigest()
-        parts.append(given.mapInArrow(_scanner(key, spark.sparkContext.broadcast(rows), width), SCHEMA))
-    if blocks == 1:
-        return parts[0]
-    # Each block's rows of a document agree in n_words; repeated documents stay as many rows as they were.
-    n = F.count("*").alias("n")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    one = (
-        stage(every, "decontaminate-blocks")
-        .groupBy("doc_id", "rk")
-        .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), n)
-        .withColumn("hits", _runs("hits", "first", "last", 1))
-        .withColumn("spans", F.array_sort(F.array_distinct("spans")))
-    )
-    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr(f"cast(n div {blocks} as int)")))).drop("copy", "n")
-
-
-def _runs(column: str, low: str, high: str, gap: int):
-    """Merge sorted ranges of an array of structs in SQL."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), text_or_empty().alias("text"))
+    pieces = _pieces(benchmark, width, max(1, block_windows // 5)).select("item", "text", "windows")
+    total = pieces.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    if total <= block_windows:
+        found, _ = _scan_block(given, pieces, width)
+    else:
+        blocks = -(-2 * int(total) // block_windows)  # half full on average, since pieces are dealt by hash
+        dealt = stage(pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")), "decontaminate-pieces")
+        parts = []
+        for b in range(blocks):
+            one, held = _scan_block(given, dealt.filter(F.col("block") == b).select("item", "text"), width)
+            parts.append(stage(one.filter(F.size("runs") > 0).select("doc_id", "rk", "runs", "items"), "decontaminate-hits"))
+            held.destroy()
+        drop(dealt)
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        # Repeated rows of a document have the same runs, so each key's are a set.
+        grouped = every.groupBy("doc_id", "rk").agg(
+            F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("copies"))
+        counted, held = _scan_block(given, pieces.limit(0), width)
+        found = attach(counted.select("doc_id", "rk", "n_words"), grouped.withColumn("runs", _merge("runs")), ["doc_id", "rk"], "copies", how="left")
+        found = found.withColumns({"runs": F.coalesce("runs", F.array().cast(RUNS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    hits = F.transform("runs", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last")))
+    spans = F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return found.select("doc_id", "rk", "n_words", hits.alias("hits"), spans.alias("spans"), "items")
+
+
+def _merge(column: str):
+    """Merge runs of an array in SQL, as ``merged`` does."""
     return F.expr(
-        f"aggregate(array_sort(array_distinct({column})), cast(array() as array<struct<{low}:bigint,{high}:bigint>>), (acc, x) -> "
-        f"case when size(acc) > 0 and x.{low} <= element_at(acc, -1).{high} + {gap} "
-        f"then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).{low} as {low}, greatest(element_at(acc, -1).{high}, x.{high}) as {high}))) "
-        f"else concat(acc, array(struct(x.{low} as {low}, x.{high} as {high}))) end)"
+        f"aggregate(array_sort({column}), cast(array() as {RUNS}), (acc, x) -> "
+        "case when size(acc) > 0 and x.first <= element_at(acc, -1).last + 1 "
+        "then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).first as first, greatest(element_at(acc, -1).last, x.last) as last, "
+        "element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, x.end) as end))) "
+        "else concat(acc, array(x)) end)"
     )
 
 
