@@ -5,16 +5,19 @@ the binary digits of the rest, longest first.  Every piece is a sequence of its
 its length, so no sequence holds two documents and none needs padding; a batch is drawn from one bucket.
 
 Token ids come from the tokenizers library, called once for each distinct pre-token that a worker has not met;
-texts that hold a special token's string are encoded whole by the library.  Pre-tokens are told apart by a
-64-bit hash of their code points within one worker's bounded cache.
-
-Null text counts as empty: such a document is its end token alone.  Repeated rows are packed each on its own.
-A text is never cut short.  Sequence ids are unique: the input partition's number and a counter within it, so
-a task that runs again after a lost executor gives the same ids for the same rows.
+texts that hold a special token's string are encoded whole by the library, and so is every text where the vocabulary
+file asks for another normaliser or pre-tokeniser than the one that ``vocab`` has.  Pre-tokens are told apart byte for
+byte.
+
+Null text counts as empty: such a document is its end token alone.  Repeated rows are packed each on its own, and so
+are rows without a doc_id.  A text is never cut short.  There are no ties.  An empty table gives an empty one; other
+columns are ignored, whatever their names.  Sequence ids are unique: the input partition's number and a counter
+within it, so a task that runs again after a lost executor gives the same ids for the same rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cached, read_table, ship, slices, text_or_empty, worker
-from brindle.llm.vocab import Known, byte_level_starts, ragged, token_keys
+from brindle.llm.common import cached, encoded, read_table, ship, slices, text_or_empty, worker
+from brindle.llm.vocab import Known, byte_level_starts, ragged
 
 _ENCODERS: dict[str, ByteLevelEncoder] = {}
 cached("packing", _ENCODERS.clear)
@@ -48,7 +51,12 @@ class ByteLevelEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer_path(name))
+        path = tokenizer_path(name)
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        self.by_word = not spec["normalizer"] and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known = Known()
         vocab = self.whole.get_vocab(with_added_tokens=True)
@@ -77,20 +85,14 @@ class ByteLevelEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n + 1 bounds."""
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        odd = {i for i, t in enumerate(texts) if not self.by_word or any(s in t for s in self.special)}
         plain = ["" if i in odd else t for i, t in enumerate(texts)]
         points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
         limits = np.concatenate(([0], np.cumsum([len(t) for t in plain]))).astype(np.int64)
         if len(points):
             starts = byte_level_starts(points, limits)
-            keys, first, back = np.unique(token_keys(points, starts), return_index=True, return_inverse=True)
-            ends = np.append(starts[1:], len(points))
-
-            def fill(new: np.ndarray):
-                words = [points[starts[i] : ends[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in first[new]]
-                return self.encode_words(words)
-
-            row = self.known.rows(keys, fill)[back]
+            words, number = encoded(points, np.append(starts, len(points)) * 4)
+            row = self.known.rows(words, lambda new: self.encode_words([w.decode("utf-32-le", "surrogatepass") for w in new]))[number]
             size = self.known.size[row]
             ids = ragged(self.known.pool, self.known.at[row], size)
             upto = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))

@@ -6,13 +6,18 @@ met are held together as one ragged array of symbols, and all are merged at once
 applies its own lowest-ranked pair at all places where it occurs, left to right, until no sequence has a pair
 that the merge table knows.  What is left is counted.
 
-Strings of added tokens inside a text are taken out before normalising and count one token each.  Null text
-counts as empty: 0 bytes, 0 tokens.  Texts are counted whole, repeated rows each on their own.
+Strings of added tokens inside a text are taken out before normalising and count one token each.  A text with a
+character that Python's tables do not know, or give another lower case than the library, is counted by the library.
+
+Null text counts as empty: 0 bytes, 0 tokens.  Texts are counted whole, repeated rows each on their own, rows
+without a doc_id like others.  There are no ties.  An empty table gives an empty one; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,11 @@ class WordCounter:
 
     def __init__(self, name: str, limit: int = 1_000_000):
         import regex
+        from tokenizers import Tokenizer
+        from tokenizers.normalizers import Lowercase
 
+        self.whole, self.lower = Tokenizer.from_file(tokenizer_path(name)), Lowercase()
+        self.same: dict[str, bool] = {}
         with open(tokenizer_path(name), encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
@@ -97,9 +106,13 @@ class WordCounter:
             symbols, owner = symbols[keep], owner[keep]
         return out
 
-    def words(self, text: str) -> list[str]:
-        import unicodedata
+    def known(self, text: str) -> bool:
+        """Whether Python lower-cases every character as the library does."""
+        for c in set(text) - self.same.keys():
+            self.same[c] = unicodedata.category(c) != "Cn" and self.lower.normalize_str(c) == c.lower()
+        return text.isascii() or all(map(self.same.__getitem__, set(text)))
 
+    def words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
@@ -110,7 +123,11 @@ class WordCounter:
     def __call__(self, texts: list[str]) -> list[int]:
         held, extra = [], []
         for t in texts:
-            special = len(self.cut.findall(t)) if "<|" in t else 0
+            if not t.isascii() and not self.known(t):
+                extra.append(len(self.whole.encode(t, add_special_tokens=False).ids))
+                held.append([])
+                continue
+            special = len(self.cut.findall(t)) if any(a in t for a in self.added) else 0
             extra.append(special)
             held.append([w for part in self.cut.split(t) for w in self.words(part)] if special else self.words(t))
         if len(self.counts) > self.limit:

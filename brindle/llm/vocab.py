@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from brindle.llm.common import Rolling, cached, mix64
+from brindle.llm.common import cached
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 _CLASS: list[np.ndarray] = []
@@ -75,36 +75,34 @@ def byte_level_starts(points: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 
 class Known:
-    """Sorted 64-bit hashes of pre-tokens with a ragged row of values each; it is emptied beyond ``limit`` entries."""
+    """Pre-tokens, byte for byte, with a ragged row of values each.  It is emptied beyond ``limit`` entries or
+    ``size_limit`` bytes of pre-tokens."""
 
-    def __init__(self, limit: int = 2_000_000):
-        self.limit = limit
+    def __init__(self, limit: int = 500_000, size_limit: int = 64 << 20):
+        self.limit, self.size_limit = limit, size_limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.index: dict[bytes, int] = {}
+        self.bytes = 0
         self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def rows(self, keys: np.ndarray, fill: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Row numbers of the sorted distinct ``keys``; ``fill`` gives sizes and values of those (by index) not known."""
-        if len(self.keys) + len(keys) > self.limit:
+    def rows(self, words: list[bytes], fill: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Row numbers of distinct ``words``; ``fill`` gives sizes and values of those that are not known."""
+        if len(self.index) + len(words) > self.limit or self.bytes > self.size_limit:
             self.clear()
-        place = np.searchsorted(self.keys, keys)
-        there = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        there[inside] = self.keys[place[inside]] == keys[inside]
-        new = np.flatnonzero(~there)
-        if len(new):
+        new = [w for w in words if w not in self.index]
+        if new:
             sizes, values = fill(new)
             starts = len(self.pool) + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+            self.index.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.bytes += sum(map(len, new))
             self.pool = np.concatenate((self.pool, values.astype(np.uint32)))
-            self.at = np.insert(self.at, place[new], starts)
-            self.size = np.insert(self.size, place[new], sizes)
-            self.keys = np.insert(self.keys, place[new], keys[new])
-            place = np.searchsorted(self.keys, keys)
-        return place
+            self.at = np.concatenate((self.at, starts))
+            self.size = np.concatenate((self.size, sizes))
+        return np.array([self.index[w] for w in words], np.int64)
 
 
 def ragged(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -114,8 +112,3 @@ def ragged(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     index = np.arange(total, dtype=np.int64)
     index += np.repeat(at - (ends - size), size)
     return pool[index]
-
-
-def token_keys(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    ends = np.append(starts[1:], len(points))
-    return mix64(Rolling(points + np.uint32(1)).spans(starts, ends) + (ends - starts).astype(np.uint64))
