@@ -2,7 +2,7 @@
 
 Edges are pairs of ids.  The large star hangs every larger neighbour of a node under the least id it sees, the
 small star every smaller one; they alternate until the edges no longer change, which leaves one star per
-component with the least id in the middle.  Before that, each partition replaces its edges by the stars of a
+component with the least id in the middle.  A centre with many edges is salted (``skew``).  Before that, each partition replaces its edges by the stars of a
 local union-find, which shortens chains.  Nothing but two checksums reaches the driver.
 """
 
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ship, stage
+from brindle.llm.common import drop, ship, stage
+from brindle.llm.skew import HOT_ROWS, attach
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,16 +42,22 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"])
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _least(e: DataFrame, total: int) -> DataFrame:
+    """(u, least v, number of edges); written down where a node may have so many edges that its join is salted."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return stage(least, "star-centres", total) if total > HOT_ROWS else least
+
+
+def _large(e: DataFrame, total: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both, 2 * total)
+    return attach(both, least, ["u"], "n", total=2 * total).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, total: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(down, total)
+    rest = attach(down, least, ["u"], "n", total=total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -61,8 +68,10 @@ def components(edges: DataFrame) -> DataFrame:
     sums = (F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
     before = tuple(e.agg(*sums).first())
     while before[0]:
-        e = stage(_small(_large(e)), "stars", 2 * before[0])
+        # The large star gives at most one edge a given edge in each direction.
+        last, e = e, stage(_small(_large(e, before[0]), 2 * before[0]), "stars", 2 * before[0])
         after = tuple(e.agg(*sums).first())
+        drop(last)
         if after == before:
             break
         before = after

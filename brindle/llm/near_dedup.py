@@ -11,19 +11,25 @@ meets its ``NEAR`` next neighbours, those with the longest common prefix.  So a
 m * SMALL / 2 + m * NEAR candidates, whatever its size.  The orders are range-partitioned, so a region that holds a
 third of the table is spread over tasks; rows at the partitions' borders are joined up in a second, small pass.
 Most of a large region is one component by then.  Its other members are held, as queries, against all of it, in
-tiles of ``TILE`` by ``TILE`` sets, and each tile gives one link per pair of a query and a component, so no pair that
-shares a region goes unseen and no group meets in one task.
+tiles of about ``TILE`` by ``TILE`` sets and ``TILE_VALUES`` shingles, and each tile gives one link per pair of a query
+and a component, so no pair that shares a region goes unseen and no group meets in one task.  That is quadratic where
+many texts are alike without being near duplicates: m of them in one region cost about m * m / TILE**2 tiles.
 A pair at similarity 0.8 shares the least prefix of some order with probability 1 - (1 - 0.8**3)**16 > 0.99998.
 
 Every candidate is confirmed on the full sets, 100 * intersection >= 100 * threshold * union in whole numbers,
-and groups are connected components of the confirmed links.  Shingles are told apart by 48 bits of a hash.
-
-Null and empty texts, and texts without words, have an empty set and link with nothing.  Rows that share a
-doc_id are one node.  Ties: a group is named by its least doc_id.  Texts are read whole; other columns are ignored.
+and groups are connected components of the confirmed links.  Words are told apart byte for byte within a batch and by
+64 bits of their BLAKE2b digest across batches; a shingle is a chain of bijective mixes of these.  Equal sets are
+found by 128 bits of a BLAKE2b digest of the whole set.
+
+Null and empty texts, and texts without words, have an empty set and link with nothing.  Rows that share a doc_id
+are one node: all of its sets are linked, and each of its rows has the node's component.  A row without a doc_id
+links nothing and is kept only where no row with an id has its set.  Ties: a group is named by its least doc_id.  An
+empty table gives an empty one.  Texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,44 +37,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BASES, Rolling, lower_ascii, mix64, partitions, read_table, ship, slices, stage, string_buffers, text_or_empty, word_spans, worker
+from brindle.llm.common import drop, lower_ascii, mix64, partitions, read_table, ship, slices, stage, string_buffers, text_or_empty, word_spans, word_values, worker
 from brindle.llm.components import components
+from brindle.llm.skew import attach
 
-TREES, DEPTH, LEAST, SMALL, NEAR, TILE = 16, 6, 3, 16, 2, 2000
+TREES, DEPTH, LEAST, SMALL, NEAR, TILE, TILE_VALUES = 16, 6, 3, 16, 2, 2000, 4 << 20
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, np.int64).astype(_U) * _U(2) + _U(1)
+_CHAIN = _U(0xD1342543DE82EF95)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, np.int64).astype(_U)
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit hashes of each text's distinct shingles, sorted, text after text, and n + 1 bounds."""
+    """64-bit values of each text's distinct shingles, sorted, text after text, and n + 1 bounds."""
     raw = lower_ascii(raw)
     starts, ends, first = word_spans(raw, offsets)
     n_docs = len(offsets) - 1
     if len(starts) == 0:
         return np.zeros(0, _U), np.zeros(n_docs + 1, np.int64)
-    word = mix64(Rolling(raw.astype(_U) + _U(1)).spans(starts, ends) + (ends - starts).astype(_U))
+    word = word_values(raw, starts, ends)
     of = np.repeat(np.arange(n_docs), np.diff(first))
-    rolling = Rolling(word, BASES[1])
     at = np.arange(len(word))
-    whole = at + width <= first[of + 1]
     size = np.diff(first)
     short = first[:-1][(size > 0) & (size < width)]
-    begin = np.concatenate((at[whole], short))
-    stop = np.concatenate((at[whole] + width, first[of[short] + 1]))
-    value = mix64(rolling.spans(begin, stop) + (stop - begin).astype(_U)) >> _U(16)
-    owner = of[begin]
-    parts, bounds = [], [0]
-    for low in range(0, n_docs, 1 << 16):  # 16 bits of a sort key hold the text
-        here = (owner >= low) & (owner < low + (1 << 16)) if n_docs > 1 << 16 else slice(None)
-        key = np.sort(((owner[here] - low).astype(_U) << _U(48)) | value[here])
-        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-        parts.append(key & _U((1 << 48) - 1))
-        n = np.bincount((key >> _U(48)).astype(np.int64), minlength=min(1 << 16, n_docs - low))
-        bounds.extend((bounds[-1] + np.cumsum(n)).tolist())
-    return np.concatenate(parts), np.array(bounds, np.int64)
+    begin = np.concatenate((at[at + width <= first[of + 1]], short))
+    length = np.minimum(width, first[of[begin] + 1] - begin)
+    value = mix64(length.astype(_U))
+    for k in range(width):
+        on = length > k
+        value[on] = mix64(value[on] * _CHAIN + word[begin[on] + k])
+    owner = of[begin].astype(np.uint16 if n_docs < 1 << 16 else np.int64)
+    order = np.argsort(value)
+    order = order[np.argsort(owner[order], kind="stable")]
+    value, owner = value[order], owner[order]
+    new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))
+    return value[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=n_docs))))
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -89,28 +94,25 @@ def _describe(width: int):
             values, bounds = shingles(*string_buffers(batch.column(1)), width)
             n = np.diff(bounds)
             full = np.flatnonzero(n > 0)
-            prints = np.zeros((2, len(n)), _U)
-            if len(full):
-                for k in (0, 1):
-                    prints[k, full] = np.add.reduceat(mix64(values + _U(BASES[k])), bounds[:-1][full])
+            prints = np.zeros((len(n), 2), np.int64)
+            for i in full.tolist():
+                prints[i] = np.frombuffer(hashlib.blake2b(_pack(values[bounds[i] : bounds[i + 1]]), digest_size=16).digest(), "<i8")
             blob = signatures(values, bounds).tobytes()
             step = 4 * len(_FACTORS)
             sig: list[bytes | None] = [None] * len(n)
             for i, at in enumerate(full.tolist()):
                 sig[at] = blob[i * step : (i + 1) * step]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "c1", "c2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.ascontiguousarray(prints[:, 0])), pa.array(np.ascontiguousarray(prints[:, 1])), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "c1", "c2", "sig"])
 
     return run
 
 
-def _pack48(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    return values.astype("<u8").tobytes()
 
 
-def _unpack48(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u8").astype(_U, copy=False)
 
 
 def _sets(width: int):
@@ -118,7 +120,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             values, bounds = shingles(*string_buffers(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack48(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
 
     return run
 
@@ -193,7 +195,7 @@ def _confirm(percent: int):
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = _unpack48(x.as_py()), _unpack48(y.as_py())
+                p, q = _unpack(x.as_py()), _unpack(y.as_py())
                 if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
                     continue
                 both = np.sort(np.concatenate((p, q)))
@@ -210,7 +212,7 @@ def _sweep(percent: int):
 
     def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         targets = [r for r in rows if not r[2]]
-        sets = [_unpack48(r[3]) for r in targets]
+        sets = [_unpack(r[3]) for r in targets]
         if not targets:
             return
         size = np.array([len(x) for x in sets])
@@ -219,7 +221,7 @@ def _sweep(percent: int):
         values, owner = values[order], np.repeat(np.arange(len(sets)), size)[order]
         rep, component = np.array([r[0] for r in targets]), np.array([r[1] for r in targets])
         for q, own, _, blob in (r for r in rows if r[2]):
-            x = _unpack48(blob)
+            x = _unpack(blob)
             low, high = np.searchsorted(values, x), np.searchsorted(values, x, side="right")
             hits = [owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
             shared = np.bincount(np.concatenate(hits), minlength=len(sets)) if hits else np.zeros(len(sets), np.int64)
@@ -254,14 +256,32 @@ def _fetch_sets(given: DataFrame, ids: DataFrame, width: int, bound: int) -> Dat
     return stage(given.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, set binary"), "near-sets")
 
 
-def _left_over(members: DataFrame, group: DataFrame) -> DataFrame:
-    """Members of large regions that are not one component, with their component, the region's size, the number of
-    its members outside of its largest component, and whether the member is one of those."""
-    big = members.groupBy("tree", "key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL)
-    labelled = members.join(big, ["tree", "key"]).join(group, F.col("rep") == F.col("node"), "left").select("tree", "key", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = labelled.groupBy("tree", "key", "component").agg(F.count("*").alias("k"))
-    tops = sizes.groupBy("tree", "key").agg(F.max(F.struct("k", "component")).alias("t"), F.count("*").alias("c")).filter("c > 1").select("tree", "key", "t.k", F.col("t.component").alias("top"))
-    return labelled.join(tops, ["tree", "key"]).select("tree", "key", "n", (F.col("n") - F.col("k")).alias("m"), "rep", "component", (F.col("component") != F.col("top")).alias("query"))
+def _left_over(members: DataFrame, classes: DataFrame, group: DataFrame, total: int) -> DataFrame:
+    """Members of large regions that are not one component, with their component, into how many tiles and blocks the
+    region's sets and its queries are cut, and whether the member is a query: outside of the largest component."""
+    big = stage(members.groupBy("tree", "key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL), "near-big", total)
+    inside = attach(members, big, ["tree", "key"], "n", total=total).drop("n")
+    named = inside.join(classes.select("rep", "size"), "rep").join(group, F.col("rep") == F.col("node"), "left")
+    labelled = stage(named.select("tree", "key", "rep", "size", F.coalesce("component", "rep").alias("component")), "near-labelled")
+    sizes = labelled.groupBy("tree", "key", "component").agg(F.count("*").alias("k"), F.sum("size").alias("v"))
+    tops = sizes.groupBy("tree", "key").agg(F.max(F.struct("k", "v", "component")).alias("t"), F.count("*").alias("c"), F.sum("k").alias("n"), F.sum("v").alias("v")).filter("c > 1")
+    cut = lambda rows, values: F.ceil(F.greatest(rows / TILE, values / TILE_VALUES)).cast("int")
+    tops = tops.select(
+        "tree", "key", "n", F.col("t.component").alias("top"), cut(F.col("n"), F.col("v")).alias("tiles"), cut(F.col("n") - F.col("t.k"), F.col("v") - F.col("t.v")).alias("blocks"))
+    return attach(labelled, stage(tops, "near-tops", total), ["tree", "key"], "n", total=total).select("tree", "key", "tiles", "blocks", "rep", "component", (F.col("component") != F.col("top")).alias("query"))
+
+
+def _one_node(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Links between the classes of each doc_id that has several, and (doc_id, rep) of those, None without any."""
+    both = F.struct("c1", "c2")
+    several = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(both).alias("a"), F.max(both).alias("b")).filter("a <> b").select("doc_id")
+    several = stage(several, "near-repeated")
+    if several.isEmpty():
+        return None
+    own = rows.filter("n_shingles > 0").select("doc_id", "c1", "c2").join(several, "doc_id", "left_semi").distinct()
+    own = stage(own.join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select("doc_id", "rep"), "near-repeated-classes")
+    first = own.groupBy("doc_id").agg(F.min("rep").alias("u"))
+    return own.join(first, "doc_id").filter("u <> rep").select("u", F.col("rep").alias("v")).distinct(), first
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -270,7 +290,10 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     ship(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = stage(given.mapInArrow(_describe(width), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"), "near-rows")
-    classes = stage(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "near-classes", 4 * rows.count())
+    total = rows.count()
+    grouped = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2")
+    least, size = F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")
+    classes = stage(grouped.agg(least, F.min("sig").alias("sig"), size, F.count("*").alias("rows")), "near-classes", 4 * total)
     cut = F.array(*[F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(TREES)])
     orders = classes.select(F.posexplode(cut).alias("tree", "key"), "rep")
     n = partitions(spark)
@@ -285,22 +308,33 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sets = _fetch_sets(given, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width, 2 * pairs.count())
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     linked = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "u long, v long"), "near-links", pairs.count())
+    drop(pairs, sets)
+    repeated = _one_node(rows, classes)
+    if repeated:
+        linked = linked.unionByName(repeated[0])
     group = components(linked)
     members = single.filter(F.octet_length("key") == 4 * LEAST)
-    rest = stage(_left_over(members, group), "near-rest", walked.count())
+    rest = stage(_left_over(members, classes, group, walked.count()), "near-rest", walked.count())
     if not rest.isEmpty():
         held = _fetch_sets(given, rest.select(F.col("rep").alias("doc_id")).distinct(), width, rest.count()).select(F.col("doc_id").alias("rep"), "set")
-        tiles, blocks = F.ceil(F.col("n") / TILE).cast("int"), F.ceil(F.col("m") / TILE).cast("int")
-        place = lambda count: F.pmod(F.xxhash64("rep"), count).cast("int")
-        every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-        targets = rest.select("tree", "key", place(tiles).alias("tile"), every(blocks).alias("block"), "rep", "component", F.lit(False).alias("query"))
-        queries = rest.filter("query").select("tree", "key", every(tiles).alias("tile"), place(blocks).alias("block"), "rep", "component", F.lit(True).alias("query"))
+        place = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        targets = rest.select("tree", "key", place("tiles").alias("tile"), every("blocks").alias("block"), "rep", "component", F.lit(False).alias("query"))
+        queries = rest.filter("query").select("tree", "key", every("tiles").alias("tile"), place("blocks").alias("block"), "rep", "component", F.lit(True).alias("query"))
         at = ["tree", "key", "tile", "block"]
         tiled = targets.unionByName(queries).join(held, "rep").repartition(n, *at).sortWithinPartitions(*at).select(*at, "rep", "component", "query", "set")
         group = components(linked.unionByName(tiled.mapInArrow(_sweep(percent), "u long, v long")))
-    named = classes.select("c1", "c2", "rep").join(group, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    some = rows.select("doc_id", "n_shingles", "c1", "c2").filter("n_shingles > 0").join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    none = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    drop(walked)
+    named = stage(classes.join(group, F.col("rep") == F.col("node"), "left").select("c1", "c2", "rows", F.coalesce("component", "rep").alias("component_id")), "near-named", 4 * total)
+    drop(classes)
+    full = rows.select("doc_id", "n_shingles", "c1", "c2").filter("n_shingles > 0")
+    some = attach(full, named, ["c1", "c2"], "rows", "left", total).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    none = rows.filter("n_shingles = 0").select("doc_id", "n_shingles")
+    if repeated:
+        own = repeated[1].join(group, F.col("u") == F.col("node"), "left").select("doc_id", F.coalesce("component", "u").alias("component_id"))
+        none = none.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    else:
+        none = none.withColumn("component_id", F.col("doc_id"))
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
