@@ -6,17 +6,22 @@ a language the sum of its training documents.  A document goes to the prototype
 is also the score.  Trigrams run over lower-cased letters with one blank for everything else, and those with the
 blank in the middle are left out.  A letter's vector follows from its code point, so there is no vocabulary.
 
-Prototypes are learned from all given training rows; the driver receives ``dimension`` sums a language, at most
-``max_languages`` of them (more raise an error).
+Prototypes are learned from all given training rows.  They are read ``BLOCK`` languages at a time, ``dimension`` sums
+each; beyond one block the documents go through one pass a block, and each pass keeps the better answer, so that the
+number of languages has no bound.  A batch's bundles are summed from its (text, trigram) counts: trigrams that many
+texts share as a product of dense blocks, the others text by text, so that memory follows the text and not the
+number of texts times that of trigrams.
 
 Null text, and text without a letter, gives ``und`` with score 0.  Texts are read whole.  A row without a lang
-teaches nothing; without any training row every document is ``und``.  Equal cosines go to the first language in
-string order.  Repeated rows are judged each on its own; other columns are ignored.
+teaches nothing; without any training row every document is ``und``, and an empty table gives an empty one.  Equal
+cosines go to the first language in string order.  Repeated rows are judged each on its own, and so are rows without
+a doc_id; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brindle.llm.common import cached, read_table, ship, slices, text_or_empty, worker
+from brindle.llm.common import cached, read_table, ship, slices, stage, text_or_empty, worker
 
-DIMENSION = 1024
+DIMENSION, BLOCK = 1024, 500
 _LOWER: list[np.ndarray] = []
-_LETTERS: dict[tuple[int, int], np.ndarray] = {}
-_GRAMS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_VECTORS: dict[int, Letters] = {}
 
 
 def _clear() -> None:
-    for held in (_LOWER, _LETTERS, _GRAMS):
+    for held in (_LOWER, _VECTORS):
         held.clear()
 
 
@@ -56,34 +60,53 @@ def letters(points: np.ndarray) -> np.ndarray:
 
 
 def letter_vector(point: int, dimension: int) -> np.ndarray:
-    if (point, dimension) not in _LETTERS:
-        bits = np.random.Generator(np.random.PCG64(point)).integers(0, 2, dimension, np.int8)
-        _LETTERS[point, dimension] = (2 * bits - 1).astype(np.int8)
-    return _LETTERS[point, dimension]
-
-
-def gram_vectors(codes: np.ndarray, dimension: int, limit: int = 20_000) -> np.ndarray:
-    """The vectors of trigrams given as 3 x 21 bits; those met before come from a bounded cache."""
-    keys, held = _GRAMS.get(dimension, (np.zeros(0, np.int64), np.zeros((0, dimension), np.int8)))
-    new = np.setdiff1d(codes, keys, assume_unique=True)
-    if len(new):
-        made = np.empty((len(new), dimension), np.int8)
-        for i, code in enumerate(new.tolist()):
-            a, b, c = code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
-            made[i] = np.roll(letter_vector(a, dimension), 2) * np.roll(letter_vector(b, dimension), 1) * letter_vector(c, dimension)
-        if len(keys) + len(new) > limit:
-            keep = np.isin(keys, codes)
-            keys, held = keys[keep], held[keep]
-        at = np.searchsorted(keys, new)
-        keys, held = np.insert(keys, at, new), np.insert(held, at, made, axis=0)
-        if len(keys) <= limit:
-            _GRAMS[dimension] = keys, held
-    return held[np.searchsorted(keys, codes)].astype(np.float32)
-
-
-def trigram_counts(texts: list[str], owner: list[int] | None = None, owners: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigram codes, a matrix of their counts by owner (the text itself by default), and whether each
-    text has a letter."""
+    bits = np.random.Generator(np.random.PCG64(point)).integers(0, 2, dimension, np.int8)
+    return (2 * bits - 1).astype(np.int8)
+
+
+class Letters:
+    """Letter vectors, permuted twice, once and not at all; emptied beyond ``limit`` letters."""
+
+    def __init__(self, dimension: int, limit: int = 1 << 14):
+        self.dimension, self.limit = dimension, limit
+        self.place: dict[int, int] = {}
+        self.table = np.zeros((3, 256, dimension), np.int8)
+
+    def rows(self, points: list[int]) -> np.ndarray:
+        if len(self.place) + len(points) > self.limit:
+            self.place = {}
+        for p in points:
+            if p not in self.place:
+                at = self.place[p] = len(self.place)
+                if at == self.table.shape[1]:
+                    self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
+                v = letter_vector(p, self.dimension)
+                self.table[:, at] = np.roll(v, 2), np.roll(v, 1), v
+        return np.array([self.place[p] for p in points], np.int64)
+
+
+def gram_vectors(codes: np.ndarray, dimension: int) -> np.ndarray:
+    """The vectors of trigrams given as 3 x 21 bits."""
+    held = _VECTORS.setdefault(dimension, Letters(dimension))
+    parts = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF])
+    points, number = np.unique(parts, return_inverse=True)
+    a, b, c = held.rows(points.tolist())[number.reshape(parts.shape)]
+    return held.table[0, a] * held.table[1, b] * held.table[2, c]
+
+
+@dataclass
+class Counts:
+    """How often each trigram occurs in each text (or owner): places with a count above 0, by text."""
+
+    codes: np.ndarray
+    text: np.ndarray
+    code: np.ndarray
+    count: np.ndarray
+    texts: int
+
+
+def trigram_counts(texts: list[str], owner: list[int] | None = None, owners: int | None = None, cells: int = 1 << 23) -> tuple[Counts, np.ndarray]:
+    """Counts of trigrams by owner (the text itself by default), and whether each text has a letter."""
     points = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = letters(points)
     text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
@@ -100,11 +123,15 @@ def trigram_counts(texts: list[str], owner: list[int] | None = None, owners: int
     used, column = np.unique(small, return_inverse=True) if size > 160 else _dense(small, size**3)
     wide = alphabet.astype(np.int64)
     codes = (wide[used // (size * size)] << 42) | (wide[used // size % size] << 21) | wide[used % size]
-    who = text_of[middle + 1] if owner is None else np.asarray(owner)[text_of[middle + 1]]
-    n = len(texts) if owner is None else owners
-    counts = np.bincount(who * len(used) + column, minlength=n * len(used)).reshape(n, len(used))
-    order = np.argsort(codes)
-    return codes[order], counts[:, order], has
+    who = text_of[middle + 1] if owner is None else np.asarray(owner, np.int64)[text_of[middle + 1]]
+    n, place = len(texts) if owner is None else owners, who * len(used) + column
+    if n * len(used) <= cells:
+        table = np.bincount(place, minlength=n * len(used))
+        at = np.flatnonzero(table)
+        count = table[at]
+    else:
+        at, count = np.unique(place, return_counts=True)
+    return Counts(codes, at // max(1, len(used)), at % max(1, len(used)), count, n), has
 
 
 def _dense(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +143,33 @@ def _dense(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return used, place[values]
 
 
-def bundle(codes: np.ndarray, counts: np.ndarray, dimension: int, block: int = 4096) -> np.ndarray:
-    out = np.zeros((counts.shape[0], dimension), np.float32)
-    for i in range(0, len(codes), block):
-        out += counts[:, i : i + block].astype(np.float32) @ gram_vectors(codes[i : i + block], dimension)
+def bundle(counts: Counts, dimension: int, block: int = 2048, rows: int = 2048) -> np.ndarray:
+    """The sum of its trigrams' vectors for each text."""
+    out = np.zeros((counts.texts, dimension), np.float32)
+    n = len(counts.codes)
+    shared = np.bincount(counts.code, minlength=n)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(-shared, kind="stable")] = np.arange(n)  # the most shared trigrams lie in the first blocks
+    place = rank[counts.code]
+    order = np.argsort(place // block, kind="stable")  # by text within a block
+    cuts = np.searchsorted((place // block)[order], np.arange(-(-n // block) + 1))
+    codes = np.empty(n, np.int64)
+    codes[rank] = counts.codes
+    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        vectors = gram_vectors(codes[i * block : (i + 1) * block], dimension)
+        here = order[a:b]
+        text, column, count = counts.text[here], place[here] - i * block, counts.count[here].astype(np.float32)
+        if 32 * len(here) > counts.texts * len(vectors):
+            for low in range(0, counts.texts, 1024):
+                some = slice(*np.searchsorted(text, (low, low + 1024)).tolist())
+                table = np.zeros((min(1024, counts.texts - low), len(vectors)), np.float32)
+                table[text[some] - low, column[some]] = count[some]
+                out[low : low + 1024] += table @ vectors.astype(np.float32)
+            continue
+        for low in range(0, len(here), rows):
+            part = slice(low, low + rows)
+            first = np.flatnonzero(np.append(True, np.diff(text[part]) != 0))
+            out[text[part][first]] += np.add.reduceat(vectors[column[part]] * count[part, None], first, axis=0)
     return out
 
 
@@ -129,72 +179,94 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator
             yield batch.slice(i, 512)
 
 
-def _learner(dimension: int):
+def _learner(dimension: int, most: int = 2 * BLOCK):
     @worker("language_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, row in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * dimension), pa.array(np.arange(dimension, dtype=np.int32)), pa.array(row)], names=["lang", "at", "value"])
+            sums.clear()
+
         for batch in _groups(batches):
             langs = batch.column(0).to_pylist()
             names = sorted(set(langs))
             at = {x: i for i, x in enumerate(names)}
-            codes, counts, _ = trigram_counts(batch.column(1).to_pylist(), [at[x] for x in langs], len(names))
-            made = np.zeros((len(names), dimension))
-            for i in range(0, len(codes), 8192):
-                made += counts[:, i : i + 8192].astype(np.float32) @ gram_vectors(codes[i : i + 8192], dimension)
-            for name, row in zip(names, made, strict=True):
+            counts, _ = trigram_counts(batch.column(1).to_pylist(), [at[x] for x in langs], len(names))
+            for name, row in zip(names, bundle(counts, dimension).astype(np.float64), strict=True):
                 sums[name] = sums.get(name, 0) + row
-        for name, row in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * dimension), pa.array(np.arange(dimension, dtype=np.int32)), pa.array(row)], names=["lang", "at", "value"])
+            if len(sums) > most:
+                yield from out()
+        yield from out()
 
     return run
 
 
-def learn(rows: DataFrame, dimension: int = DIMENSION, max_languages: int = 1000) -> dict[str, np.ndarray]:
-    """Unit prototypes by language from (lang, text) rows."""
+@dataclass
+class Profiles:
+    """Language prototypes, dealt over blocks of about ``BLOCK`` languages."""
+
+    table: DataFrame
+    blocks: int
+    dimension: int
+
+    def block(self, number: int) -> dict[str, np.ndarray]:
+        """Unit vectors by language."""
+        out = {}
+        for r in sorted(self.table.filter(F.col("block") == number).collect(), key=lambda r: r["lang"]):
+            v = np.zeros(self.dimension)
+            v[[c["at"] for c in r["cells"]]] = [c["value"] for c in r["cells"]]
+            if v.any():
+                out[r["lang"]] = (v / np.linalg.norm(v)).astype(np.float32)
+        return out
+
+
+def learn(rows: DataFrame, dimension: int = DIMENSION, block: int = BLOCK) -> Profiles:
+    """Prototypes by language from (lang, text) rows."""
     ship(rows.sparkSession)
     given = rows.filter("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
     sums = given.mapInArrow(_learner(dimension), "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("cells")).limit(max_languages + 1).collect()
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    out = {}
-    for r in sorted(found, key=lambda r: r["lang"]):
-        v = np.array([c["value"] for c in r["cells"]])
-        if v.any():
-            out[r["lang"]] = (v / np.linalg.norm(v)).astype(np.float32)
-    return out
+    found = stage(sums.groupBy("lang").agg(F.collect_list(F.struct("at", "value")).alias("cells")), "language-profiles")
+    blocks = max(1, -(-found.count() // block))
+    return Profiles(found.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(blocks)).cast("int")), blocks, dimension)
 
 
-def _judge(prototypes: dict[str, np.ndarray], dimension: int, keep_text: bool):
+def _judge(prototypes: dict[str, np.ndarray], dimension: int, columns: list[str]):
     names = list(prototypes)
     table = np.array([prototypes[x] for x in names], np.float32).reshape(len(names), dimension)
 
     @worker("language_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
-            codes, counts, has = trigram_counts(batch.column(1).to_pylist())
-            made = bundle(codes, counts, dimension)
+            counts, has = trigram_counts(batch.column(1).to_pylist())
+            made = bundle(counts, dimension)
             norm = np.linalg.norm(made, axis=1)
             has &= norm > 0
+            langs, score = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             if names:
                 near = (made @ table.T) / np.maximum(norm, 1e-9)[:, None]
                 best = near.argmax(axis=1)
-                langs = [names[b] if h else "und" for b, h in zip(best, has, strict=True)]
-                score = np.where(has, np.clip(near[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
-            else:
-                langs, score = ["und"] * len(has), np.zeros(len(has))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if keep_text else []), pa.array(langs, pa.string()), pa.array(score)], names=["row", *(["text"] if keep_text else []), "lang_pred", "score"])
+                for i in np.flatnonzero(has).tolist():
+                    name, value = names[best[i]], float(near[i, best[i]])
+                    if langs[i] == "und" or (-value, name) < (-score[i], langs[i]):
+                        langs[i], score[i] = name, value
+            held = {"row": batch.column(0), "text": batch.column(1), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64())}
+            yield pa.RecordBatch.from_arrays([held[c] for c in columns], names=columns)
 
     return run
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, profiles: Profiles, keep_text: bool = False) -> DataFrame:
     """row (a struct of every column but text), lang_pred and score of every row, and the text, empty for null."""
     ship(docs.sparkSession)
-    dimension = len(next(iter(prototypes.values()))) if prototypes else DIMENSION
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text_or_empty().alias("text"))
-    schema = StructType([f for f in given.schema.fields if keep_text or f.name != "text"]).add("lang_pred", "string").add("score", "double")
-    return given.mapInArrow(_judge(prototypes, dimension, keep_text), schema)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text_or_empty().alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    for number in range(profiles.blocks):
+        last = number == profiles.blocks - 1
+        columns = [c for c in given.columns if c != "text" or keep_text or not last]
+        judged = given.mapInArrow(_judge(profiles.block(number), profiles.dimension, columns), StructType([given.schema[c] for c in columns]))
+        given = judged if last else stage(judged, "language-pass")
+    return given.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
 
 
 def remainder(n: int) -> Column:
@@ -205,6 +277,6 @@ def remainder(n: int) -> Column:
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(remainder(5) == 0, F.lit(False))
-    prototypes = learn(docs.filter(remainder(5) != 0))
-    found = identify(docs.select("doc_id", "text", held.alias("held_out")), prototypes)
+    profiles = learn(docs.filter(remainder(5) != 0))
+    found = identify(docs.select("doc_id", "text", held.alias("held_out")), profiles)
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
