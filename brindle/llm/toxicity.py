@@ -10,16 +10,22 @@ Search.  One scan from left to right finds all maximal scoring segments of a doc
 rising score are kept on a stack and joined when a later run ends above and starts no lower.
 
 Calibration.  Segment scores of random text follow an extreme-value law, P(S >= x) ~ K n exp(-lambda x);
-lambda solves sum p exp(lambda s) = 1 over the token scores of the sample's clean documents, and K follows from
-the mean of their best segments.  A segment is significant when its expected
-number in a clean text of that length is at most ``level``.  The document's normalised best score, the number of
-significant segments and their summed excess go through a logistic curve fitted to the sample, weighted back to
-the class sizes.
+lambda solves sum p exp(lambda s) = 1 over the token scores of clean documents, and K follows from the mean of their
+best segments.  A segment is significant when its expected number in a clean text of that length is at most
+``level``.  The document's normalised best score, the number of significant segments and their summed excess go
+through a logistic curve, weighted back to the class sizes.
+
+Everything after the counts is cross-fitted within the given labelled rows: the sample is cut into ``FOLDS`` parts by
+a hash of doc_id, each part is scored with weights from the others, and lambda, K and the curve come from those
+scores.  ``z`` and the prior's mass are the pair of ``GRID`` with the least logistic loss there; no other row, held
+out or not, has a say.  The final weights are those of the whole sample.
 
 labels, lang, source and doc_id are not inputs of a score.  Null and empty texts have no segments and get the
 curve's value there.  Labels without a document, documents without a label and null labels teach nothing; several
-labels of one doc_id count as toxic when any is.  Without labelled rows of both classes every score is 0.
-Texts are read whole; repeated rows are judged each on its own.
+labels of one doc_id count as toxic when any is, and of several rows with one doc_id the least text teaches.  Without
+labelled rows of both classes every score is 0.  Ties in the choice of words go to the first in string order, ties in
+the grid to its first pair.  Texts are read whole; repeated rows and rows without a doc_id are judged each on its own.
+An empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from brindle.llm.common import read_table, ship, slices, stage, text_or_empty, worker
+from brindle.llm.common import drop, read_table, ship, slices, stage, text_or_empty, worker
 from brindle.llm.language_id import remainder
 
 PASSAGES = ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType()), StructField("excess", DoubleType())]))
@@ -49,6 +55,9 @@ def words(text: str) -> list[bytes]:
 
 
 BEGINNINGS = (8, 7, 6, 5, 4)
+FOLDS = 3
+#: (z, prior) to choose from.
+GRID = ((3.3, 0.05), (2.3, 0.05), (3.3, 0.5), (2.3, 0.5))
 
 
 def expand(counts: Counter) -> Counter:
@@ -66,7 +75,7 @@ def expand(counts: Counter) -> Counter:
 class Scores(dict):
     """The weight of each word met so far, None where it has none; emptied beyond ``limit`` words."""
 
-    def __init__(self, weights: dict[str, float], limit: int = 400_000):
+    def __init__(self, weights: dict[str, float], limit: int = 200_000):
         super().__init__()
         self.weights, self.limit = weights, limit
 
@@ -118,23 +127,20 @@ def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int,
     return [(a, b, hi - lo) for a, b, lo, hi in stack]
 
 
-def positions(text: str, known: Scores) -> tuple[int, list[int], list[float]]:
+def positions(own: list[bytes], known: Scores) -> tuple[int, list[int], list[float]]:
     """Number of tokens, and place and weight of those that have one."""
-    found = [*map(known.__getitem__, words(text))]
+    found = [*map(known.__getitem__, own)]
     at = [i for i, w in enumerate(found) if w is not None]
     return len(found), at, [found[i] for i in at]
 
 
-def best_raw(text: str, model: Model, known: Scores) -> float | None:
-    """lambda * S - ln n of the best segment, None without one."""
-    n, at, weight = positions(text, known)
-    best = max((s for _, _, s in segments(at, [w - model.drift for w in weight], model.drift)), default=0.0)
-    return model.rate * best - math.log(n) if best > 0 else None
+def best_segment(n: int, at: list[int], weight: list[float], drift: float) -> float:
+    return max((s for _, _, s in segments(at, [w - drift for w in weight], drift)), default=0.0)
 
 
-def features(text: str, model: Model, known: Scores) -> tuple[int, list[tuple[int, int, float]], tuple[float, float, float]]:
+def features(own: list[bytes], model: Model, known: Scores) -> tuple[int, list[tuple[int, int, float]], tuple[float, float, float]]:
     """Number of tokens, significant segments with their excess, and the document's three statistics."""
-    n, at, weight = positions(text, known)
+    n, at, weight = positions(own, known)
     if not at:
         return n, [], (0.0, 0.0, 0.0)
     base = math.log(model.scale * n)
@@ -155,61 +161,75 @@ def probability(x: tuple[float, float, float], model: Model) -> float:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    by: tuple[Counter, Counter] = Counter(), Counter()
+    by: dict[tuple[int, int], Counter] = {(k, f): Counter() for k in (0, 1) for f in range(FOLDS)}
 
     def out():
-        for kind, plain in enumerate(by):
+        for (kind, fold), plain in by.items():
             c = expand(plain)
             keys = list(c)
             for i in range(0, len(keys), 100_000):
                 part = keys[i : i + 100_000]
                 n = pa.array([c[k] for k in part], pa.int64())
                 zero = pa.array(np.zeros(len(part), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), n if kind else zero, zero if kind else n], names=["word", "toxic", "clean"])
+                at = pa.array(np.full(len(part), fold, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), at, n if kind else zero, zero if kind else n], names=["word", "fold", "toxic", "clean"])
             plain.clear()
 
-    for batch in slices(batches, 1):
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by[toxic].update(words(text))
-        if len(by[0]) + len(by[1]) > 300_000:
+    for batch in slices(batches, 2):
+        for toxic, fold, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            by[toxic, fold].update(words(text))
+        if sum(map(len, by.values())) > 300_000:
             yield from out()
     yield from out()
 
 
-def _levels(model: Model):
-    """Counts of clean token scores, in hundredths."""
-
-    @worker("toxicity")
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, by = Scores(model.weights), Counter()
-        for batch in slices(batches, 1):
-            for text in batch.column(1).to_pylist():
-                n, at, weight = positions(text, known)
-                by.update(round(100 * (w - model.drift)) for w in weight)
-                by[round(-100 * model.drift)] += n - len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(list(by.values()), pa.int64())], names=["level", "n"])
+def _fold_scores(models) -> dict[tuple[int, int], tuple[Model, Scores]]:
+    return {key: (m, Scores(m.weights, 100_000)) for key, m in models.value.items()}
 
-    return run
 
+def _levels(models):
+    """For each fold and pair of the grid: counts of clean token scores, in hundredths, and for the best segments of
+    clean documents the sums of their scores and of the logarithms of their documents' lengths."""
 
-def _bests(model: Model):
     @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Scores(model.weights)
-        for batch in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([best_raw(t, model, known) for t in batch.column(1).to_pylist()], pa.float64())], names=["best"])
+        known = _fold_scores(models)
+        by: dict[tuple[int, int], Counter] = {key: Counter() for key in known}
+        sums = {key: [0.0, 0.0, 0] for key in known}
+        for batch in slices(batches, 2):
+            for fold, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = words(text)
+                for pair in range(len(GRID)):
+                    key = fold, pair
+                    model, scores = known[key]
+                    n, at, weight = positions(own, scores)
+                    by[key].update(round(100 * (w - model.drift)) for w in weight)
+                    by[key][round(-100 * model.drift)] += n - len(at)
+                    best = best_segment(n, at, weight, model.drift)
+                    if best > 0:
+                        for i, x in enumerate((best, math.log(n), 1)):
+                            sums[key][i] += x
+        rows = [(*key, level, float(n), 0.0, 0.0) for key, c in by.items() for level, n in c.items()]
+        rows += [(*key, None, float(n), total, logs) for key, (total, logs, n) in sums.items()]
+        kinds = [pa.int32()] * 3 + [pa.float64()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["fold", "pair", "level", "n", "best", "logs"])
 
     return run
 
 
-def _featurer(model: Model):
+def _featurer(models):
+    """The statistics of every document under each pair of the grid, by weights that have not seen it."""
+
     @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Scores(model.weights)
-        for batch in slices(batches, 1):
-            rows = [(int(t), *features(x, model, known)[2]) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["toxic", "best", "number", "excess"])
+        known = _fold_scores(models)
+        for batch in slices(batches, 2):
+            rows = []
+            for toxic, fold, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                own = words(text)
+                rows.extend((pair, toxic, *features(own, *known[fold, pair])[2]) for pair in range(len(GRID)))
+            kinds = [pa.int32()] * 2 + [pa.float64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["pair", "toxic", "best", "number", "excess"])
 
     return run
 
@@ -245,43 +265,98 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05)
     return tuple(float(v) for v in b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 20_000, max_words: int = 50_000, z: float = 2.5, drift: float = 0.5, prior: float = 0.05, level: float = 0.01) -> Model:
-    """The model from labelled documents; the driver holds at most ``max_words`` weights and 2 * ``max_per_class`` rows."""
+def _weigher(counts: DataFrame, totals, max_words: int, z_least: float):
+    """A function of (fold left out or None, prior): tokens, log-odds and distance from 0 in standard deviations."""
+
+    def weigh(out: int | None, prior: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+        folds = [f for f in range(FOLDS) if f != out]
+        n_t, n_c = sum(totals[f"t{f}"] or 0 for f in folds), sum(totals[f"c{f}"] or 0 for f in folds)
+        if not n_t or not n_c:
+            return [], np.zeros(0), np.zeros(0)
+        t, c = (sum((F.col(f"{k}{f}") for f in folds[1:]), F.col(f"{k}{folds[0]}")) for k in "tc")
+        mass = prior * (n_t + n_c)
+        a = (t + c) * (mass / (n_t + n_c))
+        odds = F.log((t + a) / (n_t + mass - t - a)) - F.log((c + a) / (n_c + mass - c - a))
+        distance = F.abs(odds / F.sqrt(1 / (t + a) + 1 / (c + a)))
+        top = counts.filter(t + c > 0).select("word", odds.alias("w"), distance.alias("z")).filter(F.col("z") >= z_least)
+        held = top.orderBy(F.col("z").desc(), "word").limit(max_words).toArrow()
+        return held.column(0).to_pylist(), held.column(1).to_numpy(), held.column(2).to_numpy()
+
+    return weigh
+
+
+def _model(found: tuple[list[str], np.ndarray, np.ndarray], z: float, drift: float, level: float) -> Model:
+    names, odds, distance = found
+    return Model({w: x for w, x, d in zip(names, odds.tolist(), distance.tolist(), strict=True) if d >= z}, drift, level=level)
+
+
+def _calibrate(models: dict[tuple[int, int], Model], levels: dict[str, list]) -> None:
+    """lambda and K of each fold's models from the clean documents that they have not seen."""
+    by: dict[tuple[int, int], list] = {key: [[], [], None] for key in models}
+    for fold, pair, level, n, best, logs in zip(*levels.values(), strict=True):
+        if level is None:
+            by[fold, pair][2] = (n, best, logs)
+        else:
+            by[fold, pair][0].append(level / 100)
+            by[fold, pair][1].append(n)
+    for key, (scores, n, best) in by.items():
+        share = np.array(n, float)
+        models[key].rate = _rate(np.array(scores), share / max(1.0, share.sum()))
+        if best and best[0]:
+            mean = (models[key].rate * best[1] - best[2]) / best[0]  # the mean of a Gumbel law is ln K + Euler's constant
+            models[key].scale = math.exp(max(-7.0, min(7.0, mean - 0.5772156649)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = 20_000, max_words: int = 50_000, drift: float = 0.5, level: float = 0.01) -> Model:
+    """The model from labelled documents; the driver holds at most 2 * ``max_per_class`` rows of statistics for each
+    pair of the grid, and ``max_words`` weights for each fold and prior."""
     spark = docs.sparkSession
     ship(spark)
     one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model()
-    # A share of each class by hash; the share is set a little low so that the bound holds, and limit makes sure.
+    # A share of each class by hash; the share is set a little low so that the bound holds, and the limit makes sure.
     share = {k: min(1.0, 0.97 * max_per_class / n) if n > max_per_class else 1.0 for k, n in sizes.items()}
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, share.get(1, 0) * (1 << 20)).otherwise(share.get(0, 0) * (1 << 20))
-    chosen = one.filter("toxic IN (0, 1)").filter(drawn).limit(2 * max_per_class)
-    sample = stage(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-sample")
-    counts = sample.mapInArrow(_count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = stage(counts, "toxicity-counts")
-    total = counts.filter("endswith(word, '$')").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    n_t, n_c = total["t"] or 0, total["c"] or 0
-    if not n_t or not n_c:
-        return Model()
-    mass = prior * (n_t + n_c)
-    a = (F.col("t") + F.col("c")) * (mass / (n_t + n_c))
-    odds = F.log((F.col("t") + a) / (n_t + mass - F.col("t") - a)) - F.log((F.col("c") + a) / (n_c + mass - F.col("c") - a))
-    scored = counts.select("word", "t", "c", odds.alias("w"), (odds / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))).alias("z")).filter(F.abs("z") >= z)
-    top = scored.orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
-    model = Model({r["word"]: r["w"] for r in top}, drift, level=level)
-    clean = sample.filter("toxic = 0")
-    levels = clean.mapInArrow(_levels(model), "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
-    share_of = np.array([r["n"] for r in levels], float)
-    model.rate = _rate(np.array([r["level"] for r in levels]) / 100, share_of / max(1.0, share_of.sum()))
-    mean = clean.mapInArrow(_bests(model), "best double").agg(F.avg("best")).first()[0]
-    if mean is not None:
-        model.scale = math.exp(max(-7.0, min(7.0, mean - 0.5772156649)))  # the mean of a Gumbel law is ln K + Euler's constant
-    rows = sample.mapInArrow(_featurer(model), "toxic int, best double, number double, excess double").limit(4 * max_per_class).collect()
-    x = np.array([[r["best"], r["number"], r["excess"]] for r in rows], float).reshape(-1, 3)
-    y = np.array([r["toxic"] for r in rows], float)
-    weight = np.where(y == 1, 1 / share[1], 1 / share[0])
-    model.curve = _fit(x, y, weight)
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
+    drawn = lot < F.when(F.col("toxic") == 1, share.get(1, 0) * (1 << 20)).otherwise(share.get(0, 0) * (1 << 20))
+    chosen = one.filter("toxic IN (0, 1)").filter(drawn).orderBy(lot, "doc_id").limit(2 * max_per_class)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = stage(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", fold, "text"), "toxicity-sample")
+    columns = [F.sum(F.when(F.col("fold") == f, F.col(k)).otherwise(0)).alias(f"{k[0]}{f}") for k in ("toxic", "clean") for f in range(FOLDS)]
+    counts = stage(sample.mapInArrow(_count, "word string, fold int, toxic long, clean long").groupBy("word").agg(*columns), "toxicity-counts")
+    totals = counts.filter("endswith(word, '$')").agg(*[F.sum(c).alias(c) for c in counts.columns[1:]]).first()
+    weigh = _weigher(counts, totals, max_words, min(z for z, _ in GRID))
+    priors = sorted({p for _, p in GRID})
+    by_fold = {(f, p): weigh(f, p) for f in range(FOLDS) for p in priors}
+    models = {(f, i): _model(by_fold[f, p], z, drift, level) for f in range(FOLDS) for i, (z, p) in enumerate(GRID)}
+    held = spark.sparkContext.broadcast(models)
+    levels = sample.filter("toxic = 0").mapInArrow(_levels(held), "fold int, pair int, level int, n double, best double, logs double")
+    _calibrate(models, levels.groupBy("fold", "pair", "level").agg(*[F.sum(c).alias(c) for c in ("n", "best", "logs")]).toArrow().to_pydict())
+    held.destroy()
+    held = spark.sparkContext.broadcast(models)
+    rows = sample.mapInArrow(_featurer(held), "pair int, toxic int, best double, number double, excess double").toArrow()
+    held.destroy()
+    drop(sample)
+    pairs, y, *x = (rows.column(i).to_numpy() for i in range(5))
+    x, y = np.column_stack(x), y.astype(float)
+    best = None
+    for i in range(len(GRID)):
+        of = pairs == i
+        weight = np.where(y[of] == 1, 1 / share[1], 1 / share[0])
+        curve = _fit(x[of], y[of], weight)
+        p = 1 / (1 + np.exp(-np.clip(curve[0] + x[of] @ np.array(curve[1:]), -30, 30)))
+        loss = -float((weight * np.where(y[of] == 1, np.log(p), np.log1p(-p))).sum())
+        if best is None or loss < best[0] - 1e-9:
+            best = loss, i, curve
+    z, prior = GRID[best[1]]
+    model = _model(weigh(None, prior), z, drift, level)
+    own = [models[f, best[1]] for f in range(FOLDS)]
+    model.rate = float(np.mean([m.rate for m in own]))
+    model.scale = float(np.exp(np.mean([math.log(m.scale) for m in own])))
+    model.curve = best[2]
+    drop(counts)
     return model
 
 
@@ -291,7 +366,7 @@ def _judge(model):
         m = model.value
         known = Scores(m.weights)
         for batch in slices(batches, 1):
-            rows = [features(t, m, known) for t in batch.column(1).to_pylist()]
+            rows = [features(words(t), m, known) for t in batch.column(1).to_pylist()]
             found = [[{"first": a, "last": b, "excess": e} for a, b, e in r[1]] for r in rows]
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("excess", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([probability(r[2], m) for r in rows], pa.float64()), pa.array(found, kind)], names=["row", "score", "passages"])
