@@ -16,12 +16,15 @@ the least of them), by their SHA-256.  The rest takes four passes:
 
 Codes only select candidates (a false match costs time, nothing else); what is removed rests on compared bytes.
 No pass sends a hot anchor's copies to one task: after the map side there is at most one row per partition and
-distinct context.  Answers and decisions travel as one block per pair of partitions and are gathered to one row a
-document.  The text is shuffled once, by document key, and Spark reuses that exchange in passes 1, 3 and 4.
+distinct context, and where over ``HOT`` documents have an anchor, what is left of its contexts is dealt window by
+window, by the whole window, since at a common passage's edges every document has its own surroundings.  Answers and
+decisions travel as one block per pair of partitions and are gathered to one row a document.  The text is shuffled
+once, by document key, and Spark reuses that exchange in passes 1, 3 and 4.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,10 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import partitions, ship, slices, string_buffers, text_or_empty, worker
+from brindle.llm.common import partitions, ship, slices, stage, string_buffers, text_or_empty, worker
+from brindle.llm.skew import attach
 
 _U = np.uint64
 CHUNK = 1 << 20
+HOT = 4096
+_HOT_BIT = _U(1 << 62)  # of a key; its bucket has at most 31 bits
 LAST = (1 << 63) - 1  # a null doc_id comes after every other
 _REST = 31
 
@@ -213,6 +219,9 @@ def _answer(places: int):
                 known = np.concatenate((known, asked[mark[: len(codes)]]))
                 known_codes = np.concatenate((known_codes, codes[mark[: len(codes)]]))
             if len(known):
+                # The index bit is not asked any more; in answers the last bit marks a hot anchor.
+                value, number, documents = np.unique(known_codes >> 1, return_inverse=True, return_counts=True)
+                known_codes = (value << 1 | (documents > HOT)).astype("<u4")[number]
                 yield _rows(list(_blocks(known, known_codes, bucket, places)), _BLOCK_NAMES, _BLOCK_KINDS)
 
     return run
@@ -228,7 +237,9 @@ def _gather(width: int, with_bucket: bool):
             for bucket, docs, counts, blob in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
                 rks.append(np.repeat(np.frombuffer(docs, np.int64), _unplanes(counts)))
                 record = np.frombuffer(blob, "<u4").reshape(-1, width)
-                data.append((_U(bucket) << _U(_REST) | (record[:, 0] >> 1).astype(_U)) if with_bucket else record)
+                if with_bucket:
+                    record = _U(bucket) << _U(_REST) | (record[:, 0] >> 1).astype(_U) | np.where(record[:, 0] & 1, _HOT_BIT, _U(0))
+                data.append(record)
         if not rks:
             return
         rk, data = np.concatenate(rks), np.concatenate(data)
@@ -254,25 +265,46 @@ def _contexts(scheme: Callable[[], Scheme], buckets: int, limit: int = 150_000):
         held: list[tuple] = []
         contexts: list[bytes] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            nonlocal held, contexts
-            h, doc, rk, start, count = (np.concatenate([x[i] for x in held]) for i in range(5))
-            number, distinct = pd.factorize(np.array(contexts, object))
+        def fold(columns: list[np.ndarray], texts: np.ndarray) -> tuple[np.ndarray, pa.RecordBatch]:
+            """Which rows have no equal context in a smaller document here; the other rows' windows are decided:
+            runs of them, joined where one goes on where the other ends."""
+            _, doc, rk, start, count = columns
+            number, distinct = pd.factorize(texts)
             least = np.full(len(distinct), LAST, np.int64)
             np.minimum.at(least, number, doc)
             done = doc > least[number]
-            text = pa.array(contexts, pa.binary())
-            on = pa.array(~done)
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[~done]) for x in (h, doc, rk, start, count)], text.filter(on)], names=names)
-            # Runs of windows decided here, joined where one goes on where the other ends.
             order = np.lexsort((start[done], rk[done], doc[done]))
-            h, doc, rk, start, count = (x[done][order] for x in (rk, doc, rk, start, count))
-            if len(h):
-                new = np.append(True, (rk[1:] != rk[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1]))
-                first = np.flatnonzero(new)
-                total = np.add.reduceat(count, first)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (h[first], doc[first], rk[first], start[first], total)], pa.nulls(len(first), pa.binary())], names=names)
+            doc, rk, start, count = (x[done][order] for x in (doc, rk, start, count))
+            new = np.append(True, (rk[1:] != rk[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1]))[: len(rk)]
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(count, first) if len(first) else count
+            return ~done, pa.RecordBatch.from_arrays([*[pa.array(x) for x in (rk[first], doc[first], rk[first], start[first], total)], pa.nulls(len(first), pa.binary())], names=names)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal held, contexts
+            columns = [np.concatenate([x[i] for x in held]) for i in range(5)]
+            hot = np.concatenate([x[5] for x in held])
+            texts = np.empty(len(contexts), object)
+            texts[:] = contexts
             held, contexts = [], []
+            on, decided = fold(columns, texts)
+            yield decided
+            cool = on & ~hot
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[cool]) for x in columns], pa.array(texts[cool].tolist(), pa.binary())], names=names)
+            left = np.flatnonzero(on & hot)
+            for i in range(0, len(left), 10_000):
+                part = left[i : i + 10_000]
+                split = [s.windows(t) for t in texts[part]]
+                sizes = np.array([len(w) for w in split])
+                own = np.empty(int(sizes.sum()), object)
+                own[:] = [w for ws in split for w in ws]
+                place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                deal = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in own]), "<i8") & LAST
+                doc, rk, start = (np.repeat(columns[k][part], sizes) for k in (1, 2, 3))
+                single = [deal, doc, rk, start + place, np.ones(len(own), np.int64)]
+                on_too, decided = fold(single, own)
+                yield decided
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[on_too]) for x in single], pa.array(own[on_too].tolist(), pa.binary())], names=names)
 
         for big in slices(batches, 2):
             flagged = big.filter(big.column(3).is_valid())
@@ -281,8 +313,10 @@ def _contexts(scheme: Callable[[], Scheme], buckets: int, limit: int = 150_000):
                 keys = np.unique(np.frombuffer(b"".join(batch.column(3).to_pylist()), _U))
                 raw, offsets = string_buffers(batch.column(2))
                 data = s.flat(raw, offsets)
-                text, h, start, count, begin, end = s.runs(raw, offsets, keys, key)
-                held.append((h, np.asarray(batch.column(0))[text], np.asarray(batch.column(1))[text], start, count))
+                plain = keys & ~_HOT_BIT
+                text, h, start, count, begin, end = s.runs(raw, offsets, plain, key)
+                hot = np.isin(h, plain[keys >= _HOT_BIT].astype(np.int64))
+                held.append((h, np.asarray(batch.column(0))[text], np.asarray(batch.column(1))[text], start, count, hot))
                 contexts.extend([data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
                 if len(contexts) >= limit:
                     yield from out()
@@ -428,14 +462,17 @@ def remove_repeats(docs: DataFrame, scheme: Callable[[], Scheme], keep_text: boo
     rk = F.xxhash64(doc, text_or_empty())
     given = docs.select(rk.alias("rk"), doc.alias("doc_id"), text_or_empty().alias("text"))
     digests = docs.select(rk.alias("rk"), doc.alias("doc_id"), F.unhex(F.sha2(text_or_empty(), 256)).alias("digest"))
-    several = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
-    copies = digests.join(several, "digest").filter("doc_id > first").select("rk").distinct().withColumn("copy", F.lit(True))
+    several = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).filter("first < last").select("digest", "first", "rows")
+    later = attach(digests, stage(several, "repeats-several"), ["digest"], "rows").filter("doc_id > first")
+    # A row key is a hash; the documents that it stands for as a copy are listed with it.
+    copies = later.groupBy("rk").agg(F.collect_set("doc_id").alias("copy"))
     # Every use of ``given`` keeps the same three columns, so that Spark shuffles it once.
-    alone = given.join(copies, "rk", "left").filter("copy IS NULL").select("doc_id", "rk", "text")
-    blocks = alone.mapInArrow(_probe(scheme, n), _PROBES).repartition(n, "bucket").mapInArrow(_answer(n), _BLOCKS)
-    flags = blocks.repartition(n, "place").mapInArrow(_gather(1, True), "rk long, extra binary")
+    is_copy = F.coalesce(F.array_contains("copy", F.col("doc_id")), F.lit(False))
+    alone = given.join(copies, "rk", "left").filter(~is_copy).select("doc_id", "rk", "text")
+    blocks = alone.mapInArrow(_probe(scheme, n), _PROBES).repartitionById(n, "bucket").mapInArrow(_answer(n), _BLOCKS)
+    flags = blocks.repartitionById(n, "place").mapInArrow(_gather(1, True), "rk long, extra binary")
     contexts = given.join(flags, "rk", "left").select("doc_id", "rk", "text", "extra").mapInArrow(_contexts(scheme, n), _CONTEXTS)
     decided = contexts.repartition(n, "h").mapInArrow(_decide(scheme, n), _BLOCKS)
-    ranges = decided.repartition(n, "place").mapInArrow(_gather(4, False), "rk long, extra binary")
+    ranges = decided.repartitionById(n, "place").mapInArrow(_gather(4, False), "rk long, extra binary")
     schema = f"doc_id long, {scheme().columns}" + (", text string" if keep_text else "")
-    return given.join(ranges, "rk", "left").join(copies, "rk", "left").select("doc_id", "text", "extra", "copy").mapInArrow(_finish(scheme, keep_text), schema)
+    return given.join(ranges, "rk", "left").join(copies, "rk", "left").select("doc_id", "text", "extra", is_copy.alias("copy")).mapInArrow(_finish(scheme, keep_text), schema)

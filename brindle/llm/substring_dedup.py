@@ -2,14 +2,17 @@
 
 Every document's words are cut into non-overlapping blocks of ``BLOCK`` words, which are the index; every rolling
 window of ``BLOCK`` words is a probe.  A window of ``WIDTH`` = 2 * BLOCK - 1 words holds exactly one block of its
-own document, so a window that two documents share is hit by at least one probe.  Around hits, the words before
-and after are compared up to the maximal exact repeat (``repeats`` has the passes); where several hits lie in one
+own document, so a window that two documents share is hit by at least one probe.  A hit is extended to both sides
+only as far as the windows reach that hold it, up to 6 words, and all copies of a hit are compared at once, window by
+window (``repeats`` has the passes): a removed run is the union of its windows, as long as the maximal repeat, but no
+pair of copies is ever laid side by side, of which a passage in k documents has k * k.  Where several hits lie in one
 window, the one with the least hash stands for it.
 
 A word goes when a window of 13 words that covers it also starts in a document with a smaller doc_id; windows are
 judged on the input and never cross documents.  Words are runs of anything but ASCII white space, unchanged.
-Null text has no words; a null doc_id comes after all others; rows with the same doc_id do not remove from each
-other.  Texts are read whole, of any length; other columns are ignored.
+Null text has no words; a null doc_id comes after all others; rows with the same doc_id, repeated rows among them, do
+not remove from each other, and there are no other ties.  An empty table gives an empty one.  Texts are read whole, of
+any length; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,11 +4,14 @@ Of every suffix only the first ``width`` bytes matter.  Suffixes are ordered by
 the leading digit is the 24-byte string inside the window whose hash is least (any digit may lead, since only
 equality of whole windows is asked), it deals the suffixes over the cluster, and parts that hold one document are
 dropped there.  Within a part the next passes take 25 bytes each until the threshold depth is reached; the parts
-left are exactly the windows that repeat.  ``repeats`` has the passes.
+left are exactly the windows that repeat.  ``repeats`` has the passes.  Leading digits taken at the first byte would
+deal a record for every byte of the corpus, several times the text; the least-hash digit is shared by the suffixes of
+a run of windows, which travel as one context.
 
 A byte goes when a window that covers it also starts in a document with a smaller doc_id; windows are judged on
 the input and never cross documents.  Null text counts as empty; a null doc_id comes after all others; rows with
-the same doc_id do not remove from each other.  Texts are read whole, of any length; other columns are ignored.
+the same doc_id, repeated rows among them, do not remove from each other, and there are no other ties.  An empty table
+gives an empty one.  Texts are read whole, of any length; other columns are ignored.
 """
 
 from __future__ import annotations
