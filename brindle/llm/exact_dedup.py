@@ -9,10 +9,13 @@ rounds, and every round groups by the digest *and* the whole normalised text:
 3. globally: the salt winners of a digest, at most ``salts`` a text, are merged.
 
 Rows find their winner by digest alone only where round 3 proved that the digest stands for one text;
-any other digest (a collision) is looked up by content.
+any other digest (a collision) is looked up by content.  That last join is salted too: the winner of a large group is
+repeated, and the group's rows are dealt over its copies (``skew``).
 
 Null text counts as empty; empty texts are equal to each other.  Ties in length go to the smallest doc_id,
-a null doc_id last.  An empty table gives an empty result.  Other columns are ignored.
+a null doc_id last.  Rows that share the winner's doc_id are all kept only where they also share its original text's
+length; a shorter one is dropped in favour of the row with its own doc_id.  An empty table gives an empty result.
+Texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import read_table, stage, text_or_empty
+from brindle.llm.skew import attach
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -44,22 +48,22 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
     )
     merged = salted.groupBy("key", "norm").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
     winners = stage(
-        merged.select("key", F.bitwise_not("best.inv").alias("keep_id"), F.col("size").alias("group_size")),
+        merged.select("key", F.bitwise_not("best.inv").alias("keep_id"), F.col("best.n").alias("keep_n"), F.col("size").alias("group_size")),
         "exact-winners",
     )
     shared = winners.groupBy("key").count().filter("count > 1").select("key")
-    light = docs.select("doc_id", digest(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
+    light = docs.select("doc_id", F.char_length(text).alias("n"), digest(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
     if shared.isEmpty():
-        out = light.join(winners, "key")
+        out = attach(light, winners, ["key"], "group_size")
     else:
-        by_text = rows.select("doc_id", "key", "norm").join(
-            merged.join(shared, "key", "left_semi").select("key", "norm", F.bitwise_not("best.inv").alias("keep_id"), F.col("size").alias("group_size")),
-            ["key", "norm"],
-        )
-        alone = light.join(winners.join(shared, "key", "left_anti"), "key")
-        columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+        found = F.bitwise_not("best.inv").alias("keep_id"), F.col("best.n").alias("keep_n"), F.col("size").alias("group_size")
+        several = stage(merged.join(shared, "key", "left_semi").select("key", "norm", *found), "exact-collisions")
+        by_text = attach(rows.select("doc_id", "n", "key", "norm"), several, ["key", "norm"], "group_size")
+        alone = attach(light, stage(winners.join(shared, "key", "left_anti"), "exact-alone"), ["key"], "group_size")
+        columns = ["doc_id", "n", "keep_id", "keep_n", "group_size", "text_sha256"]
         out = alone.select(columns).unionByName(by_text.withColumn("text_sha256", F.sha2("norm", 256)).select(columns))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
