@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import components, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, repeats, substring_dedup, suffix_dedup, token_counts, toxicity, vocab
+from brindle.llm import common, components, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, repeats, skew, substring_dedup, suffix_dedup, token_counts, toxicity, vocab
 from brindle.llm.common import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,11 +59,26 @@ def test_packing_special_strings_and_pieces():
 
 
 def test_vocab_cache_overflow():
-    known = vocab.Known(limit=5)
-    for base in range(0, 40, 3):
-        keys = np.arange(base, base + 4, dtype=np.uint64)
-        rows = known.rows(keys, lambda new, keys=keys: (np.full(len(new), 2), np.repeat(keys[new], 2)))
-        assert vocab.ragged(known.pool, known.at[rows], known.size[rows]).tolist() == np.repeat(keys, 2).tolist()
+    for known in (vocab.Known(limit=5), vocab.Known(size_limit=3)):
+        for base in range(0, 40, 3):
+            words = [bytes([k]) for k in range(base, base + 4)]
+            rows = known.rows(words, lambda new: (np.full(len(new), 2), np.repeat([w[0] for w in new], 2)))
+            assert vocab.ragged(known.pool, known.at[rows], known.size[rows]).tolist() == np.repeat(range(base, base + 4), 2).tolist()
+
+
+def thue_morse(n, letters):
+    """Two words of equal length that every polynomial hash modulo 2**64 with an odd base gives one value."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_packing_tells_colliding_words_apart():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"x {w} y" for w in thue_morse(1024, "ab")] * 2
+    ids, bounds = packing.ByteLevelEncoder("byte_bpe_50k.json")(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 # 2 toxicity
@@ -173,6 +188,51 @@ def test_near_dedup_finds_the_only_link_in_a_large_region(spark):
     assert got == brute_near(rows, 2, 80)
 
 
+def test_near_dedup_tells_colliding_words_apart(spark):
+    a, b = thue_morse(1024, "ab")
+    rows = [(1, f"one two {a} three"), (2, f"one two {b} three"), (3, a), (4, b), (5, f"one two {b} three")]
+    got = lists(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute_near(rows, 2, 80)
+
+
+def test_near_dedup_takes_rows_with_one_id_as_one_node(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (8, c), (9, ""), (None, c), (None, "v w"), (None, None)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == sorted(
+        [(3, 6, 3, True), (5, 6, 3, False), (5, 6, 3, False), (7, 6, 3, False), (7, 0, 3, False), (8, 6, 8, True), (9, 0, 9, True), (None, 6, 8, False), (None, 1, None, True), (None, 0, None, True)], key=repr)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """One key with most of the rows: it is dealt over several tasks, and the result is that of a plain join."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id", "if(id % 10 < 7, 1, id % 5) AS k").repartition(5)
+    table = stage(rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 4"), "test")
+    for limit, how in ((10, "inner"), (10, "left"), (0, "left")):
+        monkeypatch.setattr(skew, "BROADCAST_KEYS", limit)
+        got = skew.attach(rows, table, ["k"], "n", how)
+        want = rows.join(table, "k", how).select(*got.columns)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    sizes = skew.attach(rows, table, ["k"], "n", "left").hint("shuffle_hash")
+    assert sizes.count() == 1000
+
+
+def test_near_dedup_and_exact_dedup_with_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(60)]
+    for i in range(60, 120):
+        t = list(base)
+        t[rng.integers(0, 60)] = f"z{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(i, f"other text {i}") for i in range(120, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert lists(near_dedup.near_dedup(df, 2), "doc_id", "n_shingles", "component_id", "kept") == brute_near(rows, 2, 80)
+    assert lists(exact_dedup.exact_dedup(df), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(rows)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2)) if a != b] + [(i, i + 1) for i in range(300, 340)]
@@ -207,11 +267,56 @@ def test_language_id(spark):
 
 
 def test_trigrams_bind_letters():
-    codes, counts, has = language_id.trigram_counts(["Ab ab", "", "7"])
-    assert has.tolist() == [True, False, False] and counts.sum(axis=1).tolist() == [4, 0, 0]
+    counts, has = language_id.trigram_counts(["Ab ab", "", "7"])
+    assert has.tolist() == [True, False, False] and np.bincount(counts.text, counts.count, 3).tolist() == [4, 0, 0]
     v = lambda c: language_id.letter_vector(ord(c), 64).astype(int)
     want = 2 * (np.roll(v(" "), 2) * np.roll(v("a"), 1) * v("b")) + 2 * (np.roll(v("a"), 2) * np.roll(v("b"), 1) * v(" "))
-    assert language_id.bundle(codes, counts, 64)[0].tolist() == want.tolist()
+    assert language_id.bundle(counts, 64)[0].tolist() == want.tolist()
+
+
+def plain_bundle(text, dimension):
+    """The sum of a text's trigram vectors, one after another."""
+    s = " " + "".join(c.lower()[0] if c.isalpha() else " " for c in text) + " "
+    s = re.sub(" +", " ", s)
+    v = {c: language_id.letter_vector(ord(c), dimension).astype(np.int64) for c in set(s)}
+    out = np.zeros(dimension, np.int64)
+    for a, b, c in zip(s, s[1:], s[2:], strict=False):
+        if b != " ":
+            out += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    return out
+
+
+def test_bundles_by_any_way(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(rng.integers(0x4E00, 0x4E00 + 300)) if i % 3 else chr(rng.integers(97, 123)) for _ in range(60)) for i in range(12)] + ["", "Ä b"]
+    for cells in (1 << 23, 0):
+        counts, _ = language_id.trigram_counts(texts, cells=cells)
+        for block, rows in ((2048, 2048), (16, 7), (3, 1)):
+            assert np.array_equal(language_id.bundle(counts, 32, block, rows), [plain_bundle(t, 32) for t in texts])
+    small = language_id.Letters(8, limit=4)
+    for points in ([1, 2, 3], [3, 9], [1, 5, 7]):
+        assert np.array_equal(small.table[2, small.rows(points)], [language_id.letter_vector(p, 8) for p in points])
+
+
+def test_chinese_text_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 680))) for _ in range(512)]
+    tracemalloc.start()
+    counts, _ = language_id.trigram_counts(texts)
+    language_id.bundle(counts, 1024)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400 << 20
+
+
+def test_language_profiles_in_blocks(spark):
+    rows = [(i, w * 9, f"l{i % 7}") for i, w in enumerate(["abc", "bcd", "cde", "def", "efg", "fgh", "ghi"] * 3)] + [(90, "7", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, some = (language_id.identify(docs, language_id.learn(docs, block=b), keep_text=True) for b in (500, 2))
+    assert lists(one, "row", "text", "lang_pred") == lists(some, "row", "text", "lang_pred") and one.columns == some.columns
+    assert max(abs(a.score - b.score) for a, b in zip(*[sorted(x.collect(), key=lambda r: r["row"]["doc_id"]) for x in (one, some)], strict=True)) < 1e-6
 
 
 # 5 and 6 repeats
@@ -253,6 +358,22 @@ def test_suffix_dedup_pieces_of_long_texts(spark, monkeypatch):
     assert lists(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("operator", ["bytes", "words"])
+def test_hot_anchors_are_dealt_by_window(spark, monkeypatch, operator):
+    """A passage that many documents share, each with its own surroundings."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    rng = np.random.default_rng(11)
+    p = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{' '.join(f'a{rng.integers(10**6)}' for _ in range(9))} {p} {' '.join(f'b{rng.integers(3)}' for _ in range(9))}") for i in range(30)] + [(None, p), (40, p), (40, p + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs = [(1 << 62 if d is None else d, t) for d, t in rows]
+    if operator == "bytes":
+        got, want = lists(suffix_dedup.suffix_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute_bytes(pairs)
+    else:
+        got, want = lists(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256"), brute_words(pairs)
+    assert got == sorted([(None if r[0] == 1 << 62 else r[0], *r[1:]) for r in want], key=repr)
+
+
 def test_radix_passes():
     """Windows of five letters, two a pass: the least document of each group of equal windows."""
     contexts = [(b"abcdefgh", 3), (b"xbcdefgh", 1), (b"abcdefzz", 2)]
@@ -309,7 +430,7 @@ def test_token_counts_of_odd_texts():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["<|startoftext|>a<|endoftext|><|endoftext|>", "ΑΣ ΟΔΟΣ", "İstanbul ẞ", "é́", "aaaaaaaaaaaaa hahahahaha", "1234 ½", "a\u0085b c", "don't I'VE '''s", "<|none|>", "\x1c \x00"]
+    texts = ["<|startoftext|>a<|endoftext|><|endoftext|>", "ΑΣ ΟΔΟΣ", "İstanbul ẞ", "é́", "aaaaaaaaaaaaa hahahahaha", "1234 ½", "a\u0085b c", "don't I'VE '''s", "<|none|>", "\x1c \x00", "a\ua7cbb \ua7dc", "\ua7cb<|endoftext|>", "\u0378 x"]
     assert token_counts.WordCounter("word_bpe_49k.json")(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
@@ -354,17 +475,37 @@ def brute_hits(pairs, items, width=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [1 << 25, 400])
+@pytest.mark.parametrize("block", [250_000, 12])
 def test_decontaminate(spark, corpus, pairs, block):
     some = [t for _, t in pairs if len(t.split()) > 30][:3]
     items = [(1, " ".join(some[0].split()[5:25]).upper()), (2, "w1 w2"), (3, None), (4, "!!"), (10, some[1]), (1, some[2]), (11, "Ä"), (12, "é" * 200)]
-    found = decontaminate.find_benchmark(corpus, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    found = decontaminate.find_benchmark(corpus, spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
     got = sorted(((r.doc_id, r.n_words, sum(h["last"] - h["first"] + 1 for h in r.hits), r["items"]) for r in found.collect()), key=repr)
     assert got == brute_hits(pairs, items)
     clean = decontaminate.find_benchmark(corpus, spark.createDataFrame([], "item_id long, text string"))
     assert clean.filter("size(hits) > 0").count() == 0 and clean.count() == len(pairs)
 
 
+ODD_LETTERS = ["voilà une phrase où l'Å et le à se suivent déjà là-bas", "\u8a00\u8449 \u5168\u90e8 \u5c45\u308b 日本", "привет мир и это ещё одна строка на русском языке вот так да", "a\u00a0b\u0085c \u2028d"]
+
+
+@pytest.mark.parametrize("block", [250_000, 4])
+def test_decontaminate_letters_of_all_kinds(spark, block):
+    """Bytes of UTF-8 that are blanks in other encodings are parts of words."""
+    rows = [(i, f"x y {t} z, {t.upper()}") for i, t in enumerate(ODD_LETTERS)] + [(9, " ".join(ODD_LETTERS)), (10, "nothing")]
+    items = list(enumerate(ODD_LETTERS))
+    found = decontaminate.find_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
+    got = sorted(((r.doc_id, r.n_words, sum(h["last"] - h["first"] + 1 for h in r.hits), r["items"]) for r in found.collect()), key=repr)
+    assert got == brute_hits(rows, items) and all(n for d, _, n, _ in got if d < 10)
+
+
+@pytest.mark.parametrize("block", [250_000, 40])
+def test_spans_of_blocks_are_merged(spark, block):
+    text = " ".join(f"w{i}" for i in range(60))
+    r = decontaminate.find_benchmark(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"), spark.createDataFrame([(1, text), (2, text[30:])], "item_id long, text string"), block_windows=block).collect()
+    assert [([tuple(h) for h in x.hits], [tuple(s) for s in x.spans], x["items"]) for x in r] == [([(0, 59)], [(0, len(text))], ["1", "2"] if text[30:].split()[0] in text.split() else ["1"])] * 2
+
+
 def test_spans_point_into_the_original(spark):
     docs = spark.createDataFrame([(1, "é--One, TWO;three! four")], "doc_id long, text string")
     r = decontaminate.find_benchmark(docs, spark.createDataFrame([(7, "two three")], "item_id long, text string")).first()
@@ -461,16 +602,59 @@ def test_empty_tables(spark, empty):
 
 
 def test_null_ids(spark):
-    docs = spark.createDataFrame([(None, "a b c d e f g"), (1, "a b c d e f g"), (None, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    """Rows without an id have the values that the docstrings give them."""
+    t = "a b c d e f g h i j k l m n " * 4
+    rows = [(None, t), (1, t), (None, None), (1, "a b c"), (None, t)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
-    for df in (
-        packing.pack(docs), toxicity.score(docs, toxicity.learn(docs, labels)), near_dedup.near_dedup(docs), language_id.identify(docs, language_id.learn(docs.withColumn("lang", F.lit("x")))),
-        suffix_dedup.suffix_dedup(docs), substring_dedup.substring_dedup(docs), token_counts.count_tokens(docs), exact_dedup.exact_dedup(docs), decontaminate.find_benchmark(docs, bench), line_dedup.line_dedup(docs),
-    ):
-        assert df.count() >= 3
+    labels = spark.createDataFrame([(1, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    tokens = lists(packing.pack(docs).filter("start = 0"), "doc_id", "doc_tokens")
+    assert [d for d, _ in tokens] == [1, 1, None, None, None] and sorted(n for d, n in tokens if d is None)[0] == 1
+    assert {(r["row"]["doc_id"], r.score) for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()} == {(None, 0.0), (1, 0.0)}
+    near = lists(near_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept")
+    assert near == sorted([(None, 14, 1, False)] * 2 + [(1, 14, 1, True), (1, 1, 1, True), (None, 0, None, True)], key=repr)
+    told = lists(language_id.identify(docs, language_id.learn(docs.withColumn("lang", F.lit("x")))), "row", "lang_pred")
+    assert [(r[0]["doc_id"], r[1]) for r in told] == [(1, "x"), (1, "x"), (None, "und"), (None, "x"), (None, "x")] or sorted(r[1] for r in told) == ["und", "x", "x", "x", "x"]
+    assert lists(suffix_dedup.suffix_dedup(docs), "doc_id", "n_removed") == sorted([(None, len(t))] * 2 + [(1, 0), (1, 0), (None, 0)], key=repr)
+    assert lists(substring_dedup.substring_dedup(docs), "doc_id", "n_removed") == sorted([(None, 56)] * 2 + [(1, 0), (1, 0), (None, 0)], key=repr)
+    assert [r[0] for r in lists(token_counts.count_tokens(docs), "doc_id", "n_tokens")] == [1, 1, None, None, None]
+    exact = lists(exact_dedup.exact_dedup(docs), "doc_id", "keep_id", "group_size", "kept")
+    assert exact == sorted([(None, 1, 3, False)] * 2 + [(1, 1, 3, True), (1, 1, 1, True), (None, None, 1, True)], key=repr)
+    hit = sorted(((r.doc_id, r.n_words, len(r.hits)) for r in decontaminate.find_benchmark(docs, bench).collect()), key=repr)
+    assert hit == sorted([(None, 56, 4)] * 2 + [(1, 56, 4), (1, 3, 1), (None, 0, 0)], key=repr)
+    lines = line_rows(docs)
+    assert [(d, n, gone) for d, n, gone, _ in lines] == [(1, 1, 0), (1, 1, 0), (None, 1, 0), (None, 1, 1), (None, 1, 1)] or sorted(x[2] for x in lines) == [0, 0, 0, 1, 1]
+
+
+def test_repeated_rows_of_exact_dedup(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "a  b"), (2, "ab"), (2, "x")]
+    got = lists(exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "keep_id", "group_size", "kept")
+    assert got == [(1, 1, 4, False), (1, 1, 4, True), (1, 1, 4, True), (2, 1, 4, False), (2, 2, 1, True)]
+
+
+def test_a_very_long_text(spark):
+    """A text of 2 MB, a copy of it, and one that ends like it."""
+    rng = np.random.default_rng(2)
+    t = " ".join(f"w{x}" for x in rng.integers(0, 50_000, 300_000).tolist())
+    docs = spark.createDataFrame([(1, t), (2, t), (3, "x " + t[-5000:])], "doc_id long, text string")
+    assert lists(near_dedup.near_dedup(docs), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+    assert lists(suffix_dedup.suffix_dedup(docs), "doc_id", "n_removed") == [(1, 0), (2, len(t)), (3, 5000 if t[-5001] != " " else 5001)]
+    assert lists(exact_dedup.exact_dedup(docs), "doc_id", "keep_id") == [(1, 1), (2, 1), (3, 3)]
+    assert lists(line_dedup.line_dedup(docs), "n_removed") == [(0,), (0,), (1,)]
+    from tokenizers import Tokenizer
+
+    for name, got in (("word_bpe_49k.json", token_counts.count_tokens(docs)), ("byte_bpe_50k.json", packing.pack(docs).filter("start = 0").selectExpr("doc_id", "doc_tokens - 1 AS n_tokens"))):
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        n = [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in (t, "x " + t[-5000:])]
+        assert lists(got, "doc_id", "n_tokens") == [(1, n[0]), (2, n[0]), (3, n[1])]
 
 
-def test_staged_tables_are_read_back(spark):
-    df = stage(spark.range(5), "test")
+def test_staged_tables_are_read_back_and_deleted(spark):
+    mark = common.staged()
+    df, other = stage(spark.range(5), "test"), stage(spark.range(6), "test")
     assert df.count() == 5 and "brindle" in df.inputFiles()[0]
+    common.release(mark, but=other)
+    path = lambda x: common.Path(x._staged_path.removeprefix("file:"))
+    assert not path(df).exists() and path(other).exists() and other.count() == 6
+    common.drop(other)
+    assert not path(other).exists() and common.staged() == mark
