@@ -35,14 +35,15 @@ def _column(name: str):
 
 def _without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text hash) is not in ``gone``; the short list is broadcast only while it is short."""
-    listed = common.stage(gone.select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).distinct(), label)
+    a, b = common.fresh(docs.columns, "gone_id"), common.fresh(docs.columns, "gone_rk")
+    listed = common.stage(gone.select(F.col("doc_id").alias(a), F.col("rk").alias(b)).distinct(), label)
     few = listed.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(listed) if few else listed, F.col("doc_id").eqNullSafe(F.col("__id")) & (common.row_key() == F.col("__rk")), "left_anti")
+    return docs.join(F.broadcast(listed) if few else listed, F.col("doc_id").eqNullSafe(F.col(a)) & (common.row_key() == F.col(b)), "left_anti")
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prototypes = language_id.learn(docs.filter(language_id.remainder(5) != 0))
-    return _like(language_id.identify(docs, prototypes, keep_text=True).filter("lang_pred <> 'und'"), docs)
+    profiles = language_id.learn(docs.filter(language_id.remainder(5) != 0))
+    return _like(language_id.identify(docs, profiles, keep_text=True).filter("lang_pred <> 'und'"), docs)
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +51,10 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = common.stage(near_dedup.near_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "pipeline-near")
+    a = common.fresh(docs.columns, "gone_id")
+    gone = common.stage(near_dedup.near_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias(a)).distinct(), "pipeline-near")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(a), "left_anti")
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
+    mark = common.staged()
     for name, stage in STAGES[:-1]:
         docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.release(mark, but=docs)  # what the stage and its predecessor wrote is read no more
     return STAGES[-1][1](spark, docs, sf_dir)
