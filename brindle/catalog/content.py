@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.catalog.book import Book
-from brindle.functions import text
+from brindle.functions import ranges, text
 from brindle.operators import chat
 from brindle.sources import blocks, sinks
 
@@ -131,10 +131,45 @@ def _(t):
 
 
 @book("content_text_functions", """SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), ':[0-9]+$', ''), '^www\\.', '')) AS host,
-CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/octet-stream' END AS media, CASE WHEN page_id % 2 = 0 THEN substr(replace(url, '.', '_'), 1, 15) || '.html' ELSE substr(replace(url, '.', '_'), 1, 20) END AS cut FROM pages WHERE length(url) > 25""")
+CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/octet-stream' END AS media, CASE WHEN page_id % 2 = 0 THEN substr(replace(url, '.', '_'), 1, 15) || '.html' ELSE substr(replace(url, '.', '_'), 1, 20) END AS cut FROM pages""")
 def _(t):
     end = F.when(F.col("page_id") % 2 == 0, ".html").otherwise("")
     plain = F.regexp_replace("url", r"\.", "_")
-    p = t.raw("pages").filter("length(url) > 25").withColumn("name", F.concat(plain, end))
+    p = t.raw("pages").withColumn("name", F.concat(plain, end))
     cut = text.truncate_name(F.col("name"), 20)
     return p.select("page_id", text.alias(F.regexp_extract("url", "^https?://([^/]+)", 1)).alias("host"), text.media_by_name(F.col("name")).alias("media"), cut.alias("cut"))
+
+
+@book("content_reactions", """SELECT 'u' || user_id AS user_id, event_id % 100 AS message_id, max_by(event_type, event_id) AS reaction FROM events WHERE user_id % 2 = 0 GROUP BY ALL HAVING max_by(event_type, event_id) <> 'error'""")
+def _(t):
+    e = t.events()
+    given = F.when(F.col("event_type") != "error", F.col("event_type"))
+    rows = e.select(F.concat(F.lit("u"), "user_id").alias("user_id"), (F.col("event_id") % 100).alias("message_id"), given.alias("reaction"), F.col("event_id").alias("reacted_at"))
+    return chat.reactions_of(rows, e.filter("user_id % 2 = 0").select(F.concat(F.lit("u"), "user_id").alias("user_id")))
+
+
+@book("content_citations", "SELECT l_orderkey AS message_id, l_linenumber AS n, 'f' || l_partkey AS file_id, CASE WHEN l_partkey % 4 <> 0 THEN l_partkey END AS attachment_id FROM lineitem")
+def _(t):
+    file = lambda k: F.concat(F.lit("f"), k)
+    cited = t.raw("lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("n"), file("l_partkey").alias("file_id"))
+    files = t.raw("part").filter("p_partkey % 4 <> 0").select(file("p_partkey").alias("file_id"), F.col("p_partkey").alias("attachment_id"))
+    return chat.cite(cited, files)
+
+
+@book("content_retrieval_mode", "SELECT o_orderkey AS session_id, CASE WHEN o_orderkey % 5 = 0 OR n IS NULL THEN 'none' ELSE 'unrestricted' END AS mode FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey % 5 = 1 GROUP BY 1) ON o_orderkey = l_orderkey")
+def _(t):
+    ready = t.raw("lineitem").filter("l_partkey % 5 = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    chats = t.raw("orders").select("o_orderkey").join(ready, "o_orderkey", "left")
+    return chats.select(F.col("o_orderkey").alias("session_id"), chat.retrieval_mode(F.col("o_orderkey") % 5 == 0, F.col("n")).alias("mode"))
+
+
+@book("content_byte_ranges", """WITH r AS (SELECT page_id, cast(octet_length(encode(html)) AS BIGINT) AS n, page_id % 50 AS a, page_id % 6 AS k FROM pages)
+SELECT page_id, cast(CASE k WHEN 0 THEN 206 WHEN 1 THEN 206 WHEN 2 THEN 206 WHEN 3 THEN 416 ELSE 200 END AS INTEGER) AS status,
+CASE k WHEN 0 THEN a WHEN 1 THEN a WHEN 2 THEN greatest(0, n - a - 1) WHEN 3 THEN NULL ELSE 0 END AS first, CASE k WHEN 0 THEN least(a + 9, n - 1) WHEN 3 THEN NULL ELSE n - 1 END AS last FROM r""")
+def _(t):
+    p = t.raw("pages").select("page_id", F.octet_length("html").cast("long").alias("n"), (F.col("page_id") % 50).alias("a"), (F.col("page_id") % 6).alias("k"))
+    asked = (
+        F.when(F.col("k") == 0, F.format_string("bytes=%d-%d", "a", F.col("a") + 9)).when(F.col("k") == 1, F.format_string("bytes=%d-", "a")).when(F.col("k") == 2, F.format_string("bytes=-%d", F.col("a") + 1))
+        .when(F.col("k") == 3, F.format_string("bytes=%d-", "n")).when(F.col("k") == 4, F.lit("bytes=0-1,5-9"))
+    )
+    return p.select("page_id", ranges.byte_range(asked, F.col("n")).alias("r")).select("page_id", "r.status", "r.first", "r.last")

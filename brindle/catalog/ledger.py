@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.catalog.book import Book
 from brindle.functions import money, periods
-from brindle.operators import ledger
+from brindle.operators import ledger, versions
 from brindle.operators.tables import not_listed
 from brindle.sources import sinks
 
@@ -29,6 +29,8 @@ def _(t):
 
 
 for _grain, _keys in ledger.GRAINS.items():
+    if _grain in ledger.CLASS_OF:
+        continue
 
     @book(f"ledger_balance_{_grain}", f"SELECT {', '.join(_keys)}, cast(sum(amount_minor) AS BIGINT) AS balance_minor FROM journal_lines GROUP BY {', '.join(_keys)}")
     def _(t, grain=_grain):
@@ -318,3 +320,68 @@ def _(t):
 def _(t):
     e = t.journal_entries().select("entry_id", F.when(F.col("entry_id") % 2 == 0, F.concat(F.lit("=1+"), "entry_id")).otherwise("plain").alias("note"))
     return sinks.audit_rows(e, t.journal_lines().select("entry_id", "side", "amount_minor"), e)
+
+
+_CLASSED = """c AS (SELECT *, CASE entry_id % 5 WHEN 0 THEN 'TAX_PAYABLE' WHEN 1 THEN 'UNALLOCATED' WHEN 2 THEN 'REUSABLE_CREDIT' WHEN 3 THEN 'DISPUTE_HOLD' ELSE account_class END AS class,
+ 'J' || entry_id % 3 AS tax_jurisdiction, 'P' || entry_id % 2 AS tax_filing_period, 'G' || entry_id % 4 AS credit_grant_event_type FROM journal_lines)"""
+
+
+def _classed(t):
+    """Journal lines whose class, and the dimensions of the special classes, follow from the entry's number."""
+    n = F.col("entry_id") % 5
+    names = F.when(n == 0, "TAX_PAYABLE").when(n == 1, "UNALLOCATED").when(n == 2, "REUSABLE_CREDIT").when(n == 3, "DISPUTE_HOLD").otherwise(F.col("account_class"))
+    tag = lambda letter, k: F.concat(F.lit(letter), (F.col("entry_id") % k).cast("string"))
+    return t.journal_lines().withColumns({"account_class": names, "tax_jurisdiction": tag("J", 3), "tax_filing_period": tag("P", 2), "credit_grant_event_type": tag("G", 4)})
+
+
+for _grain, _class in ledger.CLASS_OF.items():
+    _keys = ", ".join(ledger.GRAINS[_grain])
+
+    @book(
+        f"ledger_balance_{_grain}",
+        f"WITH {_CLASSED} SELECT {_keys.replace('account_class', 'class AS account_class')}, cast(sum(CASE side WHEN 'CR' THEN amount_minor ELSE -amount_minor END) AS BIGINT) AS balance_minor "
+        f"FROM c WHERE class = '{_class}' GROUP BY {_keys.replace('account_class', 'class')}",
+    )
+    def _(t, grain=_grain):
+        return ledger.project_balances(_classed(t), grain)
+
+
+@book("ledger_control_feed", """WITH p AS (SELECT tenant_id, period_id, count(*) AS posted FROM journal_entries GROUP BY ALL), f AS (SELECT tenant_id, period_id, posted + CASE WHEN period_id LIKE '%1' THEN 2 WHEN period_id LIKE '%2' THEN -1 ELSE 0 END AS expected FROM p WHERE tenant_id <> 't4')
+SELECT p.tenant_id, p.period_id, f.expected, p.posted, CASE WHEN f.expected IS NULL THEN 'unannounced' WHEN p.posted < f.expected THEN 'short' WHEN p.posted > f.expected THEN 'over' ELSE 'matched' END AS state FROM p LEFT JOIN f ON p.tenant_id = f.tenant_id AND p.period_id = f.period_id""")
+def _(t):
+    e = t.journal_entries()
+    off = F.when(F.col("period_id").endswith("1"), 2).when(F.col("period_id").endswith("2"), -1).otherwise(0)
+    feed = e.filter("tenant_id <> 't4'").groupBy("tenant_id", "period_id").agg(F.count("*").alias("n")).select("tenant_id", "period_id", (F.col("n") + off).alias("expected"))
+    return ledger.control_feed(feed, e)
+
+
+@book("ledger_next_version", """WITH v AS (SELECT payer_id, max(entry_id % 9) AS m FROM journal_entries WHERE payer_id % 3 <> 0 GROUP BY payer_id)
+SELECT DISTINCT e.payer_id, coalesce(v.m + 1, 0) AS next_version FROM journal_entries e LEFT JOIN v ON e.payer_id = v.payer_id""")
+def _(t):
+    e = t.journal_entries()
+    return versions.next_version(e, e.filter("payer_id % 3 <> 0").select("payer_id", (F.col("entry_id") % 9).alias("version")), ["payer_id"])
+
+
+@book("ledger_dispute_reopen", """WITH o AS (SELECT DISTINCT payer_id FROM journal_entries WHERE payer_id % 2 = 0), c AS (SELECT payer_id, max(entry_id) AS cycle, count(*) AS n FROM journal_entries WHERE payer_id % 3 = 0 GROUP BY payer_id)
+SELECT coalesce(o.payer_id, c.payer_id) AS payer_id, coalesce(c.cycle, 0) AS cycle, CASE WHEN c.cycle IS NULL THEN 'closed' ELSE 'open' END AS state, cast(CASE WHEN o.payer_id IS NULL THEN c.n - 1 ELSE 4 + coalesce(c.n, 0) END AS BIGINT) AS version FROM o FULL JOIN c ON o.payer_id = c.payer_id""")
+def _(t):
+    e = t.journal_entries()
+    current = e.filter("payer_id % 2 = 0").select("payer_id").distinct().select("payer_id", F.lit(0).cast("long").alias("cycle"), F.lit("closed").alias("state"), F.lit(4).cast("long").alias("version"))
+    changes = e.filter("payer_id % 3 = 0").select("payer_id", F.col("entry_id").alias("cycle"), F.lit("open").alias("state"))
+    return versions.upsert_bumped(current, changes, ["payer_id"], "cycle")
+
+
+@book("ledger_payer_has_balance", """SELECT DISTINCT payer_id, payer_id IN (SELECT payer_id FROM (SELECT payer_id, entry_id, sum(CASE side WHEN 'DR' THEN amount_minor ELSE -amount_minor END) AS b FROM journal_lines GROUP BY ALL) WHERE b <> 0) AS found FROM journal_entries""")
+def _(t):
+    net = t.journal_lines().groupBy("payer_id", "entry_id").agg(F.sum(money.signed(F.col("side"), F.col("amount_minor"))).alias("b"))
+    return versions.exists_for(t.journal_entries().select("payer_id").distinct(), net, ["payer_id"], F.col("b") != 0)
+
+
+@book("ledger_exceptions", """SELECT entry_id AS exception_id, CASE WHEN entry_id % 4 = 0 THEN 'RESOLVED' WHEN entry_id % 6 = 0 THEN 'WAIVED' ELSE 'OPEN' END AS state,
+CASE WHEN entry_id % 4 = 0 THEN 'old' WHEN entry_id % 6 = 0 THEN 'first' END AS resolved_by FROM journal_entries""")
+def _(t):
+    closed = F.col("entry_id") % 4 == 0
+    queue = t.journal_entries().select(F.col("entry_id").alias("exception_id"), F.when(closed, "RESOLVED").otherwise("OPEN").alias("state"), F.when(closed, "old").alias("resolved_by"))
+    named = queue.filter("exception_id % 6 = 0").select("exception_id")
+    acts = [named.select("exception_id", F.lit(o).alias("outcome"), F.lit(a).alias("actor"), F.lit(at).alias("resolved_at")) for o, a, at in (("RESOLVED", "second", 2), ("WAIVED", "first", 1))]
+    return versions.resolve_exceptions(queue, acts[0].unionByName(acts[1])).select("exception_id", "state", "resolved_by")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.catalog.book import Book
 from brindle.functions.ids import partition_of
 from brindle.functions.text import backoff
-from brindle.streaming import log
+from brindle.streaming import log, outbox
 
 book = Book()
 QUERIES = book.queries
@@ -152,3 +153,37 @@ def _(t):
 def _(t):
     m = F.round(F.col("value") * 100).cast("long")
     return t.events().groupBy("event_type").agg(F.round(F.avg(m), 3).alias("avg_minor"), F.count("*").alias("n"))
+
+
+@book("stream_outbox", "SELECT event_id, user_id % 4 AS partition, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) + CASE WHEN user_id % 4 = 2 THEN 70 ELSE 0 END AS sequence FROM events")
+def _(t):
+    # The key's checksum is undone here, so that SQL can tell the partition: keys are chosen to have the user's remainder.
+    users = t.events().select("user_id").distinct()
+    tries = users.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("key", F.concat_ws("-", "user_id", "i"))
+    fits = tries.filter("pmod(crc32(cast(key AS binary)), 4) = user_id % 4").groupBy("user_id").agg(F.min("key").alias("key"))
+    last = t.spark.range(2, 3).select(F.col("id").cast("int").alias("partition"), F.lit(70).cast("long").alias("last_seq"))
+    queued = outbox.enqueue(t.events().select("event_id", "user_id").join(fits, "user_id"), 4, last, ["event_id"])
+    return queued.select("event_id", F.col("partition").cast("long").alias("partition"), "sequence")
+
+
+@book("stream_payloads", """SELECT event_id, CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'type_unknown' WHEN event_type = 'click' AND user_id % 3 = 0 THEN 'subject_type' WHEN event_type = 'error' AND event_id % 7 < 3 THEN 'payload' END AS fault FROM events""")
+def _(t):
+    field = "array<struct<name:string,kind:string,required:boolean>>"
+    k, none = [("k", "number", True)], []
+    types = t.spark.createDataFrame([("a", "click", ["user"], k), ("a", "view", none, k), ("a", "purchase", none, k), ("a", "error", none, k)], f"topic string, type_id string, allowed array<string>, fields {field}")
+    n = F.col("event_id") % 7
+    data = F.when(F.col("event_type") != "error", F.col("props")).when(n == 0, "{}").when(n == 1, '{"k": "x"}').when(n == 2, "[1]").when(n > 3, F.col("props"))
+    topic = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 1), "free").otherwise("a")
+    e = t.events().select("event_id", topic.alias("topic"), F.col("event_type").alias("type_id"), F.when(F.col("user_id") % 3 == 0, "host").otherwise("user").alias("subject_type"), data.alias("data"))
+    return outbox.payload_faults(e, types).select("event_id", "fault")
+
+
+@book("stream_chained", """WITH p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sequence FROM events), f AS (SELECT user_id, min(sequence) AS bad FROM p WHERE event_id % 997 = 500 GROUP BY user_id),
+s AS (SELECT p.event_id, p.user_id, sequence, 0 AS again FROM p UNION ALL SELECT event_id, user_id, sequence, 1 FROM p WHERE event_id % 5 = 0)
+SELECT s.event_id, again, CASE WHEN sequence >= coalesce(bad, sequence + 1) THEN 'violation' WHEN again = 1 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM s LEFT JOIN f ON s.user_id = f.user_id""")
+def _(t):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    p = t.events().select("event_id", "user_id", (F.row_number().over(w) - 1).alias("sequence"))
+    p = p.withColumn("previous", F.when(F.col("event_id") % 997 == 500, -7).otherwise(F.col("sequence") - 1))
+    sent = p.withColumn("again", F.lit(0)).unionByName(p.filter("event_id % 5 = 0").withColumn("again", F.lit(1)))
+    return outbox.chained(sent, ["user_id"], ["event_id", "again"]).select("event_id", "again", "outcome")

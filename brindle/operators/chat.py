@@ -84,6 +84,24 @@ def unreferenced(attachments: DataFrame, links: DataFrame) -> DataFrame:
     return attachments.join(links, "attachment_id", "left_anti")
 
 
+def reactions_of(reactions: DataFrame, users: DataFrame) -> DataFrame:
+    """The last reaction of each of the users to each message; one that was taken back is not there."""
+    rows = reactions.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    # Within a struct a null is a value, so that the last reaction counts also where it was taken back.
+    last = rows.groupBy("user_id", "message_id").agg(F.max_by(F.struct("reaction"), "reacted_at")["reaction"].alias("reaction"))
+    return last.filter("reaction IS NOT NULL")
+
+
+def cite(citations: DataFrame, files: DataFrame) -> DataFrame:
+    """Citations by provider file with the attachment that the file belongs to; unknown files keep a null."""
+    return citations.join(files.select("file_id", "attachment_id"), "file_id", "left")
+
+
+def retrieval_mode(disabled: Column, ready_documents: Column) -> Column:
+    """none while search is switched off or the chat has no document that is ready, else the whole chat."""
+    return F.when(disabled | (F.coalesce(ready_documents, F.lit(0)) == 0), "none").otherwise("unrestricted")
+
+
 def storage_used(attachments: DataFrame) -> DataFrame:
     """Bytes of attachments that are neither failed nor deleted, 0 without any."""
     live = attachments.filter("status <> 'failed' AND deleted_at IS NULL")

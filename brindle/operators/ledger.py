@@ -18,7 +18,13 @@ GRAINS = {
     "ar_payer": ("tenant_id", "payer_id", "account_class", "currency"),
     "ar_invoice": ("tenant_id", "payer_id", "account_class", "entry_id"),
     "stream": ("tenant_id", "account_class", "stream"),
+    "disputed": ("tenant_id", "payer_id", "account_class", "entry_id"),
+    "tax": ("tenant_id", "account_class", "tax_jurisdiction", "tax_filing_period"),
+    "unallocated": ("tenant_id", "payer_id", "currency"),
+    "reusable_credit": ("tenant_id", "payer_id", "currency", "credit_grant_event_type"),
 }
+#: Grains that have lines of one account class only.
+CLASS_OF = {"disputed": "DISPUTE_HOLD", "tax": "TAX_PAYABLE", "unallocated": "UNALLOCATED", "reusable_credit": "REUSABLE_CREDIT"}
 
 
 def normal_amount(account_class: Column, side: Column, amount: Column) -> Column:
@@ -59,9 +65,20 @@ def validate(entries: DataFrame, lines: DataFrame) -> DataFrame:
 def project_balances(lines: DataFrame, grain: str) -> DataFrame:
     """The balance of each key of a grain, on its normal side."""
     keys = GRAINS[grain]
+    if grain in CLASS_OF:
+        lines = lines.filter(F.col("account_class") == CLASS_OF[grain])
     return lines.groupBy(*keys).agg(F.sum(normal_amount(F.col("account_class"), F.col("side"), F.col("amount_minor"))).alias("balance_minor"))
 
 
+def control_feed(feed: DataFrame, entries: DataFrame) -> DataFrame:
+    """What the outside says of each (tenant, period) next to what was posted: expected and posted numbers of entries,
+    and ``state``: matched, short, over, or unannounced where nothing was expected."""
+    posted = entries.groupBy("tenant_id", "period_id").agg(F.count("*").alias("posted"))
+    both = feed.select("tenant_id", "period_id", "expected").join(posted, ["tenant_id", "period_id"], "full_outer").withColumn("posted", F.coalesce("posted", F.lit(0)))
+    state = F.when(F.col("expected").isNull(), "unannounced").when(F.col("posted") < F.col("expected"), "short").when(F.col("posted") > F.col("expected"), "over").otherwise("matched")
+    return both.withColumn("state", state)
+
+
 def tie_out(cache: DataFrame, lines: DataFrame, grain: str) -> DataFrame:
     """Keys whose cached balance differs from the fold of the lines; a missing side counts as 0."""
     keys = list(GRAINS[grain])

@@ -64,3 +64,21 @@ def test_text(spark):
     assert one(spark, text.media_by_content(F.lit(b"\x89PNG\r\n\x1a\n123"))) == "image/png"
     assert one(spark, text.data_uri(F.lit("image/gif"), F.lit(b"GIF8"))) == "data:image/gif;base64,R0lGOA=="
     assert one(spark, text.backoff(F.lit(5), 100, 1000)) == 1000
+
+
+def test_batch_sizes_degrade_and_ramp(spark):
+    from brindle.streaming import outbox
+
+    rows = [("success", None), ("retry", 5), ("retry", 5), ("success", None), ("reject", None), ("success", None), ("success", None), ("success", None), ("success", None), ("retry", None)]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "p int, i int, result string, processed int")
+    got = [r.batch_size for r in outbox.batch_sizes(df, ["p"], ["i"], 16, 2).orderBy("i").collect()]
+    assert got == [16, 16, 5, 10, 1, 2, 4, 8, 16, 16]
+
+
+def test_read_range(spark):
+    from brindle.functions import ranges
+
+    df = spark.createDataFrame([("bytes=1-2",), ("bytes=-2",), ("bytes=9-",), ("bytes=3-1",), ("bytes=-0",), ("lines=1-2",), ("bytes=-",), (None,), ("bytes=2-99",)], "h string")
+    span = ranges.byte_range(F.col("h"), F.lit(5).cast("long"))
+    got = [(bytes(r.b) if r.b is not None else None, r.s) for r in df.select(ranges.read_range(F.lit(b"abcde"), span).alias("b"), span["status"].alias("s")).collect()]
+    assert got == [(b"bc", 206), (b"de", 206), (None, 416), (None, 416), (None, 416), (b"abcde", 200), (b"abcde", 200), (b"abcde", 200), (b"cde", 206)]
