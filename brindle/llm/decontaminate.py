@@ -6,7 +6,7 @@ word of the benchmark has a number, and a document is read once as the sequence
 pass finds all occurrences, overlapping ones included.  Hits are word numbers; the spans map them to character
 offsets of the original text.
 
-The automaton holds about ``block_windows`` windows, 0.6 to 0.8 KB each.  The benchmark is cut into pieces of at most
+The automaton holds about ``block_windows`` windows, 0.8 KB each.  The benchmark is cut into pieces of at most
 a fifth of that (an item's pieces overlap by ``width`` - 1 words, so no window is lost) and the pieces are dealt over
 as many blocks as that takes.  A block is collected, broadcast, scanned and dropped before the next one is read; the
 runs of hits are merged by document.
