@@ -55,6 +55,12 @@ def _(t):
     return chat.chain(m, m.filter("turn = 5"), levels=6)
 
 
+@book("content_message_descendants", "SELECT s.message_id AS start_id, m.message_id, cast(m.turn - s.turn AS INTEGER) AS distance FROM messages s JOIN messages m ON s.session_id = m.session_id AND m.turn > s.turn WHERE s.turn = 0")
+def _(t):
+    m = t.messages()
+    return chat.descendants(m, m.filter("turn = 0"))
+
+
 @book("content_siblings", "SELECT message_id, cast(row_number() OVER (PARTITION BY session_id, p ORDER BY created_at, message_id) - 1 AS INTEGER) AS variant, count(*) OVER (PARTITION BY session_id, p) AS n_variants FROM (SELECT *, turn // 3 AS p FROM messages)")
 def _(t):
     return chat.siblings(t.messages().withColumn("parent_id", F.expr("turn div 3"))).select("message_id", "variant", "n_variants")

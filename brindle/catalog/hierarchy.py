@@ -97,6 +97,21 @@ def _(t):
     return h.closest(tree.select(F.col("id").alias("start_id"), F.lit("key").alias("name")), chain, rows).select("start_id", "owner_id", "depth", "sharing")
 
 
+@book("tree_alias", """WITH s AS (SELECT * FROM (VALUES ('root', 'svc', 'shared', true), ('n3', 'svc', 'shared', false), ('n8', 'svc', 'private', true), ('r2', 'svc', 'shared', true), ('c5', 'svc', 'private', true), ('n4', 'old', 'shared', false), ('c5', 'old', 'private', false)) v(tenant_id, alias, sharing, enabled)),
+q AS (SELECT id AS start_id, a.alias FROM tenants, (VALUES ('svc'), ('old')) a(alias)), m AS (SELECT c.descendant_id AS start_id, s.alias, s.tenant_id, c.depth, s.enabled FROM closure c JOIN s ON c.ancestor_id = s.tenant_id WHERE c.depth = 0 OR s.sharing <> 'private'),
+g AS (SELECT start_id, alias, min(depth) FILTER (WHERE enabled) AS depth, arg_min(tenant_id, depth) FILTER (WHERE enabled) AS owner_id, string_agg(tenant_id, ',' ORDER BY depth DESC) FILTER (WHERE enabled) AS layers FROM m GROUP BY ALL)
+SELECT q.start_id, q.alias, CASE WHEN g.depth IS NOT NULL THEN 'found' WHEN g.start_id IS NOT NULL THEN 'disabled' ELSE 'not_found' END AS outcome, owner_id, depth, coalesce(layers, '') AS layers FROM q LEFT JOIN g ON q.start_id = g.start_id AND q.alias = g.alias""")
+def _(t):
+    tree = t.tenants()
+    rows = t.spark.createDataFrame(
+        [("root", "svc", "shared", True), ("n3", "svc", "shared", False), ("n8", "svc", "private", True), ("r2", "svc", "shared", True), ("c5", "svc", "private", True), ("n4", "old", "shared", False), ("c5", "old", "private", False)],
+        "tenant_id string, alias string, sharing string, enabled boolean",
+    )
+    chain = h.closure(tree, levels=LEVELS).select(F.col("descendant_id").alias("start_id"), F.col("ancestor_id").alias("id"), "depth")
+    asked = tree.select(F.col("id").alias("start_id"), F.explode(F.array(F.lit("svc"), F.lit("old"))).alias("alias"))
+    return h.resolve_alias(asked, chain, rows).withColumn("layers", F.array_join("layers", ","))
+
+
 @book("tree_retention_due", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 = 0 AND c_custkey * 3600 >= CASE WHEN c_custkey % 2 = 0 THEN 1000000 ELSE 2000000 END")
 def _(t):
     now = F.lit("2024-06-01 00:00:00").cast("timestamp")

@@ -28,6 +28,17 @@ def _(t):
     return ledger.validate(t.journal_entries(), t.journal_lines())
 
 
+@book("ledger_validate_functional", """WITH f AS (SELECT entry_id, side, amount_minor AS a, CASE WHEN entry_id % 5 IN (1, 3) OR entry_id % 5 = 2 AND side = 'DR' THEN 2 * amount_minor + CASE WHEN entry_id % 5 = 3 AND side = 'CR' THEN 1 ELSE 0 END END AS f FROM journal_lines),
+s AS (SELECT entry_id, count(*) AS n, sum(CASE WHEN side = 'DR' THEN a ELSE -a END) AS net, count(f) AS fn, sum(CASE WHEN side = 'DR' THEN f ELSE -f END) AS fnet FROM f GROUP BY entry_id)
+SELECT e.entry_id, coalesce(n, 0) AS n_lines, CASE WHEN n IS NULL THEN 'empty' WHEN net <> 0 THEN 'unbalanced' WHEN fn > 0 AND fn < n THEN 'functional_partial' WHEN fn = n AND fnet <> 0 THEN 'functional_unbalanced' ELSE 'ok' END AS verdict FROM journal_entries e LEFT JOIN s ON e.entry_id = s.entry_id""")
+def _(t):
+    # Functional amounts on some entries: on all lines, on the debit lines alone, and with a credit that is one too much.
+    rest, debit = F.col("entry_id") % 5, F.col("side") == "DR"
+    amount = 2 * F.col("amount_minor") + F.when((rest == 3) & ~debit, 1).otherwise(0)
+    lines = t.journal_lines().withColumn("functional_amount_minor", F.when(rest.isin(1, 3) | ((rest == 2) & debit), amount))
+    return ledger.validate(t.journal_entries(), lines)
+
+
 for _grain, _keys in ledger.GRAINS.items():
     if _grain in ledger.CLASS_OF:
         continue
@@ -232,8 +243,8 @@ def _(t):
 
 
 @book("ledger_entry_kinds", """WITH l AS (SELECT invoice_id AS i, open_minor AS m FROM invoices WHERE open_minor <> 0)
-SELECT kind, side, account_class, count(*) AS n, cast(sum(m) AS BIGINT) AS amount_minor FROM l, (VALUES ('settlement', 'DR', 'CASH'), ('settlement', 'CR', 'UNALLOCATED'), ('allocation', 'DR', 'UNALLOCATED'), ('allocation', 'CR', 'AR'),
- ('credit_note', 'DR', 'CONTRACT_LIABILITY'), ('credit_note', 'CR', 'AR'), ('debit_note', 'CR', 'CONTRACT_LIABILITY'), ('debit_note', 'DR', 'AR'), ('chargeback', 'DR', 'DISPUTED'), ('chargeback', 'CR', 'CASH')) v(kind, side, account_class) GROUP BY ALL""")
+SELECT kind, side, account_class, count(*) AS n, cast(sum(m) AS BIGINT) AS amount_minor FROM l, (VALUES ('settlement', 'DR', 'CASH_CLEARING'), ('settlement', 'CR', 'UNALLOCATED'), ('allocation', 'DR', 'UNALLOCATED'), ('allocation', 'CR', 'AR'),
+ ('credit_note', 'DR', 'CONTRACT_LIABILITY'), ('credit_note', 'CR', 'AR'), ('debit_note', 'CR', 'CONTRACT_LIABILITY'), ('debit_note', 'DR', 'AR'), ('chargeback', 'DR', 'DISPUTE_HOLD'), ('chargeback', 'CR', 'CASH_CLEARING')) v(kind, side, account_class) GROUP BY ALL""")
 def _(t):
     rows, m = t.invoices().select("invoice_id", "open_minor"), F.col("open_minor")
     kinds = {"settlement": ledger.settlement_legs(m), "allocation": ledger.allocation_legs(m), "credit_note": ledger.note_legs(m, True), "debit_note": ledger.note_legs(m, False), "chargeback": ledger.chargeback_legs(m)}
@@ -244,12 +255,34 @@ def _(t):
     return out.groupBy("kind", "side", "account_class").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("amount_minor"))
 
 
+@book("ledger_credit_entries", """WITH r AS (SELECT payer_id, open_minor AS m, open_minor // 50 AS fee FROM invoices WHERE open_minor <> 0), p AS (SELECT payer_id, sum(open_minor) AS m FROM invoices GROUP BY payer_id),
+l AS (SELECT 'grant' AS kind, 'DR' AS side, 'UNALLOCATED' AS account_class, NULL AS bucket, m FROM r UNION ALL SELECT 'grant', 'CR', 'REUSABLE_CREDIT', NULL, m FROM r UNION ALL SELECT 'return', 'DR', 'UNALLOCATED', NULL, m FROM r
+ UNION ALL SELECT 'return', 'CR', 'CASH_CLEARING', NULL, m - fee FROM r UNION ALL SELECT 'return', 'CR', 'PSP_FEE_EXPENSE', NULL, fee FROM r WHERE fee <> 0
+ UNION ALL SELECT 'apply', 'DR', 'REUSABLE_CREDIT', 'promo', m // 2 FROM p UNION ALL SELECT 'apply', 'DR', 'REUSABLE_CREDIT', 'refund', m - m // 2 FROM p UNION ALL SELECT 'apply', 'CR', 'AR', NULL, open_minor FROM invoices)
+SELECT kind, side, account_class, bucket, count(*) AS n, cast(sum(m) AS BIGINT) AS amount_minor FROM l GROUP BY ALL""")
+def _(t):
+    rows, m = t.invoices().select("invoice_id", "open_minor"), F.col("open_minor")
+    kinds = {"grant": ledger.grant_legs(m), "return": ledger.return_legs(m, F.expr("open_minor div 50"))}
+    parts = [ledger.build_entry(rows, legs).select(F.lit(k).alias("kind"), "side", "account_class", F.lit(None).cast("string").alias("bucket"), "amount_minor") for k, legs in kinds.items()]
+    # Each payer's receivables are paid from two buckets of credit.
+    owed = t.invoices().groupBy(F.col("payer_id").alias("entry_id")).agg(F.sum("open_minor").alias("m"))
+    buckets = F.array(F.struct(F.lit("promo").alias("b"), F.expr("m div 2").alias("a")), F.struct(F.lit("refund").alias("b"), F.expr("m - m div 2").alias("a")))
+    drawn = owed.select("entry_id", F.explode(buckets).alias("x")).select("entry_id", F.col("x.b").alias("credit_grant_event_type"), F.col("x.a").alias("amount_minor"))
+    paid = t.invoices().select(F.col("payer_id").alias("entry_id"), "invoice_id", F.col("open_minor").alias("amount_minor"))
+    lines = ledger.apply_lines(drawn, paid)
+    parts.append(lines.select(F.lit("apply").alias("kind"), "side", "account_class", F.col("credit_grant_event_type").alias("bucket"), "amount_minor"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "side", "account_class", "bucket").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("amount_minor"))
+
+
 @book("ledger_reverse", "SELECT entry_id, CASE side WHEN 'DR' THEN 'CR' ELSE 'DR' END AS side, amount_minor FROM journal_lines")
 def _(t):
     return ledger.reverse_lines(t.journal_lines()).select("entry_id", "side", "amount_minor")
 
 
-@book("ledger_chain_build")
+@book("ledger_chain_build", """WITH RECURSIVE r AS (SELECT tenant_id, entry_id, row_number() OVER (PARTITION BY tenant_id ORDER BY created_seq) AS i,
+ sha256(strlen(entry_id::VARCHAR) || ':' || entry_id || '|' || strlen(period_id) || ':' || period_id || '|' || strlen(payer_id::VARCHAR) || ':' || payer_id || '#') AS body FROM journal_entries),
+c AS (SELECT tenant_id, entry_id, i, sha256(body || sha256('GENESIS|' || tenant_id)) AS row_hash FROM r WHERE i = 1 UNION ALL SELECT r.tenant_id, r.entry_id, r.i, sha256(r.body || c.row_hash) FROM c JOIN r ON r.tenant_id = c.tenant_id AND r.i = c.i + 1)
+SELECT tenant_id, entry_id, row_hash FROM c""")
 def _(t):
     return ledger.build_chain(t.journal_entries(), ["entry_id", "period_id", "payer_id"], "created_seq").select("tenant_id", "entry_id", "row_hash")
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brindle.catalog.book import Book
 from brindle.functions.ids import partition_of
 from brindle.functions.text import backoff
-from brindle.streaming import log, outbox
+from brindle.operators import hierarchy
+from brindle.streaming import deltas, log, outbox
 
 book = Book()
 QUERIES = book.queries
@@ -69,6 +70,56 @@ def _(t):
     return log.interest(events(t), "top1", ["p*", "view"], tenants).select("event_id")
 
 
+@book("stream_interest_subtree", "SELECT event_id, root FROM (SELECT event_id, 'c' || user_id AS tenant_id FROM events) e JOIN (SELECT 'near' AS root, descendant_id FROM closure WHERE ancestor_id = 'r1' AND barrier = 0 AND depth <= 2 UNION ALL SELECT 'all', descendant_id FROM closure WHERE ancestor_id = 'r2') c ON e.tenant_id = c.descendant_id")
+def _(t):
+    # One interest respects barriers down to two levels, the other takes the whole subtree.
+    closed = hierarchy.closure(t.tenants(), levels=3)
+    e = t.events().select("event_id", F.lit("all").alias("topic"), F.concat(F.lit("c"), "user_id").alias("tenant_id"), F.col("event_type").alias("type_id"))
+    wanted = {"near": log.interest_tenants(closed, "r1", 2), "all": log.interest_tenants(closed, "r2", None, respect_barriers=False)}
+    near, whole = (log.interest(e, "all", ["*"], ids).select("event_id", F.lit(k).alias("root")) for k, ids in wanted.items())
+    return near.unionByName(whole)
+
+
+@book("stream_paused", """WITH l AS (SELECT event_id, user_id % 8 AS partition, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END) OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS level FROM events)
+SELECT event_id, coalesce(last_value(CASE WHEN level >= 6 THEN true WHEN level <= 2 THEN false END IGNORE NULLS) OVER (PARTITION BY partition ORDER BY event_id ROWS UNBOUNDED PRECEDING), false) AS paused FROM l""")
+def _(t):
+    w = Window.partitionBy("partition").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    change = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
+    levels = t.events().withColumn("partition", F.col("user_id") % 8).withColumn("level", F.sum(change).over(w))
+    return log.paused(levels, ["partition"], ["event_id"], "level", 6, 2).select("event_id", "paused")
+
+
+@book("stream_batch_sizes", """WITH RECURSIVE p AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'retry' WHEN 'error' THEN 'reject' ELSE 'success' END AS result, greatest(1, CASE WHEN event_id % 5 = 4 THEN 1 ELSE event_id % 5 END) AS low, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (SELECT cast(NULL AS BIGINT) AS event_id, user_id, cast(0 AS BIGINT) AS i, cast(16 AS BIGINT) AS size, 0 AS failures FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+ SELECT p.event_id, p.user_id, p.i, CASE result WHEN 'success' THEN least(16, size * 2) WHEN 'reject' THEN low WHEN 'retry' THEN CASE WHEN failures >= 1 THEN low ELSE size END END, CASE result WHEN 'retry' THEN failures + 1 ELSE 0 END FROM w JOIN p ON p.user_id = w.user_id AND p.i = w.i + 1)
+SELECT event_id, cast(size AS INTEGER) AS batch_size FROM w WHERE i > 0""")
+def _(t):
+    result = F.when(F.col("event_type") == "signup", "retry").when(F.col("event_type") == "error", "reject").otherwise("success")
+    done = F.when(F.col("event_id") % 5 != 4, F.col("event_id") % 5)
+    return outbox.batch_sizes(t.events().select("event_id", "user_id", result.alias("result"), done.alias("processed")), ["user_id"], ["event_id"], 16, 2).select("event_id", "batch_size")
+
+
+_WIRE = """WITH e AS (SELECT event_id, user_id, event_type, count(*) FILTER (WHERE event_type = 'click') OVER w AS chunks, count(*) FILTER (WHERE event_type = 'view') OVER w AS views FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT *, min(views) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id) AS place FROM e),
+x AS (SELECT event_id, user_id, 0 AS i, 'message.part.add' AS type, 'parts/' || (CASE event_type WHEN 'click' THEN place ELSE views - 1 + CASE WHEN chunks > 0 THEN 1 ELSE 0 END END) AS path FROM f WHERE event_type = 'view' OR event_type = 'click' AND chunks = 1
+ UNION ALL SELECT event_id, user_id, 1, 'message.text.delta', 'parts/' || place || '/content/text' FROM f WHERE event_type = 'click' UNION ALL SELECT event_id, user_id, 0, 'message.file_citation.add', 'parts/0/file_citations' FROM f WHERE event_type = 'purchase' AND event_id % 2 = 0
+ UNION ALL SELECT event_id, user_id, 1, 'message.reference.add', 'parts/0/references' FROM f WHERE event_type = 'purchase' UNION ALL SELECT event_id, user_id, 0, 'message.status.changed', NULL FROM f WHERE event_type = 'signup'
+ UNION ALL SELECT event_id, user_id, 0, 'message.link_citation.add', 'parts/' || CASE WHEN chunks > 0 THEN place ELSE 0 END || '/link_citations' FROM f WHERE event_type = 'error' UNION ALL SELECT event_id, user_id, 1, 'message.complete', NULL FROM f WHERE event_type = 'error')
+SELECT event_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id, i) - 1 AS INTEGER) AS seq, type, path FROM x"""
+
+
+@book("stream_deltas", _WIRE)
+def _(t):
+    kinds = {"click": "chunk", "view": "part", "purchase": "citation", "signup": "status", "error": "complete"}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    one = F.array(F.lit("a"))
+    e = t.events().select(
+        "event_id", "user_id", kind.alias("kind"), F.col("props").alias("value"), F.lit(0).alias("part_number"), F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 0), one).alias("file_citations"),
+        F.when(F.col("event_type") == "error", one).alias("link_citations"), F.when(F.col("event_type") == "purchase", one).alias("references"),
+    )
+    return deltas.project(e, ["user_id"], "event_id").select("event_id", "seq", "type", "path")
+
+
 @book("stream_rebalance", """WITH m AS (SELECT s_suppkey AS member_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
 SELECT member_id, cast(p AS INTEGER) AS partition FROM m, generate_series(0, 2500) g(p) WHERE p BETWEEN i * (2501 // n) + least(i, 2501 % n) AND i * (2501 // n) + least(i, 2501 % n) + 2501 // n + CASE WHEN i < 2501 % n THEN 1 ELSE 0 END - 1""")
 def _(t):
@@ -139,9 +190,12 @@ def _(t):
     return t.events().select("event_id", partition_of(F.concat(F.lit("t"), "user_id"), 16).alias("partition"))
 
 
-@book("stream_token_bucket")
+@book("stream_token_bucket", """WITH RECURSIVE p AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT event_id, user_id, us, i, cast(2 AS DOUBLE) AS level, true AS admitted FROM p WHERE i = 1 UNION ALL
+ SELECT event_id, user_id, us, i, l - CASE WHEN l >= 1 THEN 1 ELSE 0 END, l >= 1 FROM (SELECT p.event_id, p.user_id, p.us, p.i, least(3.0::DOUBLE, w.level + ((p.us - w.us) / 1000000.0::DOUBLE) * (1.0::DOUBLE / 7200.0::DOUBLE)) AS l FROM w JOIN p ON p.user_id = w.user_id AND p.i = w.i + 1))
+SELECT event_id, admitted FROM w""")
 def _(t):
-    return log.token_bucket(t.events().select("event_id", "user_id", "ts"), "user_id", "ts", 1 / 7200, 3.0).select("event_id", "admitted")
+    return log.token_bucket(t.events().select("event_id", "user_id", "ts"), "user_id", "ts", 1 / 7200, 3.0, ("event_id",)).select("event_id", "admitted")
 
 
 @book("stream_backoff", "SELECT event_id, cast(least(100 * pow(2, greatest(event_id % 12 - 1, 0)), 30000) AS BIGINT) AS wait_ms FROM events")

@@ -122,7 +122,8 @@ def _(t):
     return t.usage_records().select("id", usage.metadata_fault(F.col("metadata"), declared).alias("fault"))
 
 
-@book("usage_record_ids")
+@book("usage_record_ids", f"""WITH h AS (SELECT id, sha1(from_hex('{NAMESPACE.replace("-", "")}') || encode(concat_ws(chr(31), tenant_id, gts_id, cast(epoch_us(created_at) AS VARCHAR), idempotency_key))) AS h FROM usage_records)
+SELECT id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17:17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS record_id FROM h""")
 def _(t):
     return t.usage_records().select("id", record_id(NAMESPACE, F.col("tenant_id"), F.col("gts_id"), F.col("created_at"), F.col("idempotency_key")).alias("record_id"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import search_term, snippet
+from brindle.operators.durable import durable
 
 
 def search(messages: DataFrame, term: str, radius: int = 60) -> DataFrame:
@@ -31,12 +32,33 @@ def chain(messages: DataFrame, starts: DataFrame, guard: int = 10_000, levels: i
     out = level
     for step in range(1, (levels if levels is not None else guard) + 1):
         level = level.join(up, F.col("message_id") == F.col("__id")).filter("__up IS NOT NULL").select("start_id", F.col("__up").alias("message_id"), F.lit(step).alias("distance"))
-        if levels is None and level.isEmpty():
-            break
+        if levels is None:
+            level = durable(level)
+            if level.isEmpty():
+                break
         out = out.unionByName(level)
     return out
 
 
+def descendants(messages: DataFrame, starts: DataFrame, levels: int | None = None) -> DataFrame:
+    """(start_id, message_id, distance) of all messages below each start, within its session; without ``levels`` the
+    walk goes on until a level is empty."""
+    down = messages.select(F.col("session_id").alias("__s"), F.col("parent_id").alias("__up"), F.col("message_id").alias("__id"))
+    level = starts.select(F.col("message_id").alias("start_id"), "session_id", "message_id", F.lit(0).alias("distance"))
+    out = level.filter(F.lit(False))
+    step = 0
+    while levels is None or step < levels:
+        step += 1
+        found = level.join(down, (F.col("session_id") == F.col("__s")) & (F.col("message_id") == F.col("__up")))
+        level = found.select("start_id", "session_id", F.col("__id").alias("message_id"), F.lit(step).alias("distance"))
+        if levels is None:
+            level = durable(level)
+            if level.isEmpty():
+                break
+        out = out.unionByName(level)
+    return out.drop("session_id")
+
+
 def siblings(messages: DataFrame) -> DataFrame:
     """Variants of one parent with their index and number."""
     w = Window.partitionBy("session_id", "parent_id")

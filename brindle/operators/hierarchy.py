@@ -174,6 +174,23 @@ def closest(requests: DataFrame, chain: DataFrame, rows: DataFrame, private_firs
     return requests.join(best.select("start_id", "name", F.col("b.id").alias("owner_id"), F.col("b.depth").alias("depth"), F.col("b.sharing").alias("sharing")), ["start_id", "name"], "left")
 
 
+def resolve_alias(requests: DataFrame, chain: DataFrame, rows: DataFrame) -> DataFrame:
+    """For each (start_id, alias): ``outcome``, owner_id, depth and ``layers``.
+
+    ``rows`` has tenant_id, alias, sharing and enabled; ``chain`` has start_id, id and depth.  The nearest enabled row on
+    the chain is found; an ancestor's private row is not seen.  Without one the outcome is ``disabled`` where a disabled
+    row was passed, else ``not_found``.  ``layers`` holds the ids of all enabled rows, the farthest first, which is the
+    order in which settings are merged.
+    """
+    seen = requests.join(chain, "start_id").join(rows.withColumnRenamed("tenant_id", "id"), ["id", "alias"]).filter("depth = 0 OR sharing <> 'private'")
+    spot = F.when(F.col("enabled"), F.struct("depth", "id"))
+    one = seen.groupBy("start_id", "alias").agg(F.min(spot).alias("__near"), F.sort_array(F.collect_list(spot), asc=False).alias("__all"))
+    out = requests.join(one, ["start_id", "alias"], "left")
+    outcome = F.when(F.col("__near").isNotNull(), "found").when(F.col("__all").isNotNull(), "disabled").otherwise("not_found")
+    layers = F.coalesce(F.transform("__all", lambda x: x["id"]), F.array().cast("array<string>"))
+    return out.select("start_id", "alias", outcome.alias("outcome"), F.col("__near.id").alias("owner_id"), F.col("__near.depth").alias("depth"), layers.alias("layers"))
+
+
 def retention_due(tree: DataFrame, now: Column, default_seconds: int) -> DataFrame:
     """Deleted nodes past their retention, deepest first; future stamps and windows that are not valid are not due."""
     window = F.coalesce("retention_seconds", F.lit(default_seconds))

@@ -257,8 +257,28 @@ def invoice_legs(total: Column, tax: Column) -> list[tuple[str, str, Column]]:
     return [("DR", "AR", total + tax), ("CR", "CONTRACT_LIABILITY", total), ("CR", "TAX_PAYABLE", tax)]
 
 
-def settlement_legs(paid: Column) -> list[tuple[str, str, Column]]:
-    return [("DR", "CASH", paid), ("CR", "UNALLOCATED", paid)]
+def settlement_legs(paid: Column, fee: Column | None = None) -> list[tuple[str, str, Column]]:
+    """A payment of ``paid``, of which the provider keeps ``fee``."""
+    fee = F.lit(0) if fee is None else fee
+    return [("DR", "CASH_CLEARING", paid - fee), ("DR", "PSP_FEE_EXPENSE", fee), ("CR", "UNALLOCATED", paid)]
+
+
+def return_legs(returned: Column, fee: Column | None = None) -> list[tuple[str, str, Column]]:
+    """A settlement given back, with its share of the fee."""
+    return [("CR" if side == "DR" else "DR", account, amount) for side, account, amount in settlement_legs(returned, fee)]
+
+
+def grant_legs(amount: Column) -> list[tuple[str, str, Column]]:
+    return [("DR", "UNALLOCATED", amount), ("CR", "REUSABLE_CREDIT", amount)]
+
+
+def apply_lines(debits: DataFrame, targets: DataFrame) -> DataFrame:
+    """Lines of entries that apply credit: a debit for each bucket drawn (entry_id, credit_grant_event_type,
+    amount_minor), a credit for each receivable paid (entry_id, invoice_id, amount_minor)."""
+    columns = ["entry_id", "side", "account_class", "credit_grant_event_type", "invoice_id", "amount_minor"]
+    drawn = debits.withColumns({"side": F.lit("DR"), "account_class": F.lit("REUSABLE_CREDIT"), "invoice_id": F.lit(None).cast(targets.schema["invoice_id"].dataType)})
+    paid = targets.withColumns({"side": F.lit("CR"), "account_class": F.lit("AR"), "credit_grant_event_type": F.lit(None).cast("string")})
+    return drawn.select(*columns).unionByName(paid.select(*columns))
 
 
 def allocation_legs(given: Column) -> list[tuple[str, str, Column]]:
@@ -271,7 +291,7 @@ def note_legs(amount: Column, credit: bool) -> list[tuple[str, str, Column]]:
 
 
 def chargeback_legs(amount: Column) -> list[tuple[str, str, Column]]:
-    return [("DR", "DISPUTED", amount), ("CR", "CASH", amount)]
+    return [("DR", "DISPUTE_HOLD", amount), ("CR", "CASH_CLEARING", amount)]
 
 
 def reverse_lines(lines: DataFrame) -> DataFrame:

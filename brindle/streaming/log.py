@@ -72,6 +72,17 @@ def interest(log: DataFrame, topic: str, patterns: list[str], tenants: DataFrame
     return rows if tenants is None else rows.join(tenants.select("tenant_id").distinct(), "tenant_id", "left_semi")
 
 
+def interest_tenants(closed: DataFrame, tenant: str, depth: int | None = 0, respect_barriers: bool = True) -> DataFrame:
+    """The tenants that an interest covers: the tenant itself (depth 0), its descendants down to ``depth``, or all of
+    them (None); respecting barriers, self-managed ones and all below them are left out.  ``closed`` is a closure."""
+    rows = closed.filter(F.col("ancestor_id") == tenant)
+    if depth is not None:
+        rows = rows.filter(F.col("depth") <= depth)
+    if respect_barriers:
+        rows = rows.filter("barrier = 0")
+    return rows.select(F.col("descendant_id").alias("tenant_id"))
+
+
 def rebalance(members: DataFrame, partitions: int) -> DataFrame:
     """(member_id, partition): contiguous blocks to members by (created_at, id); the first ones take one more.  With
     more members than partitions the rest idle."""
@@ -89,6 +100,14 @@ def micro_batches(log: DataFrame, max_events: int) -> DataFrame:
     return log.withColumn("batch", F.expr(f"offset div {max_events}"))
 
 
+def paused(levels: DataFrame, keys: list[str], order: list[str], level: str, high: int, low: int) -> DataFrame:
+    """``paused`` after each row: set once the level is at ``high`` or more, cleared once it is at ``low`` or less, else as
+    it was; not paused at first."""
+    mark = F.when(F.col(level) >= high, True).when(F.col(level) <= low, False)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return levels.withColumn("paused", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)))
+
+
 def dead_letters(attempts: DataFrame, max_attempts: int) -> DataFrame:
     """Rejected events, and those that failed ``max_attempts`` times, with their last error; all others drop out."""
     last = attempts.groupBy("event_id").agg(F.count_if(F.col("result") != "success").alias("failures"), F.max_by(F.struct("result", "error"), "attempt").alias("l"))
@@ -135,11 +154,11 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "key", value:
     return a.join(b, key, "full_outer").withColumn("change", change).filter("change IS NOT NULL").select(key, "change")
 
 
-def token_bucket(requests: DataFrame, key: str, at: str, per_second: float, burst: float) -> DataFrame:
+def token_bucket(requests: DataFrame, key: str, at: str, per_second: float, burst: float, ties: tuple[str, ...] = ()) -> DataFrame:
     """``admitted`` by request under a token bucket per key.  The level depends on each earlier decision, so a key's
-    requests are walked in order within one task, fed sorted and in batches."""
+    requests are walked in order (of ``at``, then ``ties``) within one task, fed sorted and in batches."""
     schema = requests.schema
-    rows = requests.repartition(key).sortWithinPartitions(key, at)
+    rows = requests.repartition(key).sortWithinPartitions(key, at, *ties)
 
     def run(batches):
         current, level, last = None, burst, None
