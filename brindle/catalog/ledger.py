@@ -372,7 +372,7 @@ for _grain, _class in ledger.CLASS_OF.items():
 
     @book(
         f"ledger_balance_{_grain}",
-        f"WITH {_CLASSED} SELECT {_keys.replace('account_class', 'class AS account_class')}, cast(sum(CASE side WHEN 'CR' THEN amount_minor ELSE -amount_minor END) AS BIGINT) AS balance_minor "
+        f"WITH {_CLASSED} SELECT {_keys.replace('account_class', 'class AS account_class')}, cast(sum(CASE side WHEN '{'DR' if _class == 'DISPUTE_HOLD' else 'CR'}' THEN amount_minor ELSE -amount_minor END) AS BIGINT) AS balance_minor "
         f"FROM c WHERE class = '{_class}' GROUP BY {_keys.replace('account_class', 'class')}",
     )
     def _(t, grain=_grain):

@@ -12,7 +12,7 @@ from brindle.functions.money import half_even, product, signed, translate
 from brindle.functions.periods import bucket_labels, bucket_rank, days_past_due, period_add
 
 #: Account classes whose balance is normally on the debit side.
-DEBIT_NORMAL = ("AR", "CASH", "EXPENSE", "ASSET", "TAX_RECEIVABLE", "UNBILLED", "CONTRACT_ASSET")
+DEBIT_NORMAL = ("AR", "CASH_CLEARING", "DISPUTE_HOLD", "CONTRA_REVENUE", "GOODWILL", "DISPUTE_LOSS_EXPENSE", "PSP_FEE_EXPENSE")
 GRAINS = {
     "account": ("tenant_id", "account_class", "currency"),
     "ar_payer": ("tenant_id", "payer_id", "account_class", "currency"),
