@@ -87,12 +87,14 @@ class ByteLevelEncoder:
         """All ids, and n + 1 bounds."""
         odd = {i for i, t in enumerate(texts) if not self.by_word or any(s in t for s in self.special)}
         plain = ["" if i in odd else t for i, t in enumerate(texts)]
-        points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        laid = "".join(plain)
+        points = np.frombuffer(laid.encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = np.frombuffer(laid.encode("utf-8", "surrogatepass"), np.uint8)
         limits = np.concatenate(([0], np.cumsum([len(t) for t in plain]))).astype(np.int64)
         if len(points):
             starts = byte_level_starts(points, limits)
-            words, number = encoded(points, np.append(starts, len(points)) * 4)
-            row = self.known.rows(words, lambda new: self.encode_words([w.decode("utf-32-le", "surrogatepass") for w in new]))[number]
+            words, number = encoded(raw, np.append(byte_places(points, len(raw))[starts], len(raw)))
+            row = self.known.rows(words, lambda new: self.encode_words([w.decode("utf-8", "surrogatepass") for w in new]))[number]
             size = self.known.size[row]
             ids = ragged(self.known.pool, self.known.at[row], size)
             upto = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
@@ -105,6 +107,14 @@ class ByteLevelEncoder:
         return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
 
 
+def byte_places(points: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Where each code point begins in the UTF-8 form, which has ``n_bytes``."""
+    if n_bytes == len(points):
+        return np.arange(n_bytes, dtype=np.int64)
+    width = np.int64(1) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    return np.cumsum(width) - width
+
+
 def binary_pieces(n: int, max_len: int) -> list[int]:
     """Lengths of the pieces of n tokens, longest first."""
     rest = n % max_len

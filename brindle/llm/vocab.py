@@ -93,16 +93,19 @@ class Known:
         """Row numbers of distinct ``words``; ``fill`` gives sizes and values of those that are not known."""
         if len(self.index) + len(words) > self.limit or self.bytes > self.size_limit:
             self.clear()
-        new = [w for w in words if w not in self.index]
-        if new:
+        found = np.array([self.index.get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
             sizes, values = fill(new)
             starts = len(self.pool) + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-            self.index.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            found[missing] = np.arange(len(self.at), len(self.at) + len(new))
+            self.index.update(zip(new, found[missing].tolist(), strict=True))
             self.bytes += sum(map(len, new))
             self.pool = np.concatenate((self.pool, values.astype(np.uint32)))
             self.at = np.concatenate((self.at, starts))
             self.size = np.concatenate((self.size, sizes))
-        return np.array([self.index[w] for w in words], np.int64)
+        return found
 
 
 def ragged(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
