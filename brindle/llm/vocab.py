@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -93,7 +94,7 @@ class Known:
         """Row numbers of distinct ``words``; ``fill`` gives sizes and values of those that are not known."""
         if len(self.index) + len(words) > self.limit or self.bytes > self.size_limit:
             self.clear()
-        found = np.array([self.index.get(w, -1) for w in words], np.int64)
+        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [words[i] for i in missing.tolist()]
