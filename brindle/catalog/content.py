@@ -93,7 +93,7 @@ def _(t):
     return sinks.conversations(t.messages()).select("session_id", "n_messages", "markdown")
 
 
-@book("content_export_json")
+@book("content_export_json", """SELECT session_id, cast(to_json({'session_id': session_id, 'messages': list({'turn': turn, 'message_id': message_id, 'role': role, 'content': content} ORDER BY turn)}) AS VARCHAR) AS json FROM messages GROUP BY session_id""")
 def _(t):
     return sinks.conversations(t.messages(), include_hidden=True).select("session_id", "json")
 

@@ -120,3 +120,30 @@ def _(t):
         F.when(F.col("c_custkey") % 2 == 0, 1000000).cast("long").alias("retention_seconds"),
     )
     return h.retention_due(gone, now, 2000000).select("id")
+
+
+@book("tree_move", """WITH RECURSIVE moved AS (SELECT id, CASE WHEN starts_with(id, 'n') AND cast(substr(id, 2) AS INTEGER) % 6 = 1 THEN 'r' || ((cast(substr(parent_id, 2) AS INTEGER) + 1) % 5) ELSE parent_id END AS parent_id FROM tenants),
+w AS (SELECT id AS ancestor_id, id AS descendant_id, 0 AS depth FROM moved UNION ALL SELECT m.parent_id, w.descendant_id, w.depth + 1 FROM w JOIN moved m ON w.ancestor_id = m.id WHERE m.parent_id IS NOT NULL)
+SELECT ancestor_id, descendant_id, depth FROM w""")
+def _(t):
+    tree = t.tenants()
+    nations = tree.filter("id LIKE 'n%' AND try_cast(substring(id, 2) AS int) % 6 = 1")
+    moves = nations.select("id", F.expr("concat('r', (try_cast(substring(parent_id, 2) AS int) + 1) % 5)").alias("new_parent_id"))
+    return h.move_subtrees(h.closure(tree, levels=LEVELS), moves)
+
+
+@book("tree_unhydrated", "SELECT id FROM tenants WHERE starts_with(id, 'c') AND cast(substr(id, 2) AS INTEGER) % 10 = 3")
+def _(t):
+    tree = t.tenants()
+    return h.unhydrated(h.closure(tree, levels=LEVELS), tree.filter("NOT (id LIKE 'c%' AND try_cast(substring(id, 2) AS int) % 10 = 3)"))
+
+
+@book("tree_hydrated", "SELECT ancestor_id, descendant_id, depth, p.status AS ancestor_status FROM closure JOIN tenants p ON p.id = ancestor_id")
+def _(t):
+    tree = t.tenants()
+    return h.hydrated(h.closure(tree, levels=LEVELS), tree).select("ancestor_id", "descendant_id", "depth", F.col("node.status").alias("ancestor_status"))
+
+
+@book("tree_parent_condition", "SELECT t.id FROM tenants t JOIN tenants p ON t.parent_id = p.id WHERE p.self_managed")
+def _(t):
+    return h.with_parent_in(t.tenants(), F.col("self_managed")).select("id")

@@ -177,6 +177,43 @@ def _(t):
     return log.due_queue(q, F.lit("2024-01-10 00:00:00").cast("timestamp"), 200).select("id")
 
 
+def queue(t):
+    """Rows of a queue, some held until an hour after they became due."""
+    held = F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.make_dt_interval(hours=F.lit(1)))
+    return t.events().select(F.col("event_id").alias("id"), F.concat(F.lit("p"), (F.col("user_id") % 8).cast("string")).alias("key"), F.when(F.col("event_id") % 2 == 0, "queued").otherwise("done").alias("state"), F.col("ts").alias("due_at"), held.alias("claimed_until"))
+
+
+@book("stream_claim", "SELECT event_id AS id, 'w1' AS claimed_by, TIMESTAMP '2024-01-10 00:00:30' AS claimed_until FROM events WHERE event_id % 2 = 0 AND ts <= TIMESTAMP '2024-01-10' AND (event_id % 3 <> 0 OR ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-10') ORDER BY ts, event_id LIMIT 200")
+def _(t):
+    return log.claim(queue(t), F.lit("2024-01-10 00:00:00").cast("timestamp"), 200, "w1", 30).select("id", "claimed_by", "claimed_until")
+
+
+@book("stream_overdue", "SELECT 'p' || (user_id % 8) AS key, count(*) AS late, min(ts) AS oldest FROM events WHERE event_id % 2 = 0 AND ts <= TIMESTAMP '2024-01-09' GROUP BY ALL")
+def _(t):
+    return log.overdue(queue(t), F.lit("2024-01-10 00:00:00").cast("timestamp"), 86_400)
+
+
+def processed(t):
+    return logged(t).withColumns({"processed_at": F.col("occurred_at"), "committed": F.col("event_id") % 5 == 0})
+
+
+@book("stream_commit_transaction", f"WITH {_EVENTS} SELECT topic, partition, max(off) AS \"offset\" FROM l GROUP BY ALL")
+def _(t):
+    return log.committed_offsets(processed(t), "transaction")
+
+
+@book("stream_commit_manual", f"WITH {_EVENTS} SELECT topic, partition, max(off) AS \"offset\" FROM l WHERE event_id % 5 = 0 GROUP BY ALL")
+def _(t):
+    return log.committed_offsets(processed(t), "manual")
+
+
+@book("stream_commit_auto", f"""WITH {_EVENTS}, s AS (SELECT topic, partition, min(epoch_us(occurred_at)) AS first, max(epoch_us(occurred_at)) AS last FROM l GROUP BY ALL),
+k AS (SELECT topic, partition, first, first + (last - first) // 86400000000 * 86400000000 AS tick FROM s)
+SELECT topic, partition, max(off) AS "offset" FROM l JOIN k USING (topic, partition) WHERE tick > first AND epoch_us(occurred_at) <= tick GROUP BY ALL""")
+def _(t):
+    return log.committed_offsets(processed(t), "auto", 86_400)
+
+
 @book("stream_watch_diff", "SELECT event_id AS key, CASE WHEN event_id % 5 = 0 THEN 'removed' WHEN event_id % 5 = 1 THEN 'added' ELSE 'changed' END AS change FROM events WHERE event_id % 5 < 2 OR event_id % 5 = 2 AND event_id % 3 = 0")
 def _(t):
     e = t.events().select(F.col("event_id").alias("key"), "value")
@@ -185,7 +222,18 @@ def _(t):
     return log.snapshot_diff(before, after)
 
 
-@book("stream_partition_of_key")
+#: Murmur3 of ASCII keys: whole blocks of four bytes are folded in, then the rest, then the finaliser.
+_MURMUR = """WITH k AS (SELECT DISTINCT 't' || user_id AS key FROM events),
+b AS (SELECT key, cast(length(key) AS UBIGINT) AS n, list_transform(generate_series(0, (length(key) - 1) // 4), lambda i: list_sum(list_transform(generate_series(0, 3), lambda j: CASE WHEN 4 * i + j < length(key) THEN cast(ord(substr(key, 4 * i + j + 1, 1)) AS BIGINT) * cast(pow(256, j) AS BIGINT) ELSE 0 END))) AS raw FROM k),
+m AS (SELECT key, n, list_transform(list_transform(raw, lambda x: (cast(x AS UBIGINT) * 3432918353::UBIGINT) & 4294967295::UBIGINT), lambda x: ((((x << 15) | (x >> 17)) & 4294967295::UBIGINT) * 461845907::UBIGINT) & 4294967295::UBIGINT) AS x FROM b),
+f AS (SELECT key, n, x, list_reduce(list_prepend(0::UBIGINT, x[1:cast(n // 4 AS BIGINT)]), lambda h, c: ((((xor(h, c) << 13) | (xor(h, c) >> 19)) & 4294967295::UBIGINT) * 5::UBIGINT + 3864292196::UBIGINT) & 4294967295::UBIGINT) AS h FROM m),
+g AS (SELECT key, xor(CASE WHEN n % 4 > 0 THEN xor(h, x[cast(n // 4 + 1 AS BIGINT)]) ELSE h END, n) AS h FROM f),
+u AS (SELECT key, (xor(h, h >> 16) * 2246822507::UBIGINT) & 4294967295::UBIGINT AS h FROM g),
+v AS (SELECT key, (xor(h, h >> 13) * 3266489909::UBIGINT) & 4294967295::UBIGINT AS h FROM u)
+SELECT event_id, cast((xor(h, h >> 16) & 2147483647::UBIGINT) % 16 AS INTEGER) AS partition FROM events JOIN v ON key = 't' || user_id"""
+
+
+@book("stream_partition_of_key", _MURMUR)
 def _(t):
     return t.events().select("event_id", partition_of(F.concat(F.lit("t"), "user_id"), 16).alias("partition"))
 

@@ -196,3 +196,41 @@ def retention_due(tree: DataFrame, now: Column, default_seconds: int) -> DataFra
     window = F.coalesce("retention_seconds", F.lit(default_seconds))
     age = F.unix_seconds(now) - F.unix_seconds("deleted_at")
     return tree.filter((F.col("deleted_at").isNotNull()) & (age >= 0) & (window >= 0) & (age >= window)).orderBy(F.col("depth").desc(), "deleted_at", "id")
+
+
+def move_subtrees(closed: DataFrame, moves: DataFrame) -> DataFrame:
+    """(ancestor_id, descendant_id, depth) after each node ``id`` of ``moves`` hangs under ``new_parent_id``.
+
+    Rows of a moved subtree survive inside it, since the ancestors of a node form a chain: those no further away than the
+    moved node.  New ones join everything above the new parent with everything below the moved node.  A moved node or a
+    new parent that stands in another moved subtree, or a new parent below its own node, is refused.
+    """
+    pairs = closed.select("ancestor_id", "descendant_id", "depth")
+    below = pairs.join(moves.select(F.col("id").alias("ancestor_id"), "new_parent_id"), "ancestor_id").select(F.col("ancestor_id").alias("id"), "new_parent_id", "descendant_id", F.col("depth").alias("__down"))
+    ends = moves.select(F.col("id").alias("descendant_id"), F.lit(1).alias("__least")).unionByName(moves.select(F.col("new_parent_id").alias("descendant_id"), F.lit(0).alias("__least")))
+    if not below.join(ends, "descendant_id").filter("__down >= __least").isEmpty():
+        raise ValueError("a moved node or its new parent stands in a moved subtree")
+    stays = pairs.join(below.select("descendant_id", "__down"), "descendant_id", "left").filter("__down IS NULL OR depth <= __down")
+    above = pairs.select(F.col("descendant_id").alias("new_parent_id"), "ancestor_id", F.col("depth").alias("__up"))
+    added = below.join(above, "new_parent_id").select("ancestor_id", "descendant_id", (F.col("__up") + F.col("__down") + 1).cast(closed.schema["depth"].dataType).alias("depth"))
+    return stays.select("ancestor_id", "descendant_id", "depth").unionByName(added)
+
+
+def unhydrated(closed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ids that a closure names and that have no row in ``nodes``."""
+    named = closed.select(F.col("ancestor_id").alias("id")).unionByName(closed.select(F.col("descendant_id").alias("id")))
+    return named.distinct().join(nodes.select("id"), "id", "left_anti")
+
+
+def hydrated(closed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The closure with its ancestors' rows as ``node``; an id without a row is an error, not a shorter result."""
+    if not unhydrated(closed, nodes).isEmpty():
+        raise ValueError("the closure names nodes that do not exist")
+    rows = nodes.select(F.col("id").alias("ancestor_id"), F.struct(*[F.col(c) for c in nodes.columns]).alias("node"))
+    return closed.join(rows, "ancestor_id")
+
+
+def with_parent_in(tree: DataFrame, condition: Column) -> DataFrame:
+    """Nodes whose parent meets the condition."""
+    parents = tree.filter(condition).select(F.col("id").alias("parent_id"))
+    return tree.join(parents, "parent_id", "left_semi")

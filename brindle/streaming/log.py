@@ -147,6 +147,43 @@ def due_queue(queue: DataFrame, now: Column, limit: int) -> DataFrame:
     return queue.filter((F.col("state") == "queued") & (F.col("due_at") <= now)).orderBy("due_at", "id").limit(limit)
 
 
+def claim(queue: DataFrame, now: Column, limit: int, owner: str, lease_seconds: int) -> DataFrame:
+    """The oldest due rows that nobody holds, now held by ``owner``: rows without ``claimed_until``, or past it.  The sort
+    and the limit are one top-k, so each task hands on ``limit`` rows at most; the write that records the claims decides
+    between owners that claim at the same time."""
+    free = F.col("claimed_until").isNull() | (F.col("claimed_until") <= now)
+    held = due_queue(queue.filter(free), now, limit)
+    return held.withColumns({"claimed_by": F.lit(owner), "claimed_until": now + F.make_dt_interval(secs=F.lit(lease_seconds).cast("decimal(18,6)"))})
+
+
+def overdue(queue: DataFrame, now: Column, after_seconds: int) -> DataFrame:
+    """By partition key, how many queued rows have been due for ``after_seconds`` or longer and the oldest of them: what
+    an out-of-order queue raises an alarm for."""
+    late = F.col("due_at") <= now - F.make_dt_interval(secs=F.lit(after_seconds).cast("decimal(18,6)"))
+    return queue.filter((F.col("state") == "queued") & late).groupBy("key").agg(F.count("*").alias("late"), F.min("due_at").alias("oldest"))
+
+
+def committed_offsets(processed: DataFrame, mode: str, every_seconds: int = 20) -> DataFrame:
+    """(topic, partition, offset) that a consumer group has committed after ``processed`` (topic, partition, offset,
+    processed_at, committed).
+
+    ``transaction``: every processed event's, since its result and its offset are written together.  ``manual``: the
+    greatest that the handler named by ``committed``.  ``auto``: the greatest processed by the last whole interval since
+    the partition's first event.  Partitions without a commit have no row.
+    """
+    if mode == "auto":
+        w = Window.partitionBy("topic", "partition")
+        us = F.unix_micros("processed_at")
+        ticked = processed.withColumns({"__us": us, "__first": F.min(us).over(w), "__last": F.max(us).over(w)})
+        step = every_seconds * 1_000_000
+        rows = ticked.withColumn("__tick", F.expr(f"__first + (__last - __first) div {step} * {step}")).filter("__tick > __first AND __us <= __tick")
+    elif mode in ("transaction", "manual"):
+        rows = processed if mode == "transaction" else processed.filter("committed")
+    else:
+        raise ValueError("mode must be auto, transaction or manual")
+    return rows.groupBy("topic", "partition").agg(F.max("offset").alias("offset"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """(key, change): what a watcher sees between two snapshots of a key-value table."""
     a, b = before.select(F.col(key), F.col(value).alias("__a"), F.lit(1).alias("__x")), after.select(F.col(key), F.col(value).alias("__b"), F.lit(1).alias("__y"))
