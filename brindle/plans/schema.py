@@ -6,7 +6,9 @@ string, i64, f64, bool, uuid, datetime, date, time, decimal.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
+from datetime import date, datetime, time
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -17,6 +19,7 @@ from brindle.plans.syntax import And, Call, Compare, Field, In, Literal, Node, N
 _TYPES = {"string": "string", "i64": "bigint", "f64": "double", "bool": "boolean", "uuid": "string", "datetime": "timestamp", "date": "date", "time": "time", "decimal": "decimal(38,10)"}
 _ACCEPTS = {"string": ("string",), "i64": ("number",), "f64": ("number",), "decimal": ("number",), "bool": ("bool",), "uuid": ("uuid", "string"), "datetime": ("datetime",), "date": ("date",), "time": ("time",)}
 _FLIP = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b}
+_KIND_OF = ((type(None), "null"), (bool, "bool"), ((int, float, Decimal), "number"), (uuid.UUID, "uuid"), (datetime, "datetime"), (date, "date"), (time, "time"), (str, "string"))
 TEXT_FUNCTIONS = ("contains", "startswith", "endswith")
 
 
@@ -27,6 +30,61 @@ class ResourceField:
     nullable: bool = False
 
 
+@dataclass(frozen=True)
+class Ref:
+    """A field of a resource, for filters written in Python: ``ref.ge(5) & ~other.is_in("a", "b")``.  A value whose kind
+    the field does not take is refused."""
+
+    name: str
+    kind: str
+
+    def _value(self, value) -> Literal:
+        kind = next((k for types, k in _KIND_OF if isinstance(value, types)), None)
+        if kind not in (*_ACCEPTS[self.kind], "null"):
+            raise QueryError("type_mismatch", f"{self.name} does not take {value!r}")
+        if kind == "datetime" and value.tzinfo is None:
+            raise QueryError("type_mismatch", f"{value!r} has no time zone")
+        return Literal(kind, Decimal(str(value)) if kind == "number" else value)
+
+    def _compare(self, op: str, value) -> Compare:
+        return Compare(Field(self.name), op, self._value(value))
+
+    def eq(self, value) -> Compare:
+        return self._compare("eq", value)
+
+    def ne(self, value) -> Compare:
+        return self._compare("ne", value)
+
+    def gt(self, value) -> Compare:
+        return self._compare("gt", value)
+
+    def ge(self, value) -> Compare:
+        return self._compare("ge", value)
+
+    def lt(self, value) -> Compare:
+        return self._compare("lt", value)
+
+    def le(self, value) -> Compare:
+        return self._compare("le", value)
+
+    def is_in(self, *values) -> In:
+        return In(Field(self.name), tuple(map(self._value, values)))
+
+    def _text(self, function: str, value: str) -> Call:
+        if self.kind != "string":
+            raise QueryError("type_mismatch", f"{self.name} is not text")
+        return Call(function, (Field(self.name), self._value(value)))
+
+    def contains(self, value: str) -> Call:
+        return self._text("contains", value)
+
+    def startswith(self, value: str) -> Call:
+        return self._text("startswith", value)
+
+    def endswith(self, value: str) -> Call:
+        return self._text("endswith", value)
+
+
 @dataclass(frozen=True)
 class Resource:
     """``ops`` and ``functions`` restrict what the store behind the resource can evaluate."""
@@ -39,6 +97,9 @@ class Resource:
     null_tests: bool = False
     maps: dict[str, str] = field(default_factory=dict)  # a field prefix whose next path step is a key of a map column
 
+    def ref(self, name: str) -> Ref:
+        return Ref(name, self.resolve(name)[1].kind)
+
     def resolve(self, name: str) -> tuple[Column, ResourceField]:
         """A field by name without regard to case: the whole name first, else its last path step where only one fits."""
         low = name.lower()

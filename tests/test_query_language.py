@@ -129,3 +129,16 @@ def test_nested_projection(spark):
     df = spark.sql("SELECT 1 AS id, named_struct('x', 1, 'y', named_struct('z', 2, 'w', 3)) AS s, array(named_struct('p', 1, 'q', 2)) AS l")
     got = paging.project(df, paging.parse_select("S.y.z, l.q, none")).collect()[0].asDict(recursive=True)
     assert got == {"s": {"y": {"z": 2}}, "l": [{"q": 2}]}
+
+
+def test_filters_written_in_python():
+    name, score = PEOPLE.ref("name"), PEOPLE.ref("score")
+    written = (score.ge(5) | name.startswith("a")) & ~name.is_in("x", "y") & score.ne(7)
+    assert written == parse("(score ge 5 or startswith(name, 'a')) and not (name in ('x', 'y')) and score ne 7")
+    times = Resource("times", {"at": ResourceField("at", "datetime"), "on": ResourceField("on", "date"), "ok": ResourceField("ok", "bool")})
+    assert times.ref("at").lt(datetime(2024, 1, 1, tzinfo=UTC)) == parse("at lt 2024-01-01T00:00:00Z")
+    assert times.ref("ok").eq(True) == parse("ok eq true")
+    wrong = [lambda: score.eq("a"), lambda: score.eq(True), lambda: name.eq(1), lambda: score.contains("1"), lambda: times.ref("on").eq(datetime(2024, 1, 1, tzinfo=UTC)), lambda: times.ref("at").gt(datetime(2024, 1, 1)), lambda: PEOPLE.ref("none")]
+    for call in wrong:
+        with pytest.raises(QueryError):
+            call()
