@@ -36,13 +36,16 @@ def check_window(node: Node | None) -> None:
 
 @dataclass(frozen=True)
 class Spec:
-    """What to aggregate: the type, its kind, the operation, and dimensions (``metadata/<key>`` for a metadata key)."""
+    """What to aggregate: the type, its kind, the operation, and dimensions (``metadata/<key>`` for a metadata key).
+
+    ``max_buckets`` is for answers to single requests, which the caller holds whole; None allows any number of groups.
+    """
 
     gts_id: str
     kind: str
     op: str
     group_by: tuple[str, ...] = ()
-    max_buckets: int = MAX_BUCKETS
+    max_buckets: int | None = MAX_BUCKETS
 
 
 def _dimension(name: str) -> Column:
@@ -72,6 +75,7 @@ def measure(op: str, value: str = "value") -> Column:
 
 def aggregate(records: DataFrame, spec: Spec, condition: Column | None = None) -> DataFrame:
     """One row per group.  More than ``max_buckets`` groups are refused; that bounds what the driver holds here.
+    Without that bound every group is returned, lazily, and the driver holds none.
     Without dimensions there is one row even when nothing fits.  A null dimension is a group of its own."""
     if spec.op not in ALLOWED.get(spec.kind, ()):
         raise QueryError("operation_not_allowed", f"{spec.op} of {spec.kind}")
@@ -82,6 +86,8 @@ def aggregate(records: DataFrame, spec: Spec, condition: Column | None = None) -
     if not spec.group_by:
         return rows.agg(result)
     grouped = rows.groupBy(*[_dimension(d) for d in spec.group_by]).agg(result)
+    if spec.max_buckets is None:
+        return grouped
     found = grouped.limit(spec.max_buckets + 1).collect()
     if len(found) > spec.max_buckets:
         raise QueryError("too_many_buckets", f"more than {spec.max_buckets}")
